@@ -121,8 +121,8 @@ def _short_facts(spark, d):
       FROM f s JOIN f ON f.author = s.author AND f.week_idx BETWEEN s.week_idx - 3 AND s.week_idx - 1) GROUP BY 1, 2""")
 def _(spark, d):
     facts = _short_facts(spark, d)
-    lagged = jn.lag_week_join(facts.select(*_KEY), facts, 4, 1)
-    return rounded(agg.lag_mean(lagged, ["a", "b"], "_medium"))
+    lagged = jn.lag_week_join(facts.select(*_KEY), facts, {"medium": (4, 1)})
+    return rounded(agg.lag_mean(lagged, ["a", "b"], ["medium"]))
 
 
 @query("participation_pivot", f"""
@@ -134,8 +134,8 @@ def _(spark, d):
 def _(spark, d):
     facts = v.posts_short(spark, d).select(
         "author", week_idx(F.col("day")).alias("week_idx"), "subreddit").distinct()
-    lagged = jn.lag_week_join(facts.select(*_KEY).distinct(), facts, 4, 2)
-    return agg.participation_pivot(agg.participation_long(lagged), ["c1", "c2", "c99"], "_medium")
+    lagged = jn.lag_week_join(facts.select(*_KEY).distinct(), facts, {"medium": (4, 2)})
+    return agg.participation_pivot(agg.participation_long(lagged), ["c1", "c2", "c99"], ["medium"])
 
 
 @query("author_community_matrix", """

@@ -131,7 +131,7 @@ def _(spark, d):
 def _(spark, d):
     facts = v.posts_short(spark, d).groupBy("author", week_idx(F.col("day")).alias("week_idx")).agg(
         F.count("*").alias("n"))
-    lagged = jn.lag_week_join(facts.select("author", "week_idx"), facts, 4, 2)
+    lagged = jn.lag_week_join(facts.select("author", "week_idx"), facts, {"medium": (4, 2)})
     return lagged.groupBy("author", "week_idx").agg(F.sum("n").alias("n"), F.count("*").alias("weeks"))
 
 

@@ -14,7 +14,7 @@ from emberline.operators import sampling as smp
 from emberline.operators import windows as win
 from emberline.plans import features as ft
 from emberline.plans.activation import activated_authors, pipe_activation
-from emberline.plans.news_exposure import LAGS, pipe_news_exposure
+from emberline.plans.news_exposure import LAGS, exposure, news_weeks, pipe_news_exposure, region_exposure
 from emberline.plans.person_period import pipe_interactions, pipe_person_period
 from emberline.schemas import ATTRIBUTES, CONTROL, NORM_NEWS, PAIRINGS
 from emberline.session import store
@@ -222,8 +222,8 @@ def feature_table(spark, d, balanced: bool = False) -> tuple[DataFrame, DataFram
     joined = posts.select(*_KEY, "subreddit").filter(F.col("subreddit").isin(VOCAB)).distinct()
     table = ft.pipe_feature_table(
         sample, news, facts, FEATURES, joined, VOCAB, quart, NORM_NEWS, seed=6 if balanced else None)
-    start, end = ft.WINDOWS["long"]
-    return table, agg.participation_long(jn.lag_week_join(sample, joined, start, end))
+    long = {"long": ft.WINDOWS["long"]}
+    return table, agg.participation_long(jn.lag_week_join(sample, joined, long)).drop("period")
 
 
 def _round_all(cols):
@@ -297,3 +297,9 @@ def _(spark, d):
     meetings = (f"{MEETINGS[0]}_short", f"{MEETINGS[1]}_short")
     return rounded(ft.pipe_design_matrix(
         store(table, "features"), part, scores, ATTRIBUTES, NORM_NEWS, CONTROL, meetings))
+
+
+@query("exposure", "SELECT author, week_idx, " + ", ".join(f"{r(c)} AS {c}" for c in _NEWS) + " FROM exposed")
+def _(spark, d):
+    regions = region_exposure(news_weeks(v.news_long(spark, d), **_FLAGS))
+    return rounded(exposure(regions, author_regions(spark, d)))

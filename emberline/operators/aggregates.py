@@ -12,6 +12,7 @@ from emberline.functions.numeric import pearson
 from emberline.functions.text import extract_regions, theme_flags
 from emberline.functions.time import month_label, sunday_on_or_after
 from emberline.operators.ordering import exact_quantiles, quantiles_wide
+from emberline.operators.windows import zscore
 from emberline.schemas import NEWS_CLASSES
 
 _KEY = ["author", "week_idx"]
@@ -87,10 +88,12 @@ def _weekly_measures() -> dict[str, Column]:
     comment = F.col("kind") == "RC"
     replies = F.count(F.when(comment, F.col("parent_id")))
     threads = F.count_distinct(F.when(comment, F.col("parent_id")))
+    # a week has seven days, so distinct days are bits of one integer, not a distinct count
+    days = F.bit_or(F.when(comment, F.expr("shiftleft(1, weekday(day))")))
     return {
         "n_comments_author_week": F.count_if(comment),
         "n_submissions_author_week": F.count_if(F.col("kind") == "RS"),
-        "n_active_days_author_week": F.count_distinct(F.when(comment, F.col("day"))),
+        "n_active_days_author_week": F.coalesce(F.bit_count(days), F.lit(0)).cast("long"),
         "avg_comments_per_thread": F.when(threads > 0, replies / threads),
         "n_different_subreddits": F.count_distinct("subreddit"),
     }
@@ -134,35 +137,33 @@ def activity_rollup(monthly: DataFrame, features: Sequence[str]) -> DataFrame:
     return monthly.groupBy(*_KEY).agg(*[F.sum(c).alias(c) for c in features])
 
 
-def lag_mean(lagged: DataFrame, features: Sequence[str], suffix: str = "", dedup: bool = True) -> DataFrame:
-    """Mean over the lagged weeks that exist; equal weeks count once when ``dedup``.
+def lag_mean(lagged: DataFrame, features: Sequence[str], periods: Sequence[str], dedup: bool = True) -> DataFrame:
+    """Mean over the lagged weeks that exist, per period; equal weeks count once when ``dedup``.
 
-    One exchange on (author, week) serves the distinct and the mean; a group holds at most
+    One exchange on (author, week) serves the distinct and the means; a group holds at most
     one row per lag.
     """
-    rows = lagged.select(*_KEY, *features).repartition(*_KEY)
+    rows = lagged.select(*_KEY, "period", *features).repartition(*_KEY)
     if dedup:
         rows = rows.distinct()
-    return rows.groupBy(*_KEY).agg(*[F.avg(c).alias(f"{c}{suffix}") for c in features])
+    return rows.groupBy(*_KEY).agg(*[
+        F.avg(F.when(F.col("period") == p, F.col(c))).alias(f"{c}_{p}") for p in periods for c in features
+    ])
 
 
 def participation_long(lagged: DataFrame) -> DataFrame:
-    """Distinct (author, week, community) of a lag window: the sparse form."""
-    return lagged.select(*_KEY, "subreddit").distinct()
-
-
-def participation_pivot(long: DataFrame, vocab: Sequence[str], suffix: str) -> DataFrame:
-    """Boolean column ``r<community><suffix>`` per vocabulary entry; none of the rest is kept."""
-    names = list(vocab)
-    wide = (
-        long.filter(F.col("subreddit").isin(names))
-        .groupBy(*_KEY)
-        .pivot("subreddit", names)
-        .agg(F.max(F.lit(True)))
-    )
-    return wide.select(
-        *_KEY, *[F.coalesce(F.col(f"`{c}`"), F.lit(False)).alias(f"r{c}{suffix}") for c in names]
+    """Distinct (author, week, period, community): the sparse form."""
+    return lagged.select(*_KEY, "period", "subreddit").distinct()
+
+
+def participation_pivot(long: DataFrame, vocab: Sequence[str], periods: Sequence[str]) -> DataFrame:
+    """Boolean column ``r<community>_<period>`` per vocabulary entry; none of the rest is kept."""
+    names = [f"r{c}_{p}" for p in periods for c in vocab]
+    named = long.filter(F.col("subreddit").isin(list(vocab))).select(
+        *_KEY, F.concat(F.lit("r"), "subreddit", F.lit("_"), "period").alias("_name")
     )
+    wide = named.groupBy(*_KEY).pivot("_name", names).agg(F.max(F.lit(True)))
+    return wide.select(*_KEY, *[F.coalesce(F.col(f"`{c}`"), F.lit(False)).alias(c) for c in names])
 
 
 def author_community_counts(posts: DataFrame, vocab: Sequence[str]) -> DataFrame:
@@ -200,17 +201,10 @@ def community_popularity(long: DataFrame) -> DataFrame:
     """Rows per community, and z-scores of the count and of log(count + 0.1)."""
     counts = long.groupBy("subreddit").agg(F.count("*").alias("n"))
     counts = counts.withColumn("log_n", F.log(F.col("n") + F.lit(0.1)))
-    s = counts.agg(F.struct(
-        F.avg("n").alias("m"), F.stddev_pop("n").alias("s"),
-        F.avg("log_n").alias("lm"), F.stddev_pop("log_n").alias("ls"),
-    )).scalar()
-
-    def z(x: str, m: str, d: str) -> Column:
-        return F.when(s[d] > 0, (F.col(x) - s[m]) / s[d]).otherwise(F.lit(0.0))
-
-    return counts.select(
-        "subreddit", "n", z("n", "m", "s").alias("popularity"), z("log_n", "lm", "ls").alias("log_popularity")
-    )
+    return zscore(
+        counts.withColumns({"popularity": F.col("n"), "log_popularity": F.col("log_n")}),
+        ["popularity", "log_popularity"],
+    ).drop("log_n")
 
 
 # ---- places --------------------------------------------------------------------------------
@@ -282,8 +276,8 @@ def news_class_week(class_day: DataFrame, region_day: DataFrame, week: Column,
 def theme_token_topk(news: DataFrame, word: str, k: int, separators: str = "[;,]",
                      cut: int = 0, column: str = "V2Themes") -> DataFrame:
     """Most frequent theme tokens that contain a word, optionally without a prefix."""
-    token = F.explode(F.split(F.col(column), separators))
-    rows = news.select(token.alias("token")).filter(F.col("token").contains(word))
+    tokens = F.filter(F.split(F.col(column), separators), lambda t: t.contains(word))
+    rows = news.select(F.explode(tokens).alias("token"))
     if cut:
         rows = rows.withColumn("token", F.substring("token", cut + 1, 2**31 - 1))
     counts = rows.groupBy("token").agg(F.count("*").alias("n"))
@@ -316,8 +310,10 @@ def value_counts(df: DataFrame, columns: Sequence[str], share: bool = False) ->
     return counts.orderBy(F.desc("n"), *columns)
 
 
-def weekly_median(df: DataFrame, columns: Sequence[str], week: str = "week_idx") -> DataFrame:
-    return quantiles_wide(df, columns, 0.5, [week])
+def weekly_median(df: DataFrame, columns: Sequence[str], week: str = "week_idx",
+                  weight: str | None = None) -> DataFrame:
+    """Median of each column per week; rows that stand for several count ``weight`` times."""
+    return quantiles_wide(df, columns, 0.5, [week], weight)
 
 
 def group_mean_ratio(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
@@ -388,16 +384,16 @@ def hist_1d(df: DataFrame, column: str, width: float, by: Sequence[str] = ()) ->
 
 def hist_2d(df: DataFrame, x: str, y: str, nx: int = 20, ny: int = 20) -> DataFrame:
     """Joint counts on a grid of equal cells between the extremes; the last cell is closed."""
-    s = df.agg(F.struct(
-        F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")
-    )).scalar()
+    ends = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
 
-    def cell(c: str, lo: str, hi: str, n: int) -> Column:
-        place = F.floor((F.col(c) - s[lo]) / (s[hi] - s[lo]) * n)
-        return F.when(s[hi] > s[lo], F.least(place, F.lit(n - 1))).otherwise(F.lit(0)).cast("long")
+    def cell(c: str, lo, hi, n: int) -> Column:
+        if lo is None or lo == hi:
+            return F.lit(0).cast("long")
+        place = F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * n)
+        return F.least(place, F.lit(n - 1)).cast("long")
 
     return df.select(x, y).na.drop().groupBy(
-        cell(x, "x0", "x1", nx).alias("x_bin"), cell(y, "y0", "y1", ny).alias("y_bin")
+        cell(x, ends[0], ends[1], nx).alias("x_bin"), cell(y, ends[2], ends[3], ny).alias("y_bin")
     ).agg(F.count("*").alias("n"))
 
 

@@ -95,9 +95,9 @@ def information_criteria(df: DataFrame, label: Column, eta: Column, k: int) -> D
 
 def sign_align(scores: DataFrame, score: str, label: str, coefs: Sequence[str] = ()) -> DataFrame:
     """Turn the score, and every coefficient tied to it, when it opposes the label."""
-    corr = scores.agg(pearson(F.col(score), F.col(label))).scalar()
-    sign = F.when(corr < 0, -1.0).otherwise(1.0)
-    return scores.withColumns({c: F.col(c) * sign for c in [score, *coefs]})
+    corr = scores.agg(pearson(F.col(score), F.col(label))).first()[0]
+    sign = -1.0 if corr is not None and corr < 0 else 1.0
+    return scores.withColumns({c: F.col(c) * F.lit(sign) for c in [score, *coefs]})
 
 
 def gaussian_ci(coefs: DataFrame, loc: str, scale: str, level: float = 0.9) -> DataFrame:

@@ -118,15 +118,17 @@ def vocab_right_join(df: DataFrame, vocab: DataFrame, key: str,
     return out.fillna(sentinel, subset=text)
 
 
-def lag_week_join(sample: DataFrame, facts: DataFrame, start: int, end: int,
+def lag_week_join(sample: DataFrame, facts: DataFrame, windows: Mapping[str, tuple[int, int]],
                   week: str = "week_idx") -> DataFrame:
-    """Facts of the weeks ``week-start+1 .. week-end`` before each sample row.
+    """Facts of the weeks before each sample row, tagged with their period.
 
-    The few lags are exploded, so the match is a hash join on (author, week).
+    A window (start, end) covers the weeks ``week-start+1 .. week-end``.  The few lags of
+    all periods are exploded together, so one hash join on (author, week) serves them all.
     """
-    lags = F.explode(F.sequence(F.lit(end), F.lit(start - 1)))
-    spread = sample.select("author", week, lags.alias("_lag")).select(
-        "author", week, (F.col(week) - F.col("_lag")).alias("_then")
+    lags = [(p, lag) for p, (start, end) in windows.items() for lag in range(end, start)]
+    lag_rows = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("n")) for p, n in lags])
+    spread = sample.select("author", week, F.explode(lag_rows).alias("_lag")).select(
+        "author", week, F.col("_lag.p").alias("period"), (F.col(week) - F.col("_lag.n")).alias("_then")
     )
     return spread.join(facts.withColumnRenamed(week, "_then"), ["author", "_then"]).drop("_then")
 

@@ -59,15 +59,17 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, measures: Mappi
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float],
-                    by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+                    by: Sequence[str] = (), buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles: one row per group and feature, one column per quantile.
 
-    Nulls are left out.  Only the buckets that hold a wanted rank reach the inner window.
+    Nulls are left out; a row counts ``weight`` times if given.  Only the buckets that hold a wanted rank reach the inner window.
     """
     by = list(by)
     keys = [*by, "feature"]
-    long = unpivot_features(df.select(*by, *columns), by, columns).filter(F.col("value").isNotNull())
-    counted = long.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    ids = [*by, weight] if weight else by
+    long = unpivot_features(df.select(*ids, *columns), ids, columns).filter(F.col("value").isNotNull())
+    size = F.sum(weight) if weight else F.count("*")
+    counted = long.groupBy(*keys, "value").agg(size.alias("n"))
     split = _with_bucket(counted, keys, "value", buckets)
     ordered = Window.partitionBy(*keys).orderBy("_bucket")
     sums = split.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_n"))
@@ -110,9 +112,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
     )
 
 
-def quantiles_wide(df: DataFrame, columns: Sequence[str], p: float, by: Sequence[str] = ()) -> DataFrame:
+def quantiles_wide(df: DataFrame, columns: Sequence[str], p: float, by: Sequence[str] = (),
+                   weight: str | None = None) -> DataFrame:
     """One quantile of each column, one column each, per group."""
-    long = exact_quantiles(df, columns, {"q": p}, by)
+    long = exact_quantiles(df, columns, {"q": p}, by, weight=weight)
     return long.groupBy(*by).agg(
         *[F.max(F.when(F.col("feature") == c, F.col("q"))).alias(c) for c in columns]
     )

@@ -1,7 +1,9 @@
 """Reproducible samples: a row's place in the draw is the md5 of seed and key.
 
 The digest is uniform, so its first hex digits cut any stratum, however large, into equal
-buckets; only the bucket at the border of the sample has to be ranked.
+buckets.  Buckets beyond the sample are dropped before anything is sorted, and the rest is
+ranked per bucket, so no stratum ends up in one task.  The input is read twice: store one
+that is costly to compute.
 """
 
 from __future__ import annotations
@@ -45,21 +47,13 @@ def exact_sample_n(df: DataFrame, by: Sequence[str], n: int | DataFrame, seed: i
         sizes = sizes.join(n.select(*by, F.col("n").alias("_want")), by)
     else:
         sizes = sizes.withColumn("_want", F.lit(n).cast("long"))
-    whole = sizes.filter(F.col("_upto") <= F.col("_want")).select(*by, "_bucket")
-    border = sizes.filter(
-        (F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_size") < F.col("_want"))
-    ).select(*by, "_bucket", (F.col("_want") - F.col("_upto") + F.col("_size")).alias("_left"))
-    place = Window.partitionBy(*by, "_bucket").orderBy("_draw", key)
-    edge = (
-        rows.join(border, [*by, "_bucket"])
-        .withColumn("_place", F.row_number().over(place))
-        .filter(F.col("_place") <= F.col("_left"))
-    )
-    return (
-        rows.join(whole, [*by, "_bucket"], "left_semi")
-        .select(*df.columns)
-        .unionByName(edge.select(*df.columns))
+    kept = sizes.filter(F.col("_upto") - F.col("_size") < F.col("_want")).select(
+        *by, "_bucket", (F.col("_want") - F.col("_upto") + F.col("_size")).alias("_left")
     )
+    place = Window.partitionBy(*by, "_bucket").orderBy("_draw", key)
+    # a bucket wholly inside the sample has at least as many places left as rows
+    drawn = rows.join(kept, [*by, "_bucket"]).withColumn("_place", F.row_number().over(place))
+    return drawn.filter(F.col("_place") <= F.col("_left")).select(*df.columns)
 
 
 def control_sample(posts: DataFrame, bots: DataFrame, wanted: DataFrame, seed: int | str,

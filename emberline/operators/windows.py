@@ -53,44 +53,47 @@ def best_run_per_setting(runs: DataFrame, settings: Sequence[str], metric: str,
     return best.select(*[F.col(c) if c in settings else F.col(f"_r.{c}").alias(c) for c in runs.columns])
 
 
-def column_stats(df: DataFrame, columns: Sequence[str], ddof: int) -> Column:
-    """Struct of mean and deviation per column, as a scalar subquery."""
+def column_stats(df: DataFrame, columns: Sequence[str], ddof: int) -> dict[str, tuple[float, float]]:
+    """Mean and deviation per column: one aggregate, a pair of numbers per column."""
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
-    return df.agg(F.struct(*[
-        F.struct(F.avg(c).alias("m"), std(c).alias("s")).alias(c) for c in columns
-    ])).scalar()
+    row = df.agg(*[F.struct(F.avg(c), std(c)) for c in columns]).first()
+    return {c: tuple(row[i]) for i, c in enumerate(columns)}
 
 
 def zscore(df: DataFrame, columns: Sequence[str], ddof: int = 0,
            transform: Mapping[str, Column] | None = None, suffix: str = "") -> DataFrame:
     """(x - mean) / deviation over all rows; a constant column becomes zero.
 
-    The statistics are one aggregate used as a scalar, not a window over everything.
+    The statistics are one aggregate, fitted at once as a scaler is; no window runs over
+    everything and the rows are not shuffled.
     """
     values = df.withColumns(dict(transform)) if transform else df
-    s = column_stats(values, columns, ddof)
+    stats = column_stats(values, columns, ddof)
 
     def z(c: str) -> Column:
-        return F.when(s[c]["s"] > 0, (F.col(c) - s[c]["m"]) / s[c]["s"]).otherwise(F.lit(0.0))
+        mean, std = stats[c]
+        if not std:
+            return F.when(F.col(c).isNotNull(), F.lit(0.0))
+        return (F.col(c) - F.lit(mean)) / F.lit(std)
 
     return values.withColumns({f"{c}{suffix}": z(c) for c in columns})
 
 
 def quartile_membership(scores: DataFrame, attributes: Sequence[str] = tuple(QUARTILE_FLAGS)) -> DataFrame:
-    """Eight booleans: author in the first or in the fourth quartile of each attribute."""
-    cuts = exact_quantiles(scores, attributes, {"q1": 0.25, "q3": 0.75})
-    s = cuts.agg(F.struct(*[
-        F.struct(
-            F.max(F.when(F.col("feature") == a, F.col("q1"))).alias("q1"),
-            F.max(F.when(F.col("feature") == a, F.col("q3"))).alias("q3"),
-        ).alias(a)
-        for a in attributes
-    ])).scalar()
+    """Eight booleans: author in the first or in the fourth quartile of each attribute.
+
+    The cut points, two numbers per attribute, are computed at once.
+    """
+    cuts = {
+        row["feature"]: row
+        for row in exact_quantiles(scores, attributes, {"q1": 0.25, "q3": 0.75}).collect()
+    }
     flags: dict[str, Column] = {}
     for a in attributes:
         low, high = QUARTILE_FLAGS[a]
-        flags[low] = F.coalesce(F.col(a) <= s[a]["q1"], F.lit(False))
-        flags[high] = F.coalesce(F.col(a) >= s[a]["q3"], F.lit(False))
+        q = cuts.get(a)
+        flags[low] = F.coalesce(F.col(a) <= F.lit(q["q1"] if q else None), F.lit(False))
+        flags[high] = F.coalesce(F.col(a) >= F.lit(q["q3"] if q else None), F.lit(False))
     return scores.select("author", *[c.alias(n) for n, c in flags.items()])
 
 
@@ -100,14 +103,14 @@ def median_impute(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
 
     A group without any value keeps its nulls.
     """
-    med = quantiles_wide(df, columns, 0.5, by).withColumnsRenamed({c: f"_m_{c}" for c in columns})
     if by:
+        med = quantiles_wide(df, columns, 0.5, by).withColumnsRenamed({c: f"_m_{c}" for c in columns})
         joined = df.join(med, list(by), "left")
         fill = {c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns}
     else:
-        s = med.select(F.struct(*[F.col(f"_m_{c}") for c in columns])).scalar()
+        med = {row["feature"]: row["q"] for row in exact_quantiles(df, columns, {"q": 0.5}).collect()}
         joined = df
-        fill = {c: F.coalesce(F.col(c), s[f"_m_{c}"]) for c in columns}
+        fill = {c: F.coalesce(F.col(c), F.lit(med.get(c))) for c in columns}
     filled = joined.withColumns(fill).select(*df.columns)
     for c in columns:
         filled = filled.filter(F.col(c).isNull() | (F.abs(c) != float("inf")))

@@ -27,6 +27,7 @@ from emberline.operators.filters import positive_news_filter
 from emberline.operators.joins import lag_week_join, left_feature_merge
 from emberline.operators.sampling import balance_classes
 from emberline.operators.windows import zscore
+from emberline.session import store
 
 # Fixed values: (exclusive start, end) of the lags of each period, in weeks back.
 WINDOWS = {"short": (2, 1), "medium": (6, 2), "long": (53, 6)}
@@ -35,21 +36,18 @@ _KEY = ["author", "week_idx"]
 
 
 def activity_windows(sample: DataFrame, activity: DataFrame, features: Sequence[str],
-                     windows: Mapping[str, tuple[int, int]] = WINDOWS) -> list[DataFrame]:
-    """Mean weekly activity per period."""
-    return [
-        lag_mean(lag_week_join(sample, activity, start, end), features, f"_{p}")
-        for p, (start, end) in windows.items()
-    ]
+                     windows: Mapping[str, tuple[int, int]] = WINDOWS) -> DataFrame:
+    """Mean weekly activity in each period."""
+    facts = activity.select(*_KEY, *features)
+    return lag_mean(lag_week_join(sample, facts, windows), features, list(windows))
 
 
 def participation_windows(sample: DataFrame, participation: DataFrame, vocab: Sequence[str],
-                          windows: Mapping[str, tuple[int, int]] = WINDOWS) -> list[DataFrame]:
+                          windows: Mapping[str, tuple[int, int]] = WINDOWS) -> DataFrame:
     """Communities written in per period, as booleans; ``participation`` is distinct per week."""
-    return [
-        participation_pivot(participation_long(lag_week_join(sample, participation, start, end)), vocab, f"_{p}")
-        for p, (start, end) in windows.items()
-    ]
+    return participation_pivot(
+        participation_long(lag_week_join(sample, participation, windows)), vocab, list(windows)
+    )
 
 
 def pipe_feature_table(sample: DataFrame, news: DataFrame, activity: DataFrame, features: Sequence[str],
@@ -65,9 +63,9 @@ def pipe_feature_table(sample: DataFrame, news: DataFrame, activity: DataFrame,
     base = sample.select(*_KEY, "activation", "duration").join(news, _KEY)
     base = base.fillna(0.0, subset=[c for c in news.columns if c not in _KEY])
     base = positive_news_filter(base, [f"{c}_{long}" for c in norm_news])
-    table = left_feature_merge(base, activity_windows(sample, activity, features, windows), _KEY, 0.0)
+    table = left_feature_merge(base, [activity_windows(sample, activity, features, windows)], _KEY, 0.0)
     table = left_feature_merge(
-        table, participation_windows(sample, participation, vocab, windows), _KEY, False
+        table, [participation_windows(sample, participation, vocab, windows)], _KEY, False
     )
     flags = [c for c in quartiles.columns if c != "author"]
     table = table.join(quartiles, "author", "left").fillna(False, subset=flags)
@@ -82,7 +80,8 @@ def pipe_feature_table(sample: DataFrame, news: DataFrame, activity: DataFrame,
     table = table.withColumns(ratios)
     if seed is None:
         return table
-    keyed = table.withColumn("_key", F.concat_ws("@", "author", F.col("week_idx").cast("string")))
+    # counted and then drawn from: write the table once instead of computing it twice
+    keyed = store(table, "features").withColumn("_key", F.concat_ws("@", "author", F.col("week_idx").cast("string")))
     return balance_classes(keyed, "activation", seed, "_key").drop("_key")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +12,13 @@ from emberline.operators.aggregates import news_class_day, news_class_week, news
 from emberline.operators.joins import outer_period_merge
 from emberline.operators.windows import rolling_mean_lagged
 from emberline.schemas import NORM_NEWS
+from emberline.session import store
 
 # Fixed values: (weeks of lag, rows averaged) per period.
 LAGS = {"short": (1, 1), "medium": (2, 4), "long": (6, 46)}
 
+_REGION = ["country", "admin1code"]
+
 
 def news_weeks(news: DataFrame, **flags) -> DataFrame:
     """Weekly class totals and shares per region."""
@@ -24,41 +27,51 @@ def news_weeks(news: DataFrame, **flags) -> DataFrame:
     return news_class_week(per_day, news_region_day(news), week_idx(F.col("day")))
 
 
-def exposure(weeks: DataFrame, author_region: DataFrame,
-             lags: Mapping[str, tuple[int, int]] = LAGS) -> DataFrame:
-    """Share of each class in the author's region, per week and period.
-
-    The periods are merged per region, which is small, before authors are attached.
-    """
+def region_exposure(weeks: DataFrame, lags: Mapping[str, tuple[int, int]] = LAGS) -> DataFrame:
+    """Share of each class per region and week, for every period."""
     frames = {
         p: rolling_mean_lagged(weeks, NORM_NEWS, width, lag) for p, (lag, width) in lags.items()
     }
-    region = outer_period_merge(frames, ["country", "admin1code", "week_idx"])
-    return author_region.select("author", "country", "admin1code").join(
-        region, ["country", "admin1code"]
-    ).drop("country", "admin1code")
+    return outer_period_merge(frames, [*_REGION, "week_idx"])
+
 
+def exposure(regions: DataFrame, author_region: DataFrame) -> DataFrame:
+    """News of the author's region in every week: all authors times all weeks."""
+    return author_region.select("author", *_REGION).join(regions, _REGION).drop(*_REGION)
 
-def impute_by_week(sample: DataFrame, exposed: DataFrame, keep: list[str]) -> DataFrame:
-    """News of located authors; the week's median over authors for the others.
 
-    A week in which nobody has news drops its unlocated rows, as an inner merge would.
+def impute_by_week(sample: DataFrame, regions: DataFrame, author_region: DataFrame,
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """News of the sampled weeks; the week's median over authors where the author has none.
+
+    The median over authors is the median over regions weighted by their authors, so the
+    table of all authors and weeks is never built.  A week in which no region with authors
+    has news drops its unlocated rows, as an inner merge would.
     """
-    columns = [c for c in exposed.columns if c not in ("author", "week_idx")]
-    base = sample.select("author", "week_idx", *keep)
-    own = base.join(exposed, ["author", "week_idx"], "left")
-    medians = weekly_median(exposed, columns).withColumnsRenamed({c: f"_m_{c}" for c in columns})
+    columns = [c for c in regions.columns if c not in (*_REGION, "week_idx")]
+    crowd = author_region.groupBy(*_REGION).agg(F.count("*").alias("_authors"))
+    medians = weekly_median(regions.join(crowd, _REGION), columns, weight="_authors")
+    medians = medians.withColumnsRenamed({c: f"_m_{c}" for c in columns}).withColumn("_has", F.lit(True))
+    own = (
+        sample.select("author", "week_idx", *keep)
+        .join(author_region.select("author", *_REGION), "author", "left")
+        .join(regions, [*_REGION, "week_idx"], "left")
+    )
     known = F.col(columns[0]).isNotNull()
-    merged = own.join(medians.withColumn("_has", F.lit(True)), "week_idx", "left")
-    return merged.filter(known | F.col("_has")).select(
+    merged = own.join(medians, "week_idx", "left").filter(known | F.col("_has"))
+    return merged.select(
         "author", "week_idx", *keep,
         *[F.when(known, F.col(c)).otherwise(F.col(f"_m_{c}")).alias(c) for c in columns],
     )
 
 
 def pipe_news_exposure(news: DataFrame, author_region: DataFrame, sample: DataFrame,
-                       lags: Mapping[str, tuple[int, int]] = LAGS, keep: tuple[str, ...] = (),
+                       lags: Mapping[str, tuple[int, int]] = LAGS, keep: Sequence[str] = (),
                        **flags) -> DataFrame:
-    """News features per sampled author week."""
-    exposed = exposure(news_weeks(news, **flags), author_region, lags)
-    return impute_by_week(sample, exposed, list(keep))
+    """News features per sampled author week.
+
+    The regional table, a row per region and week, is written once: it is read for the
+    medians and for the match, and its known size lets both be broadcast joins.
+    """
+    regions = store(region_exposure(news_weeks(news, **flags), lags), "news-regions")
+    return impute_by_week(sample, regions, author_region, keep)

@@ -18,7 +18,6 @@ from emberline.operators.interactions import (
     interaction_join,
 )
 from emberline.operators.joins import left_feature_merge
-from emberline.operators.windows import person_period_last
 from emberline.schemas import PAIRINGS
 from emberline.session import store
 
@@ -31,7 +30,11 @@ _KEY = ["author", "week_idx"]
 
 
 def author_weeks(authors: DataFrame) -> DataFrame:
-    """One row per author and observed week, with its length and whether activation falls in it."""
+    """One row per author and week, with its length and whether activation falls in it.
+
+    The author table has one row per author and a week one Sunday, so no row has to be
+    chosen among several.
+    """
     dated = authors.withColumns({
         "date_start": F.date_sub("date_weak", DAYS_BEFORE_WEAK),
         "date_end": F.least(
@@ -39,21 +42,21 @@ def author_weeks(authors: DataFrame) -> DataFrame:
         ),
     })
     spine = week_spine(dated, "date_start", "date_end")
-    rows = spine.select(
+    return spine.select(
         "author",
         week_idx(F.col("sunday")).alias("week_idx"),
         "sunday", "active", "date_weak", "date_strong",
         person_period_duration(F.col("sunday"), F.col("date_start"), F.col("date_end")).alias("duration"),
         (week_idx(F.col("sunday")) == week_idx(F.col("date_strong"))).alias("activation"),
     )
-    return person_period_last(rows, _KEY, "sunday")
 
 
 def observed_weeks(weeks: DataFrame, posts: DataFrame) -> DataFrame:
     """Keep the weeks touched by a month in which the author commented."""
     comments = posts.filter(F.col("kind") == "RC").withColumn("month", month_start(F.col("day")))
     author_months = comments.select("author", "month").distinct()
-    month_weeks = comments.select("month", "week_idx").distinct()  # at most six per month
+    # bounded by the calendar: at most six weeks per month, whatever the number of posts
+    month_weeks = F.broadcast(comments.select("month", "week_idx").distinct())
     seen = author_months.join(month_weeks, "month").select(*_KEY)
     return weeks.join(seen, _KEY, "left_semi")
 

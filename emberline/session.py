@@ -32,6 +32,14 @@ def build_session(app: str = "emberline", cpus: int | str | None = None, **extra
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the recommended run-time settings to a session somebody else built."""
+    for key, value in RECOMMENDED.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
