@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.schemas import PAIRINGS
 
 # Prefix of a full item key by kind of post.
 KIND_PREFIX = {"RC": "t1_", "RS": "t3_"}
-DIRECT_LIMIT = 1000
+# Fixed value: bits in one of Spark's bitmaps.
+BITMAP_BITS = 32768
+# Active authors of an item up to which listing them is cheaper than a bitmap.
+DIRECT_LIMIT = 200
 
 _ITEM = ["pairing", "item"]
 _KEY = ["pairing", "author", "week_idx"]
@@ -86,14 +89,36 @@ def interaction_semi_prefilter(window: DataFrame, active: DataFrame, pairing: st
     return rows.join(keys, "item", "left_semi").drop("item")
 
 
+def _bit_places(items: DataFrame, load: int = BITMAP_BITS // 2) -> DataFrame:
+    """A (block, bit) of its own for every active author.
+
+    Authors are hashed to blocks and numbered inside their block, which holds about ``load``
+    of them; should a block overflow, the surplus goes to a further block.
+    """
+    authors = items.select("author_active").distinct()
+    blocks = max(1, -(-authors.count() // load))
+    h = F.pmod(F.xxhash64("author_active"), F.lit(blocks))
+    n = F.row_number().over(Window.partitionBy("_h").orderBy("author_active")) - 1
+    return authors.withColumn("_h", h).withColumn("_n", n).select(
+        "author_active",
+        (F.col("_h") + blocks * F.floor(F.col("_n") / BITMAP_BITS)).alias("_block"),
+        (F.col("_n") % BITMAP_BITS).alias("_bit"),
+    )
+
+
+def _bit_is_set(bits: Column, place: Column) -> Column:
+    byte = F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))
+    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), place % 8) == 1
+
+
 def distinct_active_authors(met: DataFrame, items: DataFrame, limit: int = DIRECT_LIMIT) -> DataFrame:
     """Distinct other active authors an author met in a week, over all items of a pairing.
 
     A key with one item has its answer in the join.  Otherwise an item with at most
-    ``limit`` active authors is expanded.  For larger items the union of their authors is
-    counted once per distinct set of large items, not once per key that has the set, and
-    expanded authors already in that union are taken out.  The result is exact for every
-    ``limit``.
+    ``limit`` active authors is expanded to its authors.  A larger item is a set of bitmaps
+    over all active authors, never a list of pairs: the union for each distinct set of large
+    items is an OR of bitmaps, and expanded authors whose bit is already set are not counted
+    again.  The result is exact for every ``limit``.
     """
     large = F.col("active_authors") + F.col("is_active").cast("long") > limit
     keys = met.groupBy(*_KEY).agg(
@@ -105,38 +130,44 @@ def distinct_active_authors(met: DataFrame, items: DataFrame, limit: int = DIREC
     single = keys.filter(F.col("_k") == 1).select(*_KEY, F.col("_sum").alias("n_active_authors"))
     many = keys.filter(F.col("_k") > 1)
 
-    others = items.select(*_ITEM, "author_active")
-    direct = (
+    places = _bit_places(items)
+    big = items.groupBy(*_ITEM).agg(F.count("*").alias("_m")).filter(F.col("_m") > limit).select(*_ITEM)
+    bitmaps = (
+        items.join(big, _ITEM, "left_semi")
+        .join(places, "author_active")
+        .groupBy(*_ITEM, "_block")
+        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    )
+    sets = (
+        many.filter(F.size("_large") > 0)
+        .select("pairing", "_large")
+        .distinct()
+        .withColumn("item", F.explode("_large"))
+        .join(bitmaps, _ITEM)
+        .groupBy("pairing", "_large", "_block")
+        .agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    )
+    unions = sets.groupBy("pairing", "_large").agg(F.sum(F.bitmap_count("_bits")).alias("_union"))
+    expanded = (
         met.filter(~large)
         .select(*_KEY, "item")
         .join(many.select(*_KEY, "_large"), _KEY)
-        .join(others, _ITEM)
+        .join(items.select(*_ITEM, "author_active"), _ITEM)
         .filter(F.col("author") != F.col("author_active"))
-        .select(*_KEY, "author_active", "_large")
+        .select(*_KEY, "_large", "author_active")
         .distinct()
     )
-    covered = (
-        direct.filter(F.size("_large") > 0)
-        .withColumn("item", F.explode("_large"))
-        .join(others, [*_ITEM, "author_active"], "left_semi")
-        .select(*_KEY, "author_active")
-    )
-    expanded = (
-        direct.join(covered, [*_KEY, "author_active"], "left_anti")
-        .groupBy(*_KEY)
-        .agg(F.count("*").alias("_direct"))
-    )
-    unions = (
-        many.filter(F.size("_large") > 0)
-        .select("pairing", "_large")
-        .distinct()
-        .withColumn("item", F.explode("_large"))
-        .join(others, _ITEM)
-        .groupBy("pairing", "_large")
-        .agg(F.count_distinct("author_active").alias("_union"))
+    alone = expanded.filter(F.size("_large") == 0).select(*_KEY)
+    beside = (
+        expanded.filter(F.size("_large") > 0)
+        .join(places, "author_active")
+        .join(sets, ["pairing", "_large", "_block"], "left")
+        .filter(F.col("_bits").isNull() | ~_bit_is_set(F.col("_bits"), F.col("_bit")))
+        .select(*_KEY)
     )
+    added = alone.unionByName(beside).groupBy(*_KEY).agg(F.count("*").alias("_direct"))
     several = (
-        many.join(expanded, _KEY, "left")
+        many.join(added, _KEY, "left")
         .join(unions, ["pairing", "_large"], "left")
         .select(
             *_KEY,
