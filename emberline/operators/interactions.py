@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.schemas import PAIRINGS
+from emberline.session import store
 
 # Prefix of a full item key by kind of post.
 KIND_PREFIX = {"RC": "t1_", "RS": "t3_"}
@@ -111,23 +112,32 @@ def _bit_is_set(bits: Column, place: Column) -> Column:
     return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), place % 8) == 1
 
 
-def distinct_active_authors(met: DataFrame, items: DataFrame, limit: int = DIRECT_LIMIT) -> DataFrame:
-    """Distinct other active authors an author met in a week, over all items of a pairing.
+def interaction_counts(met: DataFrame, items: DataFrame, limit: int = DIRECT_LIMIT) -> DataFrame:
+    """Pairs and distinct active authors per (pairing, author, week).
 
+    ``n_pairs`` counts joined pairs of posts, not distinct posts; it is a sum of products.
+    ``n_active_authors`` counts the distinct other active authors over all items of a key.
     A key with one item has its answer in the join.  Otherwise an item with at most
     ``limit`` active authors is expanded to its authors.  A larger item is a set of bitmaps
     over all active authors, never a list of pairs: the union for each distinct set of large
     items is an OR of bitmaps, and expanded authors whose bit is already set are not counted
     again.  The result is exact for every ``limit``.
+
+    The summary per key is written once: four branches read different columns of it, which
+    would otherwise be four aggregations.
     """
     large = F.col("active_authors") + F.col("is_active").cast("long") > limit
-    keys = met.groupBy(*_KEY).agg(
+    summary = met.groupBy(*_KEY).agg(
         F.count("*").alias("_k"),
         F.sum("active_authors").alias("_sum"),
+        F.sum(F.col("n") * F.col("active_posts")).alias("n_pairs"),
         F.sort_array(F.collect_set(F.when(large, F.col("item")))).alias("_large"),
         F.max(large & F.col("is_active")).alias("_own_large"),
     )
-    single = keys.filter(F.col("_k") == 1).select(*_KEY, F.col("_sum").alias("n_active_authors"))
+    keys = store(summary, "interaction-keys")
+    single = keys.filter(F.col("_k") == 1).select(
+        *_KEY, "n_pairs", F.col("_sum").alias("n_active_authors")
+    )
     many = keys.filter(F.col("_k") > 1)
 
     places = _bit_places(items)
@@ -171,6 +181,7 @@ def distinct_active_authors(met: DataFrame, items: DataFrame, limit: int = DIREC
         .join(unions, ["pairing", "_large"], "left")
         .select(
             *_KEY,
+            "n_pairs",
             (
                 F.coalesce("_direct", F.lit(0))
                 + F.coalesce("_union", F.lit(0))
@@ -181,15 +192,6 @@ def distinct_active_authors(met: DataFrame, items: DataFrame, limit: int = DIREC
     return single.unionByName(several)
 
 
-def interaction_counts(met: DataFrame, items: DataFrame, limit: int = DIRECT_LIMIT) -> DataFrame:
-    """Pairs and distinct active authors per (pairing, author, week).
-
-    ``n_pairs`` counts joined pairs of posts, not distinct posts.
-    """
-    pairs = met.groupBy(*_KEY).agg(F.sum(F.col("n") * F.col("active_posts")).alias("n_pairs"))
-    return pairs.join(distinct_active_authors(met, items, limit), _KEY)
-
-
 def interaction_features(counts: DataFrame, pairings: Sequence[str] = tuple(PAIRINGS)) -> DataFrame:
     """One row per (author, week) with two columns per pairing, zero where it has none."""
     def of(p: str, c: str) -> Column:
