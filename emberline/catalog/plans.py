@@ -133,7 +133,7 @@ reg.CTES["sample"] = """
 @query("case_control_sample", "SELECT author, week_idx, activation FROM sample")
 def _(spark, d):
     posts = store(long_posts(spark, d), "posts")
-    weeks = pipe_person_period(posts, v.authors_long(spark, d))
+    weeks = store(pipe_person_period(posts, v.authors_long(spark, d)), "facts")
     return smp.case_control_sample(weeks, 8).select(*_KEY, "activation")
 
 
@@ -166,7 +166,7 @@ def author_regions(spark, d):
 @query("pipe_news_exposure", "SELECT author, week_idx, " + ", ".join(f"{r(c)} AS {c}" for c in _NEWS) + " FROM newsfeat")
 def _(spark, d):
     posts = store(long_posts(spark, d), "posts")
-    weeks = pipe_person_period(posts, v.authors_long(spark, d))
+    weeks = store(pipe_person_period(posts, v.authors_long(spark, d)), "facts")
     sample = store(smp.case_control_sample(weeks, 8), "sample")
     return rounded(pipe_news_exposure(v.news_long(spark, d), author_regions(spark, d), sample, **_FLAGS))
 

@@ -29,11 +29,12 @@ def uniform(key: Column, seed: int | str) -> Column:
     return F.conv(F.substring(draw(key, seed), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def exact_sample_n(df: DataFrame, by: Sequence[str], n: int | DataFrame, seed: int | str,
+def exact_sample_n(df: DataFrame, by: Sequence[str], n: int | Column | DataFrame, seed: int | str,
                    key: str) -> DataFrame:
     """``n`` rows per stratum without replacement (all rows of a smaller stratum).
 
-    ``n`` is a number, or a frame with the strata columns and a column ``n``.
+    ``n`` is a number, a scalar subquery, or a frame with the strata columns and a column
+    ``n``.
     """
     by = list(by)
     rows = df.withColumn("_draw", draw(F.col(key), seed)).withColumn(
@@ -46,7 +47,7 @@ def exact_sample_n(df: DataFrame, by: Sequence[str], n: int | DataFrame, seed: i
     if isinstance(n, DataFrame):
         sizes = sizes.join(n.select(*by, F.col("n").alias("_want")), by)
     else:
-        sizes = sizes.withColumn("_want", F.lit(n).cast("long"))
+        sizes = sizes.withColumn("_want", (n if isinstance(n, Column) else F.lit(n)).cast("long"))
     kept = sizes.filter(F.col("_upto") - F.col("_size") < F.col("_want")).select(
         *by, "_bucket", (F.col("_want") - F.col("_upto") + F.col("_size")).alias("_left")
     )
@@ -81,8 +82,8 @@ def case_control_sample(person_weeks: DataFrame, seed: int | str, ratio: int = 2
         & (F.col("date_weak") < F.col("sunday"))
         & (F.col("sunday") <= F.col("date_strong"))
     ).withColumn("_key", F.concat_ws("@", "author", F.col("week_idx").cast("string")))
-    want = cases.agg((F.count("*") * ratio).alias("n")).withColumn("activation", F.lit(False))
-    drawn = exact_sample_n(pool, ["activation"], want, seed, "_key")
+    want = cases.agg(F.count("*") * ratio).scalar()
+    drawn = exact_sample_n(pool, [], want, seed, "_key")
     return cases.unionByName(drawn.drop("_key"))
 
 

@@ -54,9 +54,21 @@ def canonical(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
+FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+             "MapInPandas", "FlatMapGroups"]
+
+
+def forbidden_nodes(df) -> list[str]:
+    """Cross joins, nested loops and Python workers in the physical plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [n for n in FORBIDDEN if n in plan]
+
+
 def compare(spark, con, fn, sql: str, sf: str) -> str | None:
-    """Nothing if equal, else what differs."""
+    """Nothing if the plan is clean and the result equal, else what is wrong."""
     df = fn(spark, f"{DATA}/sf{sf}")
+    if forbidden_nodes(df):
+        return f"plan holds {forbidden_nodes(df)}"
     got = canonical(df.columns, df.collect())
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
