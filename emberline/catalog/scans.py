@@ -151,7 +151,7 @@ def _(spark, d):
     SELECT CAST(DATE '2024-01-01' + CAST(doc_id % 91 AS INTEGER) AS DATE) AS day, count(*) AS n FROM documents GROUP BY 1""")
 def _(spark, d):
     rows = v.news(spark, d).select(
-        F.concat(F.lit("/archive/news/"), F.date_format("day", "yyyyMMdd"), F.lit("001500.gkg.csv.zip")).alias("path"))
+        F.concat(F.lit("/archive/news/"), F.date_format("day", "yyyyMMdd"), F.lit("001500.csv.zip")).alias("path"))
     return rows.groupBy(date_from_path(F.col("path")).alias("day")).agg(F.count("*").alias("n"))
 
 

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from emberline.functions.text import parse_population
 from emberline.functions.time import cohort_window, month_start, quarter_idx
 
+# Fixed value: text of a vocabulary entry nobody wrote in.
+NO_AUTHORS = "-- NO  AUTHORS --"
+
 
 def history_broadcast_join(posts: DataFrame, authors: DataFrame) -> DataFrame:
     """Posts of the listed authors, carrying the author columns; k classes give k copies."""
@@ -111,7 +114,7 @@ def inner_reduce_merge(frames: Sequence[DataFrame], key: Sequence[str]) -> DataF
 
 
 def vocab_right_join(df: DataFrame, vocab: DataFrame, key: str,
-                     sentinel: str = "-- NO  AUTHORS --") -> DataFrame:
+                     sentinel: str = NO_AUTHORS) -> DataFrame:
     """Keep every word of the vocabulary; text columns without a row get a sentinel."""
     out = df.join(vocab, key, "right")
     text = [c for c, t in out.dtypes if t == "string" and c != key]

@@ -17,11 +17,14 @@ from emberline.functions.frames import unpivot_features
 BUCKETS = 128
 
 
-def _with_bucket(counted: DataFrame, by: list[str], order: str, buckets: int) -> DataFrame:
+def _with_bucket(counted: DataFrame, by: list[str], order: str, buckets: int,
+                 few_groups: bool = False) -> DataFrame:
+    """Adds the bucket of each value; ``few_groups`` says that the groups are known to be few."""
     probs = [i / buckets for i in range(1, buckets)]
     cuts = F.percentile_approx(order, probs, 10 * buckets).alias("_cuts")
     if by:
-        split = counted.join(counted.groupBy(*by).agg(cuts), by)
+        points_by = counted.groupBy(*by).agg(cuts)
+        split = counted.join(F.broadcast(points_by) if few_groups else points_by, by)
         points: Column = F.col("_cuts")
     else:
         split = counted
@@ -70,7 +73,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
     long = unpivot_features(df.select(*ids, *columns), ids, columns).filter(F.col("value").isNotNull())
     size = F.sum(weight) if weight else F.count("*")
     counted = long.groupBy(*keys, "value").agg(size.alias("n"))
-    split = _with_bucket(counted, keys, "value", buckets)
+    # without groups there is one row of cuts, and one of offsets per bucket, for each column
+    few = not by
+    split = _with_bucket(counted, keys, "value", buckets, few)
     ordered = Window.partitionBy(*keys).orderBy("_bucket")
     sums = split.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_n"))
     offsets = sums.select(
@@ -87,7 +92,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
         F.exists(F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
     ).drop("_n")
     inside = Window.partitionBy(*keys, "_bucket").orderBy("value")
-    ranked = split.join(wanted, [*keys, "_bucket"]).withColumn(
+    ranked = split.join(F.broadcast(wanted) if few else wanted, [*keys, "_bucket"]).withColumn(
         "_end", F.col("_before") + F.sum("n").over(inside)
     )
 
