@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import minhash, packing, repair
+from emberline.llm import language, minhash, packing, quality, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,16 @@ def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+@query("op7_neighbour_quality")
+def op7_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_word_backoff_language")
+def op8_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_language(table(spark, sf_dir, "documents"))
+
+
 @query("op9_pattern_packing")
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
