@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberline.llm import language, minhash, packing, quality, repair
+from emberline.llm import covertree, language, minhash, packing, quality, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,8 @@ def op8_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pattern_packing")
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op10_cover_tree_topk")
+def op10_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
