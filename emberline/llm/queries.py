@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import covertree, egojoin, language, minhash, packing, quality, repair
+from emberline.llm import covertree, egojoin, language, minhash, packing, quality, repair, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op3_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egojoin.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query("op4_credential_linking")
+def op4_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op7_neighbour_quality")
 def op7_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
