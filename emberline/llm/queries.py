@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import covertree, egojoin, language, minhash, packing, personal, quality, repair, secrets
+from emberline.llm import covertree, egojoin, language, minhash, nbest, packing, personal, quality, repair, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,11 @@ def op5_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.scan_personal(table(spark, sf_dir, "documents"))
 
 
+@query("op6_nbest_pieces")
+def op6_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.segment_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 @query("op7_neighbour_quality")
 def op7_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
