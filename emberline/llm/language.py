@@ -189,19 +189,26 @@ def build(counts: dict) -> Model:
 
 
 def predict_language(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs``, ``lang_pred`` and ``score``."""
+    """The columns ``keep`` of ``docs``, ``_lang`` and ``_score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*keep, *[] if "text" in keep else ["text"])
     schema = docs.select(*keep).schema.add("_lang", "string").add("_score", "double")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = shared.value.predict(batch.column(batch.num_columns - 1))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            lang, score = shared.value.predict(batch.column("text").cast(pa.string()))
+            columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(
-        mapped, schema).withColumnsRenamed({"_lang": "lang_pred", "_score": "score"})
+    return rows.mapInArrow(mapped, schema)
+
+
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose language is found, with a score of ``least`` or more."""
+    kept = docs.drop("_lang", "_score")
+    return predict_language(kept, fitted(kept), *kept.columns).filter(
+        (F.col("_lang") != "und") & (F.col("_score") >= least)).select(*kept.columns)
 
 
 def fitted(docs: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> Model:
@@ -218,4 +225,5 @@ def identify_language(docs: DataFrame, folds: int = 5, fold: int = 0, sample: in
     model = fitted(docs, folds, fold, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return predict_language(rows, model, "doc_id").select(
-        "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "lang_pred", "score")
+        "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("_lang").alias("lang_pred"),
+        F.col("_score").alias("score"))

@@ -137,19 +137,25 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
 
 
 def score_documents(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``score``; the text is read, never cut."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    """The columns ``keep`` of ``docs`` and ``_score``; the text is read, never cut."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*keep, *[] if "text" in keep else ["text"])
     schema = docs.select(*keep).schema.add("_score", "double")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.scores(batch.column(batch.num_columns - 1))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            scores = shared.value.scores(batch.column("text").cast(pa.string()))
+            columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=schema.names)
 
-    text = F.col("text").cast("string").alias("_text")
-    return docs.select(*keep, text).mapInArrow(mapped, schema).withColumnRenamed("_score", "score")
+    return rows.mapInArrow(mapped, schema)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more: only those the vote is against go."""
+    kept = docs.drop("_score")
+    return score_documents(kept, fitted(kept, labels), *kept.columns).filter(
+        F.col("_score") >= threshold).select(*kept.columns)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 4,
@@ -163,5 +169,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
     model = fitted(docs, labels, "quality", sample, folds, fold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return score_documents(rows, model, "doc_id").select(
-        "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"))
+        "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= threshold).cast("int").alias("predicted"))
