@@ -104,13 +104,15 @@ def fit(texts: list[str], labels: list[int], shares: list[float], dimensions: in
 
     ``shares``: how many documents a sampled one stands for, so that votes follow the true mix.
     """
-    blocks = list(term_counts(pa.array(texts, pa.string())))
-    counts = np.concatenate(blocks) if blocks else np.zeros((0, TERMS))
-    seen = (counts > 0).sum(0)
-    weights = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 0.1
+    x = np.zeros((len(texts), TERMS), np.float32)
+    first = 0
+    for counts in term_counts(pa.array(texts, pa.string())):
+        np.log1p(counts, out=x[first:first + len(counts)], casting="same_kind")
+        first += len(counts)
+    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.1)
     weights[:SHAPES] *= 3
     weights[TERMS - 1] *= 3
-    x = np.log1p(counts, dtype=np.float32) * weights
+    x *= weights
     rng = np.random.default_rng(0)
     axes = rng.standard_normal((TERMS, min(dimensions, TERMS))).astype(np.float32)
     for _ in range(6 if len(x) else 0):
