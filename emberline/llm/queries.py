@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import covertree, egojoin, language, minhash, nbest, packing, personal, quality, repair, secrets
+from emberline.llm import covertree, egojoin, language, minhash, nbest, oracles, packing, personal, quality, repair, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,17 +38,17 @@ def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_tokens(files)
 
 
-@query("op2_superminhash_dedup")
+@query("op2_superminhash_dedup", oracles.OP2)
 def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-@query("op3_grid_order_join")
+@query("op3_grid_order_join", oracles.OP3)
 def op3_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egojoin.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@query("op4_credential_linking")
+@query("op4_credential_linking", oracles.OP4)
 def op4_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -78,6 +78,6 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-@query("op10_cover_tree_topk")
+@query("op10_cover_tree_topk", oracles.OP10)
 def op10_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
