@@ -175,6 +175,9 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
                 ids = members.field("vec_id").to_numpy(zero_copy_only=False)
                 dim = batch.column("dim")[i].as_py()
                 points = members.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+                # equal rows have one id, hence one block: they count once
+                rows = np.unique(np.column_stack([ids, points]), axis=0)
+                ids, points = rows[:, 0], rows[:, 1:]
                 row = packed(ids, points) | {"block": batch.column("block")[i].as_py(), "dim": dim, "n": len(ids)}
                 yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
@@ -246,8 +249,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
 
     Returns query_id, rank, vec_id, score.  Rows whose vec_id or vector is null, or whose vector
     holds null, NaN or infinity, take no part; vectors are compared with those of their own length
-    (empty ones score 0); rows that repeat a vec_id are one row per vector, all of them skipped by
-    the queries of that id; fewer than k candidates give fewer rows; an empty table gives none.
+    (empty ones score 0); rows equal in id and vector count once; an id with several vectors is a
+    candidate with each and gets the best of all of them as a query; fewer than k candidates give
+    fewer rows; an empty table gives none.
     """
     rows = store(with_pivots(quantised(vectors, scale), pivots, block_rows), "vectors")
     data = store(blocks(rows, block_rows), "blocks")

@@ -309,7 +309,8 @@ def _mapped(docs: DataFrame, model: str, n: int, column: str, value, kind: pa.Da
 
 def decode_documents(segmented: DataFrame, model: str) -> DataFrame:
     """``segmented`` (with ``ids``) with the decoded ``text``; a null list gives null."""
-    schema = segmented.schema.add("_text", "string")
+    rows = segmented.drop("text")
+    schema = rows.select("*").schema.add("text", "string")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
@@ -317,4 +318,4 @@ def decode_documents(segmented: DataFrame, model: str) -> DataFrame:
             texts = [None if ids is None else pieces.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return segmented.mapInArrow(mapped, schema).drop("text").withColumnRenamed("_text", "text")
+    return rows.mapInArrow(mapped, schema)
