@@ -154,34 +154,35 @@ def fitted(found: DataFrame, sample: int, precision: float):
     return None if threshold is None else (vectors, trees, threshold)
 
 
-def find_personal(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
-    """The rows of ``docs`` with a column ``_spans``: ordered spans (start, end, kind, found).
+def find_personal(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION,
+                  name: str = "_spans") -> DataFrame:
+    """The rows of ``docs`` with a column ``name``: ordered spans (start, end, kind, found).
 
     Null and empty texts have none.  Every row is judged by itself; rows equal in id and text get
-    equal spans.  With no proposals, or none to learn from, only strict spans are found.  Columns
-    of ``docs`` named _spans, _key or _base are replaced.
+    equal spans.  With no proposals, or none to learn from, only strict spans are found.  A column
+    of that name is replaced.
     """
-    rows = docs.drop("_spans", "_key", "_base")
+    rows = docs.drop(name)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = rows.withColumn("_base", base_spans(text)).withColumn("_key", F.xxhash64("doc_id", "text"))
+    whole = rows.withColumn("__base", base_spans(text)).withColumn("__key", F.xxhash64("doc_id", "text"))
     # only texts that may hold a proposal go on
     maybe = text.rlike(r"[0-9][\x20()./0-9-]{5,}[0-9]|[0-9]\.[0-9]+\.|@|\(at\)|\[at\]")
-    some = whole.filter(maybe).select(F.col("_key").alias("key"), text.alias("text"), F.col("_base").alias("base"))
+    some = whole.filter(maybe).select(F.col("__key").alias("key"), text.alias("text"), F.col("__base").alias("base"))
     found = store(described(candidates(some)).drop("text"), "candidates")
     model = fitted(found, sample, precision)
     if model is None:
-        return whole.withColumn("_spans", ordered(F.col("_base"), (*BASE, LIKELY))).drop("_key", "_base")
+        return whole.withColumn(name, ordered(F.col("__base"), (*BASE, LIKELY))).drop("__key", "__base")
     vectors, trees, threshold = model
     scored = trees.transform(vectors.transform(found.filter(F.col("free") & F.col("label").isNull())))
     likely = scored.filter(F.round(vector_to_array("probability")[1], 2) >= threshold).groupBy("key").agg(
-        F.collect_set(F.struct("span.start", "span.end", F.lit(LIKELY).alias("kind"), "span.found")).alias("_likely"))
-    both = whole.join(likely.withColumnRenamed("key", "_key"), "_key", "left")
+        F.collect_set(F.struct("span.start", "span.end", F.lit(LIKELY).alias("kind"), "span.found")).alias("__likely"))
+    both = whole.join(likely.withColumnRenamed("key", "__key"), "__key", "left")
     # of overlapping proposals the first, then the longest, stays
-    more = F.coalesce("_likely", F.array().cast(SPAN))
+    more = F.coalesce("__likely", F.array().cast(SPAN))
     more = F.filter(more, lambda s: ~F.exists(more, lambda o: (distance(s, o) < 0) & (
         (o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["end"] > s["end"])))))
-    spans = F.concat("_base", clear_of(more, F.col("_base")))
-    return both.withColumn("_spans", ordered(spans, (*BASE, LIKELY))).drop("_key", "_base", "_likely")
+    spans = F.concat("__base", clear_of(more, F.col("__base")))
+    return both.withColumn(name, ordered(spans, (*BASE, LIKELY))).drop("__key", "__base", "__likely")
 
 
 def scan_personal(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
@@ -199,5 +200,5 @@ def scan_personal(docs: DataFrame, sample: int = SAMPLE, precision: float = PREC
 
 def redact_personal(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind."""
-    text = redacted(F.col("text"), F.col("_spans"))
-    return find_personal(docs).withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*docs.columns)
+    text = redacted(F.col("text"), F.col("__spans"))
+    return find_personal(docs, name="__spans").withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*docs.columns)

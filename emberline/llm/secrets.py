@@ -59,17 +59,18 @@ def linked(weak: Column, base: Column, reach: int) -> Column:
     return F.filter(weak, complete)
 
 
-def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """The rows of ``docs`` with a column ``_spans``: ordered spans (start, end, kind, found).
+def find_secrets(docs: DataFrame, reach: int = REACH, name: str = "_spans") -> DataFrame:
+    """The rows of ``docs`` with a column ``name``: ordered spans (start, end, kind, found).
 
     Null and empty texts have none; every row is searched by itself, so repeated rows and null ids
-    don't matter; a column of ``docs`` named _spans, _text, _base or _weak is replaced.
+    don't matter; a column of that name is replaced.
     """
-    rows = docs.drop("_spans", "_text", "_base", "_weak").withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    rows = rows.withColumn("_base", base_spans(F.col("_text"))).withColumn(
-        "_weak", clear_of(weak_spans(F.col("_text")), F.col("_base")))
-    spans = F.concat(F.col("_base"), linked(F.col("_weak"), F.col("_base"), reach))
-    return rows.withColumn("_spans", ordered(spans, KINDS)).drop("_text", "_base", "_weak")
+    text, base, weak = "__text", "__base", "__weak"
+    rows = docs.drop(name).withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = rows.withColumn(base, base_spans(F.col(text))).withColumn(
+        weak, clear_of(weak_spans(F.col(text)), F.col(base)))
+    spans = F.concat(F.col(base), linked(F.col(weak), F.col(base), reach))
+    return rows.withColumn(name, ordered(spans, KINDS)).drop(text, base, weak)
 
 
 def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
@@ -87,7 +88,8 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``docs`` with every span replaced by its kind, and ``n_chars`` (if there) counted anew."""
-    text = redacted(F.col("text"), F.col("_spans"))
-    out = find_secrets(docs, reach).withColumn("text", F.when(F.col("text").isNotNull(), text)).drop("_spans")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(
-        *docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    text = redacted(F.col("text"), F.col("__spans"))
+    out = find_secrets(docs, reach, "__spans").withColumn("text", F.when(F.col("text").isNotNull(), text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
