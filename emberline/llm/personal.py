@@ -133,7 +133,7 @@ def fitted(found: DataFrame, sample: int, precision: float):
     if len(sizes) < 2:
         return None
     place = F.pmod(F.xxhash64("key", "span.start", "span.end"), F.lit(1 << 30)) / (1 << 30)
-    share = reduce(lambda c, k: c.when(F.col("label") == k, sample / 2 / sizes[k]), sizes, F.when(F.lit(False), 1.0))
+    share = reduce(lambda c, k: c.when(F.col("label") == k, min(1.0, sample / 2 / sizes[k])), sizes, F.when(F.lit(False), 1.0))
     drawn = store(known.withColumn("_place", place / share).filter("_place < 1").select(
         "label", "_place", *FEATURES), "proposals")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
