@@ -1,18 +1,22 @@
 """Regressions on principal components, fitted by Spark ML.
 
-Only coefficients and component matrices (features x components) reach the driver.
+Scaling, components and scores are Spark ML transformers, so matrices stay on the JVM and no
+coefficient is spelled out in a plan.  Only coefficients and component matrices (features x
+components) come to Python.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import PCA, StandardScaler, StandardScalerModel, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +25,6 @@ from emberline.operators.evaluation import classification_metrics, information_c
 from emberline.operators.sampling import bootstrap_sample, train_test_split
 from emberline.session import store
 
-# PCA keeps a features x features matrix on the driver.
-MAX_FEATURES = 4000
-
 
 @dataclass
 class PcaLogistic:
@@ -32,27 +33,20 @@ class PcaLogistic:
     features: list[str]
     coef: list[float]
     intercept: float
-    mean: list[float]
-    std: list[float]
+    stages: PipelineModel
 
     def table(self, spark) -> DataFrame:
         rows = [(f, float(c)) for f, c in zip(self.features, self.coef)]
         return spark.createDataFrame(rows, "feature string, coef double")
 
-    def eta(self, vector: str = "features", intercept: bool = True) -> Column:
-        """Linear predictor as an expression on the vector of raw features."""
-        slopes = [c / s if s > 0 else 0.0 for c, s in zip(self.coef, self.std)]
-        shift = (self.intercept if intercept else 0.0) - float(np.dot(slopes, self.mean))
-        x = vector_to_array(F.col(vector))
-        weights = F.array(*[F.lit(float(w)) for w in slopes])
-        products = F.zip_with(x, weights, lambda a, b: a * b)
-        return F.aggregate(products, F.lit(shift), lambda acc, v: acc + v)
+    def scored(self, vectors: DataFrame) -> DataFrame:
+        """``vectors`` with ``eta``, the linear predictor, and ``prediction`` (0 or 1)."""
+        eta = vector_to_array(F.col("_raw"))[1]
+        return self.stages.transform(vectors).select(*vectors.columns, eta.alias("eta"), "prediction")
 
 
 def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
     """Label as 0/1, the kept columns, and one vector of the features."""
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"{len(features)} features; the components need a square matrix on the driver")
     numeric = df.select(
         *keep, F.col(label).cast("double").alias("label"),
         *[F.col(f).cast("double").alias(f) for f in features],
@@ -61,33 +55,14 @@ def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[
     return vector.transform(numeric).select(*keep, "label", "features")
 
 
-def _moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and population deviations."""
-    from pyspark.ml.stat import Summarizer
-
-    row = vectors.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("features")).alias("s"))
-    s = row.select("s.*").first()
-    n = int(s["count"])
-    var = s["variance"].toArray() * (n - 1) / n
-    return n, s["mean"].toArray(), np.sqrt(np.maximum(var, 0.0))
-
-
-def _scaled(vectors: DataFrame, mean: np.ndarray, std: np.ndarray) -> DataFrame:
-    """Population z-scores; a constant feature becomes zero."""
-    x = vector_to_array(F.col("features"))
-    m = F.array(*[F.lit(float(v)) for v in mean])
-    w = F.array(*[F.lit(1.0 / float(v) if v > 0 else 0.0) for v in std])
-    centred = F.zip_with(x, m, lambda a, b: a - b)
-    return vectors.withColumn("features", array_to_vector(F.zip_with(centred, w, lambda a, b: a * b)))
+def standardiser(vectors: DataFrame) -> StandardScalerModel:
+    """z-scores with the sample deviation into ``_z``; a constant feature becomes zero."""
+    return StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="_z").fit(vectors)
 
 
-def _logistic(vectors: DataFrame, column: str, n: int):
-    """L2 logistic regression whose penalty is half the squared norm per whole sample."""
-    lr = LogisticRegression(
-        featuresCol=column, labelCol="label", regParam=1.0 / n, elasticNetParam=0.0,
-        standardization=False, maxIter=200, tol=1e-6,
-    )
-    return lr.fit(vectors)
+def population_factor(n: int) -> float:
+    """What turns z-scores with the sample deviation into those with the population's."""
+    return math.sqrt(n / (n - 1)) if n > 1 else 1.0
 
 
 def fit_pca_logistic(vectors: DataFrame, features: Sequence[str], k: int) -> PcaLogistic:
@@ -97,51 +72,45 @@ def fit_pca_logistic(vectors: DataFrame, features: Sequence[str], k: int) -> Pca
 
 def fit_group_pca_logistic(vectors: DataFrame, features: Sequence[str],
                            groups: Mapping[str, tuple[Sequence[str], int]]) -> PcaLogistic:
-    """As :func:`fit_pca_logistic`, with separate components for each group of features."""
+    """As :func:`fit_pca_logistic`, with separate components for each group of features.
+
+    The penalty is half the squared norm per whole sample, for population z-scores.  Spark
+    scales by the sample deviation; the one factor between them goes into the penalty.
+    """
     features = list(features)
     place = {f: i for i, f in enumerate(features)}
-    n, mean, std = _moments(vectors)
-    scaled = _scaled(vectors, mean, std).persist()
+    scaler = standardiser(vectors)
+    scaled = scaler.transform(vectors).select("label", "_z").persist()
     try:
-        loadings = []
-        for columns, k in groups.values():
+        n = scaled.count()
+        stages, loadings, outputs = [scaler], [], []
+        for g, (columns, k) in enumerate(groups.values()):
             idx = [place[c] for c in columns]
-            part = scaled.select(_slice(idx).alias("part")) if len(idx) < len(features) else scaled.select(
-                F.col("features").alias("part"))
-            pca = PCA(k=min(k, len(idx)), inputCol="part", outputCol="pc").fit(part)
-            block = np.zeros((len(features), min(k, len(idx))))
+            part, rows = "_z", scaled
+            if idx != list(range(len(features))):
+                part = f"_part{g}"
+                stages.append(VectorSlicer(inputCol="_z", outputCol=part, indices=idx))
+                rows = stages[-1].transform(scaled)
+            pca = PCA(k=min(k, len(idx)), inputCol=part, outputCol=f"_pc{g}").fit(rows)
+            block = np.zeros((len(features), pca.getK()))
             block[idx, :] = pca.pc.toArray()
+            stages.append(pca)
             loadings.append(block)
-        basis = np.hstack(loadings)
-        projected = scaled.select("label", _project(basis).alias("pc"))
-        model = _logistic(projected, "pc", n)
-        coef = basis @ model.coefficients.toArray()
+            outputs.append(f"_pc{g}")
+        stages.append(VectorAssembler(inputCols=outputs, outputCol="_pcs"))
+        factor = population_factor(n)
+        projected = PipelineModel(stages[1:]).transform(scaled).select("label", "_pcs")
+        model = LogisticRegression(
+            featuresCol="_pcs", labelCol="label", regParam=1.0 / n / factor**2, elasticNetParam=0.0,
+            standardization=False, maxIter=200, tol=1e-6, rawPredictionCol="_raw", probabilityCol="_p",
+        ).fit(projected)
+        coef = np.hstack(loadings) @ model.coefficients.toArray() / factor
         return PcaLogistic(features, [float(c) for c in coef], float(model.intercept),
-                           [float(v) for v in mean], [float(v) for v in std])
+                           PipelineModel([*stages, model]))
     finally:
         scaled.unpersist()
 
 
-def _slice(idx: Sequence[int]) -> Column:
-    x = vector_to_array(F.col("features"))
-    return array_to_vector(F.transform(F.array(*[F.lit(i + 1) for i in idx]), lambda i: F.element_at(x, i)))
-
-
-def _project(basis: np.ndarray) -> Column:
-    """Features times a (features x components) matrix."""
-    x = vector_to_array(F.col("features"))
-
-    def dot(weights: np.ndarray) -> Column:
-        w = F.array(*[F.lit(float(v)) for v in weights])
-        return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-
-    return array_to_vector(F.array(*[dot(basis[:, j]) for j in range(basis.shape[1])]))
-
-
-def predict(model: PcaLogistic, vectors: DataFrame) -> DataFrame:
-    return vectors.withColumn("prediction", (model.eta() > 0).cast("double"))
-
-
 def pca_logistic(df: DataFrame, features: Sequence[str], label: str, k: int) -> DataFrame:
     """Coefficient of each standardised feature."""
     vectors = assemble(df, features, label)
@@ -161,8 +130,8 @@ def repeated_bootstrap_fit(df: DataFrame, features: Sequence[str], label: str, k
                            test: bool = True) -> tuple[DataFrame, DataFrame]:
     """Coefficients and test metrics of each resample.
 
-    The vectors are written once; a replicate draws weights, repeats rows by weight and
-    fits.  Returns (replicate, feature, coef) and (replicate, accuracy, precision, ...).
+    The vectors are written once; a replicate draws weights, repeats rows by weight (the
+    components take no weights) and fits.  Returns (replicate, feature, coef) and (replicate, accuracy, precision, ...).
     """
     spark = df.sparkSession
     groups = groups or {"all": (list(features), k)}
@@ -180,7 +149,7 @@ def repeated_bootstrap_fit(df: DataFrame, features: Sequence[str], label: str, k
         model = fit_group_pca_logistic(train.select("label", "features"), features, groups)
         coefs += [(b, f, c) for f, c in zip(model.features, model.coef)]
         if held is not None:
-            m = classification_metrics(predict(model, held), "prediction", "label").first()
+            m = classification_metrics(model.scored(held), "prediction", "label").first()
             metrics.append((b, *[None if v is None else float(v) for v in m]))
     return (
         spark.createDataFrame(coefs, "replicate int, feature string, coef double"),
@@ -238,8 +207,9 @@ def model_selection(df: DataFrame, features: Sequence[str], label: str, key: str
     rows = []
     for k in ks:
         model = fit_pca_logistic(train.select("label", "features"), features, k)
-        fit = information_criteria(train, F.col("label"), model.eta(intercept=with_intercept), k).first()
-        acc = classification_metrics(predict(model, held), "prediction", "label").first()["accuracy"]
+        eta: Column = F.col("eta") if with_intercept else F.col("eta") - model.intercept
+        fit = information_criteria(model.scored(train), F.col("label"), eta, k).first()
+        acc = classification_metrics(model.scored(held), "prediction", "label").first()["accuracy"]
         rows.append((int(k), float(acc), fit["log_likelihood"], fit["aic"], fit["bic"]))
     return df.sparkSession.createDataFrame(
         rows, "k int, accuracy double, log_likelihood double, aic double, bic double"
@@ -266,7 +236,6 @@ def logit_inference(df: DataFrame, features: Sequence[str], label: str, alpha: f
 def pca_loadings(df: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     """(component, feature, loading) of the standardised features."""
     vectors = assemble(df.withColumn("_y", F.lit(0.0)), features, "_y")
-    _, mean, std = _moments(vectors)
-    pc = PCA(k=k, inputCol="features", outputCol="pc").fit(_scaled(vectors, mean, std)).pc.toArray()
+    pc = PCA(k=k, inputCol="_z", outputCol="_pc").fit(standardiser(vectors).transform(vectors)).pc.toArray()
     rows = [(j, f, float(pc[i, j])) for j in range(k) for i, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "component int, feature string, loading double")

@@ -13,15 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.operators.models import _moments, _scaled, assemble
+from emberline.operators.models import assemble, population_factor, standardiser
 from emberline.operators.ordering import running_totals
 from emberline.session import store
 
-MAX_DURATIONS = 10_000
-MAX_CONCORDANCE_DURATIONS = 64
 _CHUNK = 1_000_000
 
 
@@ -59,10 +57,7 @@ def _grouped_sums(df: DataFrame, duration: str, event: str, xs: Sequence[str],
     died = [F.coalesce(F.sum(F.when(e, m)), F.lit(0.0)).alias(f"e{i}") for i, m in enumerate(moments)]
     seen = [F.coalesce(F.sum(F.when(e, F.col(x))), F.lit(0.0)).alias(f"x{i}") for i, x in enumerate(xs)]
     grouped = rows.groupBy(duration).agg(F.count_if(e).alias("d"), *every, *died, *seen)
-    found = grouped.limit(MAX_DURATIONS + 1).collect()
-    if len(found) > MAX_DURATIONS:
-        raise ValueError("durations must be whole days: too many distinct values")
-    return found
+    return grouped.collect()
 
 
 def _unpack(values: Sequence[float], d: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -110,6 +105,8 @@ def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], max_ite
             tol: float = 1e-9) -> CoxFit:
     """Newton steps, halved while the likelihood falls."""
     xs = list(xs)
+    # each step reads the rows again: write them once, without what the fit doesn't need
+    df = store(df.select(duration, event, *xs), "cox")
     means = df.agg(*[F.avg(x) for x in xs]).first()
     centre = np.array([float(v) for v in means])
     beta, step = np.zeros(len(xs)), np.zeros(len(xs))
@@ -144,52 +141,56 @@ def cox_pca(df: DataFrame, duration: str, event: str, features: Sequence[str], k
 
     Only components with p below ``alpha`` count, as in the usual reading of the fit.
     """
-    vectors = assemble(df.withColumn("_y", F.col(event)), features, "_y", keep=[duration, event])
-    _, mean, std = _moments(vectors)
-    scaled = _scaled(vectors, mean, std)
-    pca = PCA(k=k, inputCol="features", outputCol="pc").fit(scaled)
+    vectors = store(assemble(df.withColumn("_y", F.col(event)), features, "_y", keep=[duration, event]), "cox-vectors")
+    scaled = standardiser(vectors).transform(vectors)
+    factor = population_factor(vectors.count())
+    pca = PCA(k=k, inputCol="_z", outputCol="pc").fit(scaled)
     pcs = [f"pc{i}" for i in range(k)]
     array = vector_to_array(F.col("pc"))
-    scores = store(
-        pca.transform(scaled).select(duration, event, *[array[i].alias(n) for i, n in enumerate(pcs)]),
-        "cox-scores",
-    )
+    scores = pca.transform(scaled).select(duration, event, *[array[i].alias(n) for i, n in enumerate(pcs)])
     fit = fit_cox(scores, duration, event, pcs)
     kept = np.where(fit.p < alpha, fit.coef, 0.0)
-    back = pca.pc.toArray() @ kept
+    back = pca.pc.toArray() @ kept / factor
     rows = [(f, float(c)) for f, c in zip(features, back)]
     return df.sparkSession.createDataFrame(rows, "feature string, coef double")
 
 
+def _outlast(rows: DataFrame, group: Sequence[str]) -> float:
+    """Pairs of an event (``e``) with the rows (``ev``, ``ce``) of its group that outlast it.
+
+    ``rows`` has one row per group and duration ``t``, so no window holds more than the durations.
+    """
+    longer = Window.partitionBy(*group).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    more = F.coalesce(F.sum(F.col("ev") + F.col("ce")).over(longer), F.lit(0)) + F.col("ce")
+    pairs = rows.select((F.col("e").cast("double") * more).alias("pairs"))
+    return pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+
+
 def concordance(df: DataFrame, duration: str, event: str, eta: Column) -> DataFrame:
     """Share of comparable pairs that the risk orders rightly; equal risks count half.
 
-    A pair is comparable when the earlier one is an event, or at equal durations when
-    exactly one is.  Pairs are counted from running totals along the risk, never listed.
+    A pair is comparable when the earlier one is an event, or at equal durations when exactly
+    one is.  Pairs are never listed: risks are ranked, and two ranks differ first at one binary
+    digit, so a pair is counted in the group that shares the digits before it.  Per digit and
+    group the rows are summed by duration, which leaves running totals over durations.
     """
-    days = [r[0] for r in df.select(duration).distinct().limit(MAX_CONCORDANCE_DURATIONS + 1).collect()]
-    if len(days) > MAX_CONCORDANCE_DURATIONS:
-        raise ValueError("concordance needs few distinct durations")
-    days = sorted(days)
-    here = {t: F.col(duration) == F.lit(t) for t in days}
-    measures: dict[str, Column] = {}
-    for i, t in enumerate(days):
-        measures[f"ev{i}"] = (here[t] & F.col(event)).cast("long")
-        measures[f"ce{i}"] = (here[t] & ~F.col(event)).cast("long")
-    ranked = running_totals(df.withColumn("_eta", eta), [], "_eta", measures)
-
-    def later(prefix: str, i: int) -> Column:
-        cols = [F.col(f"{prefix}ce{i}")]
-        for j in range(i + 1, len(days)):
-            cols += [F.col(f"{prefix}ev{j}"), F.col(f"{prefix}ce{j}")]
-        return sum(cols[1:], cols[0])
-
-    n = range(len(days))
-    right = sum((F.col(f"ev{i}").cast("double") * later("before_", i) for i in n), F.lit(0.0))
-    tied = sum((F.col(f"ev{i}").cast("double") * later("", i) for i in n), F.lit(0.0))
-    pairs = ranked.agg(
-        F.sum(right).alias("right"), F.sum(tied).alias("tied"),
-        *[F.sum(m).alias(f"{m}") for m in measures],
-    )
-    comparable = sum((F.col(f"ev{i}").cast("double") * later("", i) for i in n), F.lit(0.0))
-    return pairs.select(((F.col("right") + F.col("tied") / 2) / comparable).alias("concordance"))
+    counted = store(
+        df.withColumn("_eta", eta).groupBy("_eta", F.col(duration).alias("t")).agg(
+            F.count_if(F.col(event)).alias("ev"), F.count_if(~F.col(event)).alias("ce")),
+        "concordance")
+    ranks = running_totals(counted.select("_eta").distinct(), [], "_eta", {"one": F.lit(1)})
+    rows = store(counted.join(ranks.select("_eta", F.col("before_one").alias("rank")), "_eta"), "concordance")
+    digits = max(1, int(ranks.count()).bit_length())
+    each = rows.withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))))
+    upper = (F.expr("shiftright(rank, digit)") % 2) == 1
+    zero = F.lit(0)
+    split = each.groupBy("digit", F.expr("shiftright(rank, digit + 1)").alias("prefix"), "t").agg(
+        F.sum(F.when(upper, F.col("ev")).otherwise(zero)).alias("e"),
+        F.sum(F.when(upper, zero).otherwise(F.col("ev"))).alias("ev"),
+        F.sum(F.when(upper, zero).otherwise(F.col("ce"))).alias("ce"))
+    right = _outlast(split, ["digit", "prefix"])
+    tied = _outlast(rows.withColumn("e", F.col("ev")), ["rank"])
+    every = rows.groupBy("t").agg(F.sum("ev").alias("ev"), F.sum("ce").alias("ce")).withColumn("e", F.col("ev"))
+    comparable = _outlast(every.withColumn("g", zero), ["g"])
+    value = (right + tied / 2) / comparable if comparable else None
+    return df.sparkSession.createDataFrame([(value,)], "concordance double")
