@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberline.catalog.registry import query
 from emberline.functions.time import date_from_path, month_label
 from emberline.schemas import KIND_FOLDER, NEWS_POSITIONS, NEWS_WIDTH
-from emberline.session import shared_dir
+from emberline.session import shared_dir, store
 from emberline.sources import news as nws
 from emberline.sources import posts as pst
 from emberline.sources import sinks
@@ -63,7 +63,7 @@ def _(spark, d):
 
     history = long_comments(spark, d).withColumn("month", month_label(F.col("day")))
     path = shared_dir(spark, "history")
-    sinks.sink_table(history.repartition("month"), path, "parquet", ["kind", "month"])
+    sinks.sink_table(sinks.spread(history, "month"), path, "parquet", ["kind", "month"])
     found = pst.scan_history(spark, path, ["1996-03", "1996-04", "2040-01"], "RC", history.schema)
     return found.select("id", "author", "month", "kind")
 
@@ -85,7 +85,7 @@ def write_news(spark, d) -> str:
         (values[names[i]] if i in names else F.lit("-")).alias(f"c{i}") for i in range(NEWS_WIDTH)
     ]
     out = rows.select(*columns, F.date_format("day", "yyyyMMdd").alias("file_day"))
-    out.repartition("file_day").write.partitionBy("file_day").option("sep", "\t").option(
+    sinks.spread(out, "file_day").write.partitionBy("file_day").option("sep", "\t").option(
         "encoding", "ISO-8859-1").option("compression", "gzip").csv(path)
     return path
 
@@ -115,36 +115,62 @@ def _(spark, d):
     return nws.file_volume(both.withColumn("month", month_label(F.col("day"))))
 
 
-@query("news_volume", """
-    SELECT CAST(g.day AS DATE) AS day, coalesce(n, 0) AS n
+def write_news_lines(spark, d) -> str:
+    """All documents as lines of news files, one folder per day; French ones are damaged.
+
+    A French document loses all but five of its fields, and on every seventh day the lines are
+    no text at all, so a file of that day has nothing to read.
+    """
+    path = shared_dir(spark, "news-lines")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 91).cast("int"))
+    name = F.date_format(day, "yyyyMMdd")
+    width = F.when(F.col("lang") == "fr", 5).otherwise(NEWS_WIDTH)
+    fields = F.array_join(F.concat(F.array(name, F.col("doc_id").cast("string")), F.array_repeat(F.lit("-"), width - 2)), "\t")
+    lines = v.table(spark, d, "documents").select(
+        F.when(F.col("doc_id") % 91 % 7 == 6, F.lit("damaged")).otherwise(fields).alias("value"), name.alias("file_day"))
+    sinks.spread(lines, "file_day").write.partitionBy("file_day").text(path)
+    return path
+
+
+# here the folder has the day
+def _day():
+    return F.to_date(F.regexp_extract("file_path", r"file_day=(\d{8})", 1), "yyyyMMdd")
+
+
+def audited(spark, d):
+    return nws.scan_news_audit(spark, f"{write_news_lines(spark, d)}/*")
+
+
+_LINES = """
+    SELECT doc_id, DATE '2024-01-01' + CAST(doc_id % 91 AS INTEGER) AS day, lang <> 'fr' AND doc_id % 91 % 7 <> 6 AS ok
+    FROM documents"""
+
+
+@query("news_volume", f"""
+    SELECT CAST(g.day AS DATE) AS day, CAST(coalesce(n, 0) AS BIGINT) AS n
     FROM (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-04-05', INTERVAL 1 DAY)) AS day) g
-    LEFT JOIN (SELECT day, count(*) AS n FROM news WHERE contains(V2Themes, 'eau') GROUP BY day) c ON CAST(g.day AS DATE) = c.day""")
+    LEFT JOIN (SELECT day, count(*) FILTER (ok) AS n FROM ({_LINES}) GROUP BY day) c ON CAST(g.day AS DATE) = c.day""")
 def _(spark, d):
-    rows = v.news(spark, d).filter(F.col("V2Themes").contains("eau"))
-    return nws.news_volume(rows, "day", "2023-12-25", "2024-04-05")
+    per_file = nws.file_audit(audited(spark, d), _day())
+    return nws.news_volume(per_file, "day", "2023-12-25", "2024-04-05", records="good")
 
 
-@query("bad_record_audit", """
-    SELECT day, count(*) FILTER (lang <> 'fr') AS good, count(*) FILTER (lang = 'fr') AS bad
-    FROM (SELECT lang, strftime(DATE '2024-01-01' + CAST(doc_id % 91 AS INTEGER), '%Y%m%d') AS day FROM documents) GROUP BY day""")
+@query("bad_record_audit", f"""
+    SELECT CAST(day AS DATE) AS day, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad FROM ({_LINES}) GROUP BY day""")
 def _(spark, d):
-    path = shared_dir(spark, "audit")
-    width = F.when(F.col("lang") == "fr", 5).otherwise(NEWS_WIDTH)
-    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 91).cast("int")), "yyyyMMdd")
-    lines = v.table(spark, d, "documents").select(
-        F.array_join(F.array_repeat(day, width), "\t").alias("value"))
-    lines.write.text(path)
-    return nws.bad_record_audit(nws.scan_news_audit(spark, path), "DATE").withColumnRenamed("DATE", "day")
+    rows = audited(spark, d)
+    return nws.bad_record_audit(rows.withColumn("day", _day()), "day")
 
 
-@query("corrupted_inputs", """
-    SELECT strftime(DATE '2024-01-01' + CAST(doc_id % 91 AS INTEGER), '%Y%m%d') AS file_day, count(*) AS bad
-    FROM documents WHERE lang = 'fr' GROUP BY 1""")
+@query("corrupted_inputs", f"""
+    SELECT CAST(day AS DATE) AS day, count(*) FILTER (NOT ok) AS bad, count(*) FILTER (ok) = 0 AS unreadable
+    FROM ({_LINES}) GROUP BY day HAVING count(*) FILTER (NOT ok) > 0""")
 def _(spark, d):
-    rows = v.table(spark, d, "documents").select(
-        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 91).cast("int")), "yyyyMMdd")
-        .alias("file_day"), (F.col("lang") != "fr").alias("ok"))
-    return nws.corrupted_inputs(rows, "file_day")
+    # a day is several files here: the rule per file is tested on files of one
+    audit = store(nws.file_audit(audited(spark, d), _day()), "file-audit")
+    every = audit.groupBy("day").agg(F.sum("good").alias("good"))
+    return nws.corrupted_inputs(audit).groupBy("day").agg(F.sum("bad").alias("bad")).join(every, "day").select(
+        "day", "bad", (F.col("good") == 0).alias("unreadable"))
 
 
 @query("date_from_path", """
@@ -182,7 +208,7 @@ def _(spark, d):
     path = shared_dir(spark, "months")
     posts = long_comments(spark, d).select("id", month_label(F.col("day")).alias("month"))
     first = posts.filter(F.col("month") < "1998-01").withColumn("version", F.lit(1))
-    sinks.incremental_month_load(first.repartition("month"), path)
-    sinks.incremental_month_load(posts.withColumn("version", F.lit(2)).repartition("month"), path)
+    sinks.incremental_month_load(first, path)
+    sinks.incremental_month_load(posts.withColumn("version", F.lit(2)), path)
     back = spark.read.schema("id string, version int, month string").parquet(path)
     return back.groupBy("month", "version").agg(F.count("*").alias("n"))

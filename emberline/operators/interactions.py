@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.schemas import PAIRINGS
@@ -17,10 +17,6 @@ from emberline.session import store
 
 # Prefix of a full item key by kind of post.
 KIND_PREFIX = {"RC": "t1_", "RS": "t3_"}
-# Fixed value: bits in one of Spark's bitmaps.
-BITMAP_BITS = 32768
-# Active authors of an item up to which listing them is cheaper than a bitmap.
-DIRECT_LIMIT = 200
 
 _ITEM = ["pairing", "item"]
 _KEY = ["pairing", "author", "week_idx"]
@@ -32,14 +28,15 @@ def _full_id() -> Column:
 
 
 def _keyed(posts: DataFrame, side: int, columns: Sequence[str], pairings: Sequence[str]) -> DataFrame:
-    """One row per post and pairing under which it has an item key."""
+    """One row per post and pairing under which it has an item key; a post needs an author."""
     def item(pairing: str) -> Column:
         key = PAIRINGS[pairing][side]
         return _full_id() if key == "id" else F.col(key)
 
     keys = F.array(*[F.struct(F.lit(p).alias("pairing"), item(p).alias("item")) for p in pairings])
     return (
-        posts.select(*columns, F.explode(keys).alias("_k"))
+        posts.filter(F.col("author").isNotNull())
+        .select(*columns, F.explode(keys).alias("_k"))
         .select(*columns, "_k.pairing", "_k.item")
         .filter(F.col("item").isNotNull())
     )
@@ -90,106 +87,38 @@ def interaction_semi_prefilter(window: DataFrame, active: DataFrame, pairing: st
     return rows.join(keys, "item", "left_semi").drop("item")
 
 
-def _bit_places(items: DataFrame, load: int = BITMAP_BITS // 2) -> DataFrame:
-    """A (block, bit) of its own for every active author.
-
-    Authors are hashed to blocks and numbered inside their block, which holds about ``load``
-    of them; should a block overflow, the surplus goes to a further block.
-    """
-    authors = items.select("author_active").distinct()
-    blocks = max(1, -(-authors.count() // load))
-    h = F.pmod(F.xxhash64("author_active"), F.lit(blocks))
-    n = F.row_number().over(Window.partitionBy("_h").orderBy("author_active")) - 1
-    return authors.withColumn("_h", h).withColumn("_n", n).select(
-        "author_active",
-        (F.col("_h") + blocks * F.floor(F.col("_n") / BITMAP_BITS)).alias("_block"),
-        (F.col("_n") % BITMAP_BITS).alias("_bit"),
-    )
-
-
-def _bit_is_set(bits: Column, place: Column) -> Column:
-    byte = F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), place % 8) == 1
-
-
-def interaction_counts(met: DataFrame, items: DataFrame, limit: int = DIRECT_LIMIT) -> DataFrame:
+def interaction_counts(met: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs and distinct active authors per (pairing, author, week).
 
     ``n_pairs`` counts joined pairs of posts, not distinct posts; it is a sum of products.
-    ``n_active_authors`` counts the distinct other active authors over all items of a key.
-    A key with one item has its answer in the join.  Otherwise an item with at most
-    ``limit`` active authors is expanded to its authors.  A larger item is a set of bitmaps
-    over all active authors, never a list of pairs: the union for each distinct set of large
-    items is an OR of bitmaps, and expanded authors whose bit is already set are not counted
-    again.  The result is exact for every ``limit``.
-
-    The summary per key is written once: four branches read different columns of it, which
-    would otherwise be four aggregations.
+    ``n_active_authors`` counts the distinct other active authors over all items of a key.  It
+    is the sum over items where no active author comes twice, so only repeats are looked at:
+
+    * a key with one item has its answer in the join;
+    * of the others, an active author can come twice only if they have several items of the
+      pairing, so the join is repeated with these authors alone and counts how often each
+      meets the key beyond the first time.
+
+    The pairs that this second join makes are grouped by (key, active author) with a map-side
+    combine, and AQE splits a popular item; no row holds more than a few columns.
     """
-    large = F.col("active_authors") + F.col("is_active").cast("long") > limit
-    summary = met.groupBy(*_KEY).agg(
-        F.count("*").alias("_k"),
-        F.sum("active_authors").alias("_sum"),
-        F.sum(F.col("n") * F.col("active_posts")).alias("n_pairs"),
-        F.sort_array(F.collect_set(F.when(large, F.col("item")))).alias("_large"),
-        F.max(large & F.col("is_active")).alias("_own_large"),
-    )
-    keys = store(summary, "interaction-keys")
-    single = keys.filter(F.col("_k") == 1).select(
-        *_KEY, "n_pairs", F.col("_sum").alias("n_active_authors")
-    )
-    many = keys.filter(F.col("_k") > 1)
-
-    places = _bit_places(items)
-    big = items.groupBy(*_ITEM).agg(F.count("*").alias("_m")).filter(F.col("_m") > limit).select(*_ITEM)
-    bitmaps = (
-        items.join(big, _ITEM, "left_semi")
-        .join(places, "author_active")
-        .groupBy(*_ITEM, "_block")
-        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    )
-    sets = (
-        many.filter(F.size("_large") > 0)
-        .select("pairing", "_large")
-        .distinct()
-        .withColumn("item", F.explode("_large"))
-        .join(bitmaps, _ITEM)
-        .groupBy("pairing", "_large", "_block")
-        .agg(F.bitmap_or_agg("_bits").alias("_bits"))
-    )
-    unions = sets.groupBy("pairing", "_large").agg(F.sum(F.bitmap_count("_bits")).alias("_union"))
-    expanded = (
-        met.filter(~large)
-        .select(*_KEY, "item")
-        .join(many.select(*_KEY, "_large"), _KEY)
-        .join(items.select(*_ITEM, "author_active"), _ITEM)
+    per_key = met.groupBy(*_KEY).agg(
+        F.count("*").alias("_k"), F.sum("active_authors").alias("_sum"),
+        F.sum(F.col("n") * F.col("active_posts")).alias("n_pairs"))
+    keys = store(per_key, "interaction-keys")
+    several = keys.filter("_k > 1").select(*_KEY)
+    busy = items.groupBy("pairing", "author_active").agg(F.count("*").alias("_m")).filter("_m > 1")
+    repeated = items.join(busy.select("pairing", "author_active"), ["pairing", "author_active"], "left_semi")
+    pairs = (
+        met.select(*_KEY, "item")
+        .join(several, _KEY, "left_semi")
+        .join(repeated.select(*_ITEM, "author_active"), _ITEM)
         .filter(F.col("author") != F.col("author_active"))
-        .select(*_KEY, "_large", "author_active")
-        .distinct()
-    )
-    alone = expanded.filter(F.size("_large") == 0).select(*_KEY)
-    beside = (
-        expanded.filter(F.size("_large") > 0)
-        .join(places, "author_active")
-        .join(sets, ["pairing", "_large", "_block"], "left")
-        .filter(F.col("_bits").isNull() | ~_bit_is_set(F.col("_bits"), F.col("_bit")))
-        .select(*_KEY)
-    )
-    added = alone.unionByName(beside).groupBy(*_KEY).agg(F.count("*").alias("_direct"))
-    several = (
-        many.join(added, _KEY, "left")
-        .join(unions, ["pairing", "_large"], "left")
-        .select(
-            *_KEY,
-            "n_pairs",
-            (
-                F.coalesce("_direct", F.lit(0))
-                + F.coalesce("_union", F.lit(0))
-                - F.coalesce(F.col("_own_large").cast("long"), F.lit(0))
-            ).alias("n_active_authors"),
-        )
     )
-    return single.unionByName(several)
+    again = pairs.groupBy(*_KEY, "author_active").agg((F.count("*") - 1).alias("_again")).filter("_again > 0")
+    surplus = again.groupBy(*_KEY).agg(F.sum("_again").alias("_again"))
+    return keys.join(surplus, _KEY, "left").select(
+        *_KEY, "n_pairs", (F.col("_sum") - F.coalesce("_again", F.lit(0))).alias("n_active_authors"))
 
 
 def interaction_features(counts: DataFrame, pairings: Sequence[str] = tuple(PAIRINGS)) -> DataFrame:

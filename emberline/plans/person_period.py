@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from emberline.functions.time import month_start, person_period_duration, week_idx, week_spine
 from emberline.operators.aggregates import weekly_activity
 from emberline.operators.interactions import (
-    DIRECT_LIMIT,
     active_items,
     active_posts,
     interaction_counts,
@@ -74,7 +73,7 @@ def pipe_person_period(posts: DataFrame, authors: DataFrame, extra: Sequence[Dat
 
 
 def pipe_interactions(window: DataFrame, history: DataFrame, subreddit_class: str, own: Sequence[str],
-                      pairings: Sequence[str] = tuple(PAIRINGS), limit: int = DIRECT_LIMIT) -> DataFrame:
+                      pairings: Sequence[str] = tuple(PAIRINGS)) -> DataFrame:
     """Interaction features per (author, week): four pairings, pairs and distinct authors.
 
     ``window`` are posts of all studied authors with week_idx; ``history`` are the posts of
@@ -83,4 +82,4 @@ def pipe_interactions(window: DataFrame, history: DataFrame, subreddit_class: st
     """
     items = store(active_items(active_posts(history, subreddit_class, own), pairings), "active-items")
     met = store(interaction_join(window, items, pairings), "interactions")
-    return interaction_features(interaction_counts(met, items, limit), pairings)
+    return interaction_features(interaction_counts(met, items), pairings)

@@ -34,6 +34,12 @@ def read_table(spark, path: str, fmt: str, schema) -> DataFrame:
     return spark.read.format(source).options(**keep).schema(schema).load(path)
 
 
+def spread(df: DataFrame, partition: str, files: int = 8) -> DataFrame:
+    """Rows of a partition value go to ``files`` tasks, so that no task writes a whole month."""
+    columns = [c for c in df.columns if c != partition]
+    return df.repartition(partition, F.pmod(F.xxhash64(*columns), F.lit(files)))
+
+
 def incremental_month_load(df: DataFrame, path: str, partition: str = "month",
                            overwrite: Sequence[str] = ()) -> None:
     """Append only the partitions that the table at ``path`` does not hold yet.
@@ -46,11 +52,14 @@ def incremental_month_load(df: DataFrame, path: str, partition: str = "month",
     try:
         listed = spark.read.parquet(path).select(F.col(partition).cast("string"))
         present = {r[0] for r in listed.distinct().collect()}
-    except AnalysisException:
+    except AnalysisException as e:
+        # only a table that is not there yet; anything else must not lead to an overwrite
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         present = set()
     missing = df.filter(~F.col(partition).isin(sorted(present - set(overwrite)))) if present else df
     (
-        missing.write.mode("overwrite")
+        spread(missing, partition).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)

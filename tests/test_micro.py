@@ -102,6 +102,33 @@ def test_tolerant_parsing(spark):
     assert [r.body for r in posts_from_text(df, "RS").collect()] == [None, None, "t"]
 
 
+def test_news_audit_by_file(spark, tmp_path):
+    from emberline.schemas import NEWS_WIDTH
+    from emberline.sources import news
+
+    good = "\t".join(["20240105"] + ["-"] * (NEWS_WIDTH - 1))
+    files = {"20240105001500.csv": [good, good, "short\tline"], "20240105003000.csv": ["no news"], "20240107000000.csv": [good]}
+    for name, lines in files.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    audit = news.file_audit(news.scan_news_audit(spark, str(tmp_path)))
+    got = {r.file_path.rsplit("/", 1)[1]: (r.day, r.good, r.bad, r.unreadable) for r in audit.collect()}
+    assert got == {"20240105001500.csv": (D(2024, 1, 5), 2, 1, False), "20240105003000.csv": (D(2024, 1, 5), 0, 1, True),
+                   "20240107000000.csv": (D(2024, 1, 7), 1, 0, False)}
+    assert [r.n for r in news.news_volume(audit, records="good").orderBy("day").collect()] == [2, 0, 1]
+    assert {r.file_path[-18:] for r in news.corrupted_inputs(audit).collect()} == set(list(files)[:2])
+
+
+def test_faulty_load_keeps_the_months_there(spark, tmp_path):
+    from emberline.sources import sinks
+
+    path = str(tmp_path / "months")
+    sinks.incremental_month_load(spark.createDataFrame([("a", "2024-01")], "id string, month string"), path)
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        sinks.incremental_month_load(
+            spark.createDataFrame([("b", "2024-01")], "id string, quarter string"), path, partition="quarter")
+    assert [tuple(r) for r in spark.read.parquet(path).select("id", "month").collect()] == [("a", "2024-01")]
+
+
 def test_first_activation_tie_and_empty(spark):
     rows = [("a", 10, "z", "s1"), ("a", 10, "y", "s2"), ("b", 5, "q", "s3")]
     df = spark.createDataFrame(rows, "author string, created_utc long, id string, subreddit string").withColumn(
@@ -207,15 +234,17 @@ def _random_posts(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("limit", [0, 2, 5, 10_000])
-def test_interactions_match_brute_force(spark, limit):
-    rng = random.Random(5)
+@pytest.mark.parametrize("seed", [5, 6])
+def test_interactions_match_brute_force(spark, seed):
+    rng = random.Random(seed)
     mine, act = _random_posts(rng, 400), _random_posts(rng, 300)
+    mine += [(None, 1, "RC", "9001", "t3_0", "t1_5")] * 3  # posts without author meet nobody
+    act += [(None, 1, "RC", "9002", "t3_0", "t1_5")] * 3
     schema = "author string, week_idx int, kind string, id string, link_id string, parent_id string"
     items = inter.active_items(spark.createDataFrame(act, schema))
     met = inter.interaction_join(spark.createDataFrame(mine, schema), items)
     got = {(r.pairing, r.author, r.week_idx): (r.n_pairs, r.n_active_authors)
-           for r in inter.interaction_counts(met, items, limit).collect()}
+           for r in inter.interaction_counts(met, items).collect()}
 
     def key(post, name):
         author, week, kind, pid, link, parent = post
@@ -224,6 +253,8 @@ def test_interactions_match_brute_force(spark, limit):
     want = {}
     for p, (a_key, o_key) in PAIRINGS.items():
         for m, a in itertools.product(mine, act):
+            if m[0] is None or a[0] is None:
+                continue
             k = key(m, o_key)
             if k is not None and k == key(a, a_key) and m[0] != a[0]:
                 n, who = want.setdefault((p, m[0], m[1]), (0, set()))
@@ -231,6 +262,21 @@ def test_interactions_match_brute_force(spark, limit):
     assert got == {k: (n, len(who)) for k, (n, who) in want.items()}
 
 
+def test_thread_of_many_active_authors(spark):
+    act = spark.range(10_000).select(
+        F.concat(F.lit("a"), F.col("id").cast("string")).alias("author"), F.lit("RC").alias("kind"),
+        F.concat(F.lit("x"), F.col("id").cast("string")).alias("id"), F.lit("t3_hot").alias("link_id"),
+        F.concat(F.lit("t1_"), (F.col("id") % 2).cast("string")).alias("parent_id"))
+    mine = spark.createDataFrame(
+        [("u", 1, "RC", "m1", "t3_hot", "t1_0"), ("u", 1, "RC", "m2", "t3_hot", "t1_1"), ("a5", 1, "RC", "m3", "t3_hot", "t1_0")],
+        "author string, week_idx int, kind string, id string, link_id string, parent_id string")
+    items = inter.active_items(act)
+    got = {(r.pairing, r.author): (r.n_pairs, r.n_active_authors)
+           for r in inter.interaction_counts(inter.interaction_join(mine, items), items).collect()}
+    assert got[("thread", "u")] == (20_000, 10_000) and got[("thread", "a5")] == (9_999, 9_999)
+    assert got[("sibling", "u")] == (10_000, 10_000) and got[("sibling", "a5")] == (5_000, 5_000)
+
+
 def test_interaction_is_of_the_class_and_outside_its_communities(spark):
     h = spark.createDataFrame(
         [("a", "own", "x"), ("a", "else", "x"), ("a", "else", "y")], "author string, subreddit string, subreddit_class string")
