@@ -125,25 +125,27 @@ def _(spark, d):
     return rounded(agg.lag_mean(lagged, ["a", "b"], ["medium"]))
 
 
+_COMMUNITIES = [f"c{i}" for i in range(20)] + ["c99"]
+
+
 @query("participation_pivot", f"""
     WITH f AS (SELECT DISTINCT author, {wk('day')} AS week_idx, subreddit FROM posts), s AS (SELECT DISTINCT author, week_idx FROM f)
-    SELECT s.author, s.week_idx, bool_or(f.subreddit = 'c1') AS rc1_medium, bool_or(f.subreddit = 'c2') AS rc2_medium,
-      bool_or(f.subreddit = 'c99') AS rc99_medium
-    FROM s JOIN f ON f.author = s.author AND f.week_idx BETWEEN s.week_idx - 3 AND s.week_idx - 2
-    WHERE f.subreddit IN ('c1', 'c2', 'c99') GROUP BY 1, 2""")
+    SELECT s.author, s.week_idx, {", ".join(f"bool_or(f.subreddit = '{c}') AS r{c}_medium" for c in _COMMUNITIES)}
+    FROM s JOIN f ON f.author = s.author AND f.week_idx BETWEEN s.week_idx - 3 AND s.week_idx - 2 GROUP BY 1, 2""")
 def _(spark, d):
     facts = v.posts_short(spark, d).select(
         "author", week_idx(F.col("day")).alias("week_idx"), "subreddit").distinct()
     lagged = jn.lag_week_join(facts.select(*_KEY).distinct(), facts, {"medium": (4, 2)})
-    return agg.participation_pivot(agg.participation_long(lagged), ["c1", "c2", "c99"], ["medium"])
+    return agg.participation_pivot(agg.participation_long(lagged), _COMMUNITIES, ["medium"])
+
+
+_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
-@query("author_community_matrix", """
-    SELECT author, count(*) FILTER (subreddit = 'Brand#1') AS "Brand#1", count(*) FILTER (subreddit = 'Brand#2') AS "Brand#2",
-      count(*) FILTER (subreddit = 'Brand#3') AS "Brand#3"
-    FROM comments WHERE subreddit IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY author""")
+@query("author_community_matrix", "SELECT author, " + ", ".join(
+    f"count(*) FILTER (subreddit = '{b}') AS \"{b}\"" for b in _BRANDS) + " FROM comments GROUP BY author")
 def _(spark, d):
-    return agg.author_community_matrix(v.comments_long(spark, d), ["Brand#1", "Brand#2", "Brand#3"])
+    return agg.author_community_matrix(v.comments_long(spark, d), _BRANDS)
 
 
 @query("participation_score", "SELECT author, week_idx, " + ", ".join(f"{r(f'sum({a})')} AS {a}" for a in ATTRIBUTES) + f"""
@@ -237,33 +239,33 @@ def _(spark, d):
     return rounded(agg.weekly_median(c, ["score", "len"]))
 
 
-_DIMS = [f"e{i}" for i in range(1, 9)]
+_DIMS = [f"e{i}" for i in range(1, 65)]
 
 
-def flat_vectors(spark, d, dims: int = 8):
-    """The first dimensions of the vectors as columns e1, e2, ..."""
+def flat_vectors(spark, d, dims: int = 64):
+    """The dimensions of the vectors as columns e1, e2, ..."""
     return v.labelled_vectors(spark, d).select(
         "vec_id", "activation", "label", *[F.col("embedding")[i].alias(f"e{i + 1}") for i in range(dims)])
 
 
 @query("group_mean_ratio", " UNION ALL ".join(
     f"SELECT 'e{i}' AS feature, {r(f'avg(embedding[{i}]) FILTER (activation) / avg(embedding[{i}]) FILTER (NOT activation)')} AS ratio FROM vectors"
-    for i in range(1, 9)))
+    for i in range(1, 65)))
 def _(spark, d):
     return rounded(agg.group_mean_ratio(flat_vectors(spark, d), "activation", _DIMS))
 
 
 @query("corr_with_label", " UNION ALL ".join(
-    f"SELECT 'e{i}' AS feature, {r(f'corr(embedding[{i}], CAST(activation AS INTEGER))')} AS corr FROM vectors" for i in range(1, 9)))
+    f"SELECT 'e{i}' AS feature, {r(f'corr(embedding[{i}], CAST(activation AS INTEGER))')} AS corr FROM vectors" for i in range(1, 65)))
 def _(spark, d):
     return rounded(agg.corr_with_label(flat_vectors(spark, d), "activation", _DIMS))
 
 
-@query("corr_matrix", " UNION ALL ".join(
-    f"SELECT 'e{i}' AS a, 'e{j}' AS b, {r(f'corr(embedding[{i}], embedding[{j}])')} AS corr FROM vectors"
-    for i in range(1, 5) for j in range(1, 5)))
+@query("corr_matrix", f"""
+    WITH e AS (SELECT vec_id, i, embedding[i] AS x FROM vectors, range(1, 65) t(i))
+    SELECT 'e' || a.i AS a, 'e' || b.i AS b, {r('corr(a.x, b.x)')} AS corr FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""")
 def _(spark, d):
-    return rounded(agg.corr_matrix(flat_vectors(spark, d), _DIMS[:4]))
+    return rounded(agg.corr_matrix(flat_vectors(spark, d), _DIMS))
 
 
 @query("quality_ratios", f"""

@@ -77,13 +77,12 @@ def _(spark, d):
 
 
 @query("left_feature_merge", """
-    SELECT a.author, coalesce(c.n, 0) AS n_comments, coalesce(s.n, 0) AS n_late
-    FROM authors a LEFT JOIN (SELECT author, count(*) AS n FROM comments WHERE body = 'PROMO' GROUP BY author) c ON a.author = c.author
-    LEFT JOIN (SELECT author, count(*) AS n FROM subs WHERE day >= DATE '2001-06-01' GROUP BY author) s ON a.author = s.author""")
+    SELECT a.author, coalesce(c.n, 0) AS n_comments, coalesce(s.n, 0) AS n_submissions
+    FROM authors a LEFT JOIN (SELECT author, count(*) AS n FROM comments GROUP BY author) c ON a.author = c.author
+    LEFT JOIN (SELECT author, count(*) AS n FROM subs GROUP BY author) s ON a.author = s.author""")
 def _(spark, d):
-    c = v.comments_long(spark, d).filter(F.col("body") == "PROMO").groupBy("author").agg(F.count("*").alias("n_comments"))
-    late = F.col("day") >= F.lit("2001-06-01").cast("date")
-    s = v.submissions_long(spark, d).filter(late).groupBy("author").agg(F.count("*").alias("n_late"))
+    c = v.comments_long(spark, d).groupBy("author").agg(F.count("*").alias("n_comments"))
+    s = v.submissions_long(spark, d).groupBy("author").agg(F.count("*").alias("n_submissions"))
     return jn.left_feature_merge(v.authors_long(spark, d).select("author"), [c, s], ["author"])
 
 
@@ -103,24 +102,24 @@ def _(spark, d):
 
 
 @query("inner_reduce_merge", """
-    SELECT a.author, a.n AS n_economy, b.n AS n_promo, c.n AS n_small
-    FROM (SELECT author, count(*) AS n FROM comments WHERE body = 'ECONOMY' GROUP BY 1) a
-    JOIN (SELECT author, count(*) AS n FROM comments WHERE body = 'PROMO' GROUP BY 1) b ON a.author = b.author
-    JOIN (SELECT author, count(*) AS n FROM comments WHERE body = 'SMALL' GROUP BY 1) c ON a.author = c.author""")
+    SELECT a.author, a.n AS n_comments, b.n AS n_communities, c.n AS n_submissions
+    FROM (SELECT author, count(*) AS n FROM comments GROUP BY 1) a
+    JOIN (SELECT author, count(DISTINCT subreddit) AS n FROM comments GROUP BY 1) b ON a.author = b.author
+    JOIN (SELECT author, count(*) AS n FROM subs GROUP BY 1) c ON a.author = c.author""")
 def _(spark, d):
-    c = v.comments_long(spark, d)
-    parts = [
-        c.filter(F.col("body") == b).groupBy("author").agg(F.count("*").alias(f"n_{b.lower()}"))
-        for b in ("ECONOMY", "PROMO", "SMALL")
-    ]
-    return jn.inner_reduce_merge(parts, ["author"])
+    c, s = v.comments_long(spark, d), v.submissions_long(spark, d)
+    return jn.inner_reduce_merge([
+        c.groupBy("author").agg(F.count("*").alias("n_comments")),
+        c.groupBy("author").agg(F.countDistinct("subreddit").alias("n_communities")),
+        s.groupBy("author").agg(F.count("*").alias("n_submissions")),
+    ], ["author"])
 
 
 @query("vocab_right_join", """
     SELECT v.subreddit, coalesce(p.author, '-- NO  AUTHORS --') AS author, coalesce(p.id, '-- NO  AUTHORS --') AS id
-    FROM (VALUES ('c1'), ('c2'), ('c99')) v(subreddit) LEFT JOIN posts p ON p.subreddit = v.subreddit""")
+    FROM (SELECT 'c' || i AS subreddit FROM range(20) t(i) UNION ALL SELECT 'c99') v LEFT JOIN posts p ON p.subreddit = v.subreddit""")
 def _(spark, d):
-    vocab = names_frame(spark, ["c1", "c2", "c99"], "subreddit")
+    vocab = names_frame(spark, [*[f"c{i}" for i in range(20)], "c99"], "subreddit")
     return jn.vocab_right_join(v.posts_short(spark, d).select("author", "subreddit", "id"), vocab, "subreddit")
 
 

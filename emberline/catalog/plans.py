@@ -16,13 +16,12 @@ from emberline.plans import features as ft
 from emberline.plans.activation import activated_authors, pipe_activation
 from emberline.plans.news_exposure import LAGS, exposure, news_weeks, pipe_news_exposure, region_exposure
 from emberline.plans.person_period import pipe_interactions, pipe_person_period
-from emberline.schemas import ATTRIBUTES, CONTROL, NORM_NEWS, PAIRINGS
+from emberline.schemas import ATTRIBUTES, CONTROL, INTERACTION, NORM_NEWS, PAIRINGS
 from emberline.session import store
 from emberline.sources import views as v
 
-VOCAB = ["Brand#1", "Brand#2", "Brand#5", "Brand#16", "Brand#25", "BUILDING"]
 MEETINGS = ["n_pairs_sibling", "n_active_authors_sibling"]
-FEATURES = [*CONTROL, *MEETINGS]
+FEATURES = [*CONTROL, *INTERACTION]
 _FLAGS = {"strike": v.NEWS_STRIKE, "substrings": v.NEWS_FLAGS, "separators": "[ ;,]"}
 _KEY = ["author", "week_idx"]
 
@@ -74,14 +73,29 @@ def _(spark, d):
 # ---- person period ---------------------------------------------------------------------------
 
 _ACT = ", ".join(f"coalesce(a.{c}, 0) AS {c}" for c in CONTROL)
-reg.CTES["linter"] = """
-    SELECT m.author, m.week_idx, count(*) AS n_pairs_sibling, count(DISTINCT a.author) AS n_active_authors_sibling
-    FROM lposts m JOIN (SELECT h.author, h.parent_id FROM lposts h JOIN class_act s ON h.author = s.author
-        WHERE s.subreddit_class = 'activism' AND date_trunc('month', h.day) >= date_trunc('month', s.date) AND h.subreddit <> 'Brand#2') a
-      ON m.parent_id = a.parent_id AND m.author <> a.author GROUP BY 1, 2"""
+_FULL_ID = "CASE WHEN kind = 'RS' THEN 't3_' ELSE 't1_' END || id"
+
+
+def _keys(side: int, table: str, columns: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {columns}, '{p}' AS pairing, {_FULL_ID if keys[side] == 'id' else keys[side]} AS item FROM {table}"
+        for p, keys in PAIRINGS.items())
+
+
+reg.CTES["lactive"] = """
+    SELECT h.* FROM lposts h JOIN class_act s ON h.author = s.author
+    WHERE s.subreddit_class = 'activism' AND date_trunc('month', h.day) >= date_trunc('month', s.date) AND h.subreddit <> 'Brand#2'"""
+reg.CTES["lactkeys"] = "SELECT author, pairing, item, count(*) AS n FROM (" + _keys(0, "lactive", "author") + ") GROUP BY ALL"
+reg.CTES["lmykeys"] = ("SELECT author, week_idx, pairing, item, count(*) AS n FROM ("
+                       + _keys(1, "lposts", "author, week_idx") + ") GROUP BY ALL")
+reg.CTES["linter"] = "SELECT author, week_idx, " + ", ".join(
+    f"CAST(coalesce(sum(n) FILTER (pairing = '{p}'), 0) AS BIGINT) AS n_pairs_{p}, "
+    f"count(DISTINCT active) FILTER (pairing = '{p}') AS n_active_authors_{p}" for p in PAIRINGS) + """
+    FROM (SELECT m.author, m.week_idx, pairing, a.author AS active, m.n * a.n AS n FROM lmykeys m JOIN lactkeys a USING (pairing, item)
+      WHERE m.author <> a.author) GROUP BY 1, 2"""
 reg.CTES["facts"] = f"""
     SELECT p.author, p.week_idx, p.sunday, p.active, p.date_weak, p.date_strong, CAST(p.duration AS BIGINT) AS duration, p.activation, {_ACT},
-      coalesce(i.n_pairs_sibling, 0) AS n_pairs_sibling, coalesce(i.n_active_authors_sibling, 0) AS n_active_authors_sibling
+      {", ".join(f"coalesce(i.{c}, 0) AS {c}" for c in INTERACTION)}
     FROM pw p LEFT JOIN activity a ON p.author = a.author AND p.week_idx = a.week_idx
     LEFT JOIN linter i ON p.author = i.author AND p.week_idx = i.week_idx"""
 
@@ -115,7 +129,7 @@ def _long_history(spark, d, posts):
 def feature_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
     """Deduplicated posts, and the person-period facts, both written once."""
     posts = store(long_posts(spark, d), "posts")
-    met = pipe_interactions(posts, _long_history(spark, d, posts), "activism", [v.STRONG_BRANDS[0]], ["sibling"])
+    met = pipe_interactions(posts, _long_history(spark, d, posts), "activism", [v.STRONG_BRANDS[0]])
     facts = store(pipe_person_period(posts, v.authors_long(spark, d), extra=[met]), "facts")
     return posts, facts
 
@@ -180,11 +194,16 @@ def _lagged(p):
             f"ON f.author = s.author AND f.week_idx BETWEEN s.week_idx - {start - 1} AND s.week_idx - {end}) GROUP BY 1, 2)")
 
 
+reg.CTES["vocab"] = """
+    SELECT subreddit, CAST(row_number() OVER (ORDER BY n DESC, subreddit) - 1 AS INTEGER) AS community
+    FROM (SELECT subreddit, count(*) AS n FROM lposts GROUP BY 1 ORDER BY n DESC, subreddit LIMIT 1000)"""
+
+
 def _joined(p):
     start, end = ft.WINDOWS[p]
-    cols = ", ".join(f"""bool_or(f.subreddit = '{c}') AS "r{c}_{p}" """ for c in VOCAB)
-    return (f"(SELECT s.author, s.week_idx, {cols} FROM sample s JOIN lposts f "
-            f"ON f.author = s.author AND f.week_idx BETWEEN s.week_idx - {start - 1} AND s.week_idx - {end} GROUP BY 1, 2)")
+    return (f"(SELECT s.author, s.week_idx, list_sort(list_distinct(list(v.community))) AS communities_{p} FROM sample s JOIN lposts f "
+            f"ON f.author = s.author AND f.week_idx BETWEEN s.week_idx - {start - 1} AND s.week_idx - {end} "
+            f"JOIN vocab v ON v.subreddit = f.subreddit GROUP BY 1, 2)")
 
 
 def _feature_sql():
@@ -192,10 +211,10 @@ def _feature_sql():
 
     quart = [q for a in ATTRIBUTES for q in win.QUARTILE_FLAGS[a]]
     acts = [f"{c}_{p}" for p in ft.WINDOWS for c in FEATURES]
-    parts = [f'"r{c}_{p}"' for p in ft.WINDOWS for c in VOCAB]
+    parts = [f"communities_{p}" for p in ft.WINDOWS]
     base = f"""SELECT s.author, s.week_idx, s.activation, CAST(s.duration AS BIGINT) AS duration,
         {', '.join(f'coalesce(n.{c}, 0) AS {c}' for c in _NEWS)}, {', '.join(f'coalesce({c}, 0) AS {c}' for c in acts)},
-        {', '.join(f'coalesce({c}, false) AS {c}' for c in parts)}, {', '.join(f'coalesce(q.{c}, false) AS {c}' for c in quart)}
+        {', '.join(f'coalesce({c}, []) AS {c}' for c in parts)}, {', '.join(f'coalesce(q.{c}, false) AS {c}' for c in quart)}
       FROM sample s JOIN newsfeat n ON s.author = n.author AND s.week_idx = n.week_idx
       {' '.join(f'LEFT JOIN {_lagged(p)} a{p} ON a{p}.author = s.author AND a{p}.week_idx = s.week_idx' for p in ft.WINDOWS)}
       {' '.join(f'LEFT JOIN {_joined(p)} j{p} ON j{p}.author = s.author AND j{p}.week_idx = s.week_idx' for p in ft.WINDOWS)}
@@ -204,8 +223,13 @@ def _feature_sql():
     ratio = ", ".join(
         f"CASE WHEN {c}_long <> 0 THEN {c}_short / {c}_long WHEN {c}_short <> 0 THEN 1.0 ELSE 2.0 END AS {c}_short_long_ratio"
         for c in [*NORM_NEWS, *FEATURES])
-    new = ", ".join(f"""("r{c}_short" AND NOT "r{c}_long") AS "r{c}_short_long_ratio" """ for c in VOCAB)
-    return f"SELECT *, {ratio}, {new} FROM ({base})"
+    new = "[x FOR x IN communities_short IF NOT list_contains(communities_long, x)] AS communities_short_long_ratio"
+    same = ", ".join(["activation", "duration", *[f"round({c}, 9)" for c in _DOUBLES], *parts, *quart])
+    return f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {same} ORDER BY author, week_idx) AS rn
+      FROM (SELECT *, {ratio}, {new} FROM ({base}))) WHERE rn = 1"""
+
+
+_DOUBLES = [*_NEWS, *[f"{c}_{p}" for p in ft.WINDOWS for c in FEATURES], *[f"{c}_short_long_ratio" for c in [*NORM_NEWS, *FEATURES]]]
 
 
 reg.CTES["features"] = _feature_sql()
@@ -219,23 +243,34 @@ def feature_table(spark, d, balanced: bool = False) -> tuple[DataFrame, DataFram
     sample = store(smp.case_control_sample(facts, 8).select(*_KEY, "activation", "duration"), "sample")
     news = pipe_news_exposure(v.news_long(spark, d), author_regions(spark, d), sample, **_FLAGS)
     quart = win.quartile_membership(rounded(author_scores(spark, d)), ATTRIBUTES)
-    joined = posts.select(*_KEY, "subreddit").filter(F.col("subreddit").isin(VOCAB)).distinct()
+    vocab = store(ft.vocabulary(posts), "vocabulary")
+    joined = posts.select(*_KEY, "subreddit").join(vocab.select("subreddit"), "subreddit").distinct()
     table = ft.pipe_feature_table(
-        sample, news, facts, FEATURES, joined, VOCAB, quart, NORM_NEWS, seed=6 if balanced else None)
+        sample, news, facts, FEATURES, joined, vocab, quart, NORM_NEWS, seed=6 if balanced else None)
     long = {"long": ft.WINDOWS["long"]}
     return table, agg.participation_long(jn.lag_week_join(sample, joined, long)).drop("period")
 
 
-def _round_all(cols):
-    return ", ".join(f"""{r('"' + c + '"')} AS "{c}" """ for c in cols)
+def _spelled(table: DataFrame) -> DataFrame:
+    """Lists as text, as both engines write them alike."""
+    return table.withColumns({
+        c: F.array_join(F.col(c).cast("array<string>"), ",") for c, t in table.dtypes if t == "array<int>"})
 
 
-_DOUBLES = [*_NEWS, *[f"{c}_{p}" for p in ft.WINDOWS for c in FEATURES], *[f"{c}_short_long_ratio" for c in [*NORM_NEWS, *FEATURES]]]
+def _spell(columns) -> str:
+    return ", ".join(f"array_to_string({c}, ',') AS {c}" for c in columns)
+
+
+_LISTS = [f"communities_{x}" for x in [*ft.WINDOWS, "short_long_ratio"]]
+
+
+def _round_all(cols):
+    return ", ".join(f"""{r('"' + c + '"')} AS "{c}" """ for c in cols)
 
 
-@query("pipe_feature_table", f"""SELECT * REPLACE ({_round_all(_DOUBLES)}) FROM features""")
+@query("pipe_feature_table", f"""SELECT * REPLACE ({_round_all(_DOUBLES)}, {_spell(_LISTS)}) FROM features""")
 def _(spark, d):
-    return rounded(feature_table(spark, d)[0])
+    return rounded(_spelled(feature_table(spark, d)[0]))
 
 
 @query("pipe_feature_table_balanced", """
@@ -249,35 +284,34 @@ def _(spark, d):
 
 def _robust_sql(mode):
     into, other, wa, wb = ("long", "short", 4, 47) if mode == "longmedium" else ("short", "long", 4, 1)
-    cols = [f"{r(f'{c}_{other}')} AS {c}_{other}" for c in [*MEETINGS, *NORM_NEWS, *CONTROL]]
-    for c in [*([] if mode == "longmedium" else MEETINGS), *NORM_NEWS, *CONTROL]:
+    cols = [f"{r(f'{c}_{other}')} AS {c}_{other}" for c in [*INTERACTION, *NORM_NEWS, *CONTROL]]
+    for c in [*([] if mode == "longmedium" else INTERACTION), *NORM_NEWS, *CONTROL]:
         x = f"({c}_medium * {wa} + {c}_{into} * {wb}) / {float(wa + wb)}"
-        cols.append(f"{x} > 0 AS {c}_{into}" if c in MEETINGS else f"{r(x)} AS {c}_{into}")
-    cols += [f'"r{c}_{other}"' for c in VOCAB]
-    cols += [f'("r{c}_medium" OR "r{c}_{into}") AS "r{c}_{into}"' for c in VOCAB]
+        cols.append(f"{x} > 0 AS {c}_{into}" if c in INTERACTION else f"{r(x)} AS {c}_{into}")
+    cols += [_spell([f"communities_{other}"]),
+             f"array_to_string(list_sort(list_distinct(list_concat(communities_medium, communities_{into}))), ',') AS communities_{into}"]
     return f"SELECT author, week_idx, activation, {', '.join(cols)} FROM features"
 
 
 @query("pipe_period_robustness", _robust_sql("longmedium"))
 def _(spark, d):
     table = feature_table(spark, d)[0]
-    return rounded(ft.pipe_period_robustness(table, "longmedium", NORM_NEWS, CONTROL, MEETINGS, VOCAB))
+    return rounded(_spelled(ft.pipe_period_robustness(table, "longmedium", NORM_NEWS, CONTROL, INTERACTION)))
 
 
 @query("pipe_period_robustness_short", _robust_sql("shortmedium"))
 def _(spark, d):
     table = feature_table(spark, d)[0]
-    return rounded(ft.pipe_period_robustness(table, "shortmedium", NORM_NEWS, CONTROL, MEETINGS, VOCAB))
+    return rounded(_spelled(ft.pipe_period_robustness(table, "shortmedium", NORM_NEWS, CONTROL, INTERACTION)))
 
 
 def _design_sql():
     act = [f"{c}_{p}" for p in ("long", "short") for c in CONTROL]
     news = [f"{c}_{p}" for p in ("long", "short") for c in NORM_NEWS]
     start, end = ft.WINDOWS["long"]
-    vocab = ", ".join(f"'{c}'" for c in VOCAB)
     return f"""
       WITH part AS (SELECT DISTINCT s.author, s.week_idx, f.subreddit FROM features s JOIN lposts f ON f.author = s.author
-          AND f.week_idx BETWEEN s.week_idx - {start - 1} AND s.week_idx - {end} WHERE f.subreddit IN ({vocab})),
+          AND f.week_idx BETWEEN s.week_idx - {start - 1} AND s.week_idx - {end} WHERE f.subreddit IN (SELECT subreddit FROM vocab)),
       popular AS (SELECT subreddit, {z0('ln(n + 0.1)')} AS log_popularity FROM (SELECT subreddit, count(*) AS n FROM part GROUP BY 1)),
       soc AS (SELECT author, week_idx, {', '.join(f'sum({a}) AS {a}' for a in ATTRIBUTES)} FROM part
         JOIN scores ON subreddit = community GROUP BY 1, 2),
@@ -299,7 +333,9 @@ def _(spark, d):
         store(table, "features"), part, scores, ATTRIBUTES, NORM_NEWS, CONTROL, meetings))
 
 
-@query("exposure", "SELECT author, week_idx, " + ", ".join(f"{r(c)} AS {c}" for c in _NEWS) + " FROM exposed")
+@query("exposure", "SELECT author, week_idx, " + ", ".join(f"{r(c)} AS {c}" for c in _NEWS) + """
+    FROM exposed JOIN (SELECT DISTINCT author, week_idx FROM lposts) USING (author, week_idx)""")
 def _(spark, d):
     regions = region_exposure(news_weeks(v.news_long(spark, d), **_FLAGS))
-    return rounded(exposure(regions, author_regions(spark, d)))
+    weeks = long_posts(spark, d).select(*_KEY).distinct()
+    return rounded(exposure(regions, author_regions(spark, d), weeks))

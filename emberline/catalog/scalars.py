@@ -214,11 +214,13 @@ def _(spark, d):
     return frames.unpivot_features(wide, ["author"])
 
 
-@query("pivot_results", """
-    SELECT lr, max(accuracy) FILTER (var_opinions = '1-URGENT') AS "1-URGENT", max(accuracy) FILTER (var_opinions = '5-LOW') AS "5-LOW"
-    FROM runs GROUP BY lr""")
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("pivot_results", "SELECT lr, " + ", ".join(
+    f"max(accuracy) FILTER (var_opinions = '{p}') AS \"{p}\"" for p in _PRIORITIES) + " FROM runs GROUP BY lr")
 def _(spark, d):
-    return frames.pivot_results(v.runs(spark, d), "lr", "var_opinions", "accuracy", ["1-URGENT", "5-LOW"])
+    return frames.pivot_results(v.runs(spark, d), "lr", "var_opinions", "accuracy", _PRIORITIES)
 
 
 @query("rename_by_map", "SELECT author, day AS date_strong, subreddit AS community, score AS n_score FROM comments")

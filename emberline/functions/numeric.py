@@ -55,8 +55,3 @@ def pearson(x: Column, y: Column) -> Column:
     x, y = x.cast("double"), y.cast("double")
     a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
-
-
-def finite(x: Column) -> Column:
-    """The value, or null when it is NaN or infinite."""
-    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.numeric import (
@@ -12,20 +12,18 @@ from emberline.functions.numeric import (
     MEDIUM_SHORT_WEIGHTS,
     bool_union,
     log1p_transform,
-    new_in_short,
     safe_ratio,
     weighted_period_merge,
 )
 from emberline.operators.aggregates import (
     community_popularity,
     lag_mean,
-    participation_long,
-    participation_pivot,
     participation_score,
 )
 from emberline.operators.filters import positive_news_filter
 from emberline.operators.joins import lag_week_join, left_feature_merge
 from emberline.operators.sampling import balance_classes
+from emberline.operators.topk import topk_communities
 from emberline.operators.windows import zscore
 from emberline.session import store
 
@@ -42,20 +40,50 @@ def activity_windows(sample: DataFrame, activity: DataFrame, features: Sequence[
     return lag_mean(lag_week_join(sample, facts, windows), features, list(windows))
 
 
-def participation_windows(sample: DataFrame, participation: DataFrame, vocab: Sequence[str],
+def vocabulary(posts: DataFrame, k: int = 1000) -> DataFrame:
+    """The ``k`` most frequent communities, numbered from 0 by frequency."""
+    top = topk_communities(posts, k)
+    # k rows at most
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "subreddit")) - 1
+    return top.select("subreddit", place.cast("int").alias("community"))
+
+
+def participation_windows(sample: DataFrame, participation: DataFrame, vocab: DataFrame,
                           windows: Mapping[str, tuple[int, int]] = WINDOWS) -> DataFrame:
-    """Communities written in per period, as booleans; ``participation`` is distinct per week."""
-    return participation_pivot(
-        participation_long(lag_week_join(sample, participation, windows)), vocab, list(windows)
-    )
+    """Communities written in per period, as sorted lists of their numbers in the vocabulary.
+
+    A row lists what it has instead of a column per community and period, so neither the plan nor
+    the row grows with the vocabulary; ``participation`` is distinct per week.
+    """
+    numbered = participation.join(vocab, "subreddit").select(*_KEY, "community")
+    lagged = lag_week_join(sample, numbered, windows)
+    return lagged.groupBy(*_KEY).agg(*[
+        F.sort_array(F.collect_set(F.when(F.col("period") == p, F.col("community")))).alias(f"communities_{p}")
+        for p in windows
+    ])
+
+
+def drop_duplicate_rows(table: DataFrame, digits: int = 9) -> DataFrame:
+    """One row of those that agree in everything but author and week: the one with the smallest key.
+
+    Doubles agree when they do to ``digits`` digits, whatever the order they were summed in.
+    """
+    rest = [c for c in table.columns if c not in _KEY]
+    same = [F.round(c, digits).alias(f"_{i}") if t == "double" else F.col(c).alias(f"_{i}")
+            for i, (c, t) in enumerate((c, t) for c, t in table.dtypes if c not in _KEY)]
+    first = table.groupBy(*same).agg(F.min(F.struct(*_KEY, *rest)).alias("_r"))
+    return first.select(*[F.col(f"_r.{c}").alias(c) for c in table.columns])
 
 
 def pipe_feature_table(sample: DataFrame, news: DataFrame, activity: DataFrame, features: Sequence[str],
-                       participation: DataFrame, vocab: Sequence[str], quartiles: DataFrame,
+                       participation: DataFrame, vocab: DataFrame, quartiles: DataFrame,
                        norm_news: Sequence[str], windows: Mapping[str, tuple[int, int]] = WINDOWS,
                        seed: int | str | None = None) -> DataFrame:
     """Sampled author weeks with news, lagged activity and participation, quartiles and ratios.
 
+    The ratio of participation lists the communities new in the short period.  Rows that agree in
+    everything but their key count once.
+
     ``sample`` has activation and duration; ``news`` one row per sampled author week that
     keeps news.  ``seed`` balances the classes.
     """
@@ -64,20 +92,18 @@ def pipe_feature_table(sample: DataFrame, news: DataFrame, activity: DataFrame,
     base = base.fillna(0.0, subset=[c for c in news.columns if c not in _KEY])
     base = positive_news_filter(base, [f"{c}_{long}" for c in norm_news])
     table = left_feature_merge(base, [activity_windows(sample, activity, features, windows)], _KEY, 0.0)
-    table = left_feature_merge(
-        table, [participation_windows(sample, participation, vocab, windows)], _KEY, False
-    )
+    lists = [f"communities_{p}" for p in windows]
+    none = F.array().cast("array<int>")
+    table = table.join(participation_windows(sample, participation, vocab, windows), _KEY, "left").withColumns(
+        {c: F.coalesce(c, none) for c in lists})
     flags = [c for c in quartiles.columns if c != "author"]
     table = table.join(quartiles, "author", "left").fillna(False, subset=flags)
     ratios: dict[str, Column] = {
         f"{c}_short_long_ratio": safe_ratio(F.col(f"{c}_{short}"), F.col(f"{c}_{long}"))
         for c in [*norm_news, *features]
     }
-    ratios.update({
-        f"r{v}_short_long_ratio": new_in_short(F.col(f"`r{v}_{short}`"), F.col(f"`r{v}_{long}`"))
-        for v in vocab
-    })
-    table = table.withColumns(ratios)
+    ratios["communities_short_long_ratio"] = F.array_except(f"communities_{short}", f"communities_{long}")
+    table = drop_duplicate_rows(table.withColumns(ratios))
     if seed is None:
         return table
     # counted and then drawn from: write the table once instead of computing it twice
@@ -86,7 +112,7 @@ def pipe_feature_table(sample: DataFrame, news: DataFrame, activity: DataFrame,
 
 
 def pipe_period_robustness(table: DataFrame, mode: str, norm_news: Sequence[str], control: Sequence[str],
-                           interaction: Sequence[str], vocab: Sequence[str]) -> DataFrame:
+                           interaction: Sequence[str]) -> DataFrame:
     """The table with medium merged into long (``longmedium``) or into short (``shortmedium``)."""
     numeric = [*norm_news, *control]
     if mode == "longmedium":
@@ -105,8 +131,8 @@ def pipe_period_robustness(table: DataFrame, mode: str, norm_news: Sequence[str]
     return table.select(
         *_KEY, "activation", *kept,
         *[merged(c) for c in numeric],
-        *[F.col(f"`r{v}_{other}`") for v in vocab],
-        *[bool_union(F.col(f"`r{v}_medium`"), F.col(f"`r{v}_{into}`")).alias(f"r{v}_{into}") for v in vocab],
+        f"communities_{other}",
+        F.sort_array(F.array_union("communities_medium", f"communities_{into}")).alias(f"communities_{into}"),
     )
 
 

@@ -35,9 +35,10 @@ def region_exposure(weeks: DataFrame, lags: Mapping[str, tuple[int, int]] = LAGS
     return outer_period_merge(frames, [*_REGION, "week_idx"])
 
 
-def exposure(regions: DataFrame, author_region: DataFrame) -> DataFrame:
-    """News of the author's region in every week: all authors times all weeks."""
-    return author_region.select("author", *_REGION).join(regions, _REGION).drop(*_REGION)
+def exposure(regions: DataFrame, author_region: DataFrame, weeks: DataFrame) -> DataFrame:
+    """News of the author's region in the given (author, week) rows."""
+    located = weeks.join(author_region.select("author", *_REGION), "author")
+    return located.join(regions, [*_REGION, "week_idx"]).drop(*_REGION)
 
 
 def impute_by_week(sample: DataFrame, regions: DataFrame, author_region: DataFrame,

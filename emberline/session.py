@@ -56,12 +56,6 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(_root(spark), "emberline", f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later jobs reread files, so a lost executor costs no recomputation."""
-    _root(df.sparkSession)
-    return df.checkpoint()
-
-
 def store(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write once to the shared folder and read back.
 
