@@ -9,6 +9,7 @@ from emberline.functions.time import week_idx
 from emberline.operators import aggregates as agg
 from emberline.operators import interactions as inter
 from emberline.operators import joins as jn
+from emberline.session import store
 from emberline.sources import views as v
 from emberline.sources.lookups import names_frame
 
@@ -17,7 +18,7 @@ from emberline.sources.lookups import names_frame
     SELECT c.id, c.author, c.day, a.subreddit_class, a.date FROM comments c JOIN class_act a ON c.author = a.author""")
 def _(spark, d):
     c = v.comments_long(spark, d).select("id", "author", "day")
-    return jn.history_broadcast_join(c, v.class_activations_long(spark, d))
+    return jn.history_broadcast_join(c, store(v.class_activations_long(spark, d), "authors"))
 
 
 @query("cohort_window_history", """
@@ -26,7 +27,7 @@ def _(spark, d):
       AND c.day < date_trunc('quarter', a.date_weak) + INTERVAL 27 MONTH""")
 def _(spark, d):
     c = v.comments_long(spark, d).select("id", "author", "day", "subreddit", "parent_id")
-    return jn.cohort_window_history(c, v.authors_long(spark, d))
+    return jn.cohort_window_history(c, store(v.authors_long(spark, d), "authors"))
 
 
 @query("pre_activation_history", """
@@ -36,7 +37,7 @@ def _(spark, d):
       AND date_trunc('month', c.day) < date_trunc('month', s.date)""")
 def _(spark, d):
     c = v.comments_long(spark, d).select("id", "author", "day")
-    return jn.pre_activation_history(c, v.strong_long(spark, d))
+    return jn.pre_activation_history(c, store(v.strong_long(spark, d), "authors"))
 
 
 @query("post_activation_history", """
@@ -45,7 +46,7 @@ def _(spark, d):
     WHERE date_trunc('month', c.day) >= date_trunc('month', s.date)""")
 def _(spark, d):
     c = v.comments_long(spark, d).select("id", "author", "day")
-    return jn.post_activation_history(c, v.strong_long(spark, d))
+    return jn.post_activation_history(c, store(v.strong_long(spark, d), "authors"))
 
 
 _Q = "year({0}) * 4 + quarter({0})"
@@ -58,13 +59,13 @@ _Q = "year({0}) * 4 + quarter({0})"
 def _(spark, d):
     c = v.comments_long(spark, d).select("id", "author", "day")
     first = 1995 * 4 + 1
-    return jn.weak_cohort_window(c, v.weak_long(spark, d), bounds=(first, first + 28))
+    return jn.weak_cohort_window(c, store(v.weak_long(spark, d), "authors"), bounds=(first, first + 28))
 
 
 @query("geo_join", "SELECT author, country, admin1code, count(*) AS n FROM located GROUP BY ALL")
 def _(spark, d):
     c = v.comments_long(spark, d).select("author", "subreddit")
-    j = jn.geo_join(c, v.community_region(spark, d), v.authors_long(spark, d))
+    j = jn.geo_join(c, store(v.community_region(spark, d), "regions"), store(v.authors_long(spark, d), "authors"))
     return j.groupBy("author", "country", "admin1code").agg(F.count("*").alias("n"))
 
 

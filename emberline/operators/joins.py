@@ -24,6 +24,24 @@ def history_broadcast_join(posts: DataFrame, authors: DataFrame) -> DataFrame:
     return posts.join(authors, "author", "inner")
 
 
+def between_days(posts: DataFrame, day: str, authors: DataFrame, low: Column, high: Column | None = None) -> DataFrame:
+    """Posts from the least ``low`` to the greatest ``high`` (exclusive) of the author table.
+
+    Both ends are literals, so they reach the scan, and its folders where posts are kept by
+    ``month``.  The author table is read for them: store it if it is costly.
+    """
+    ends = authors.agg(F.min(low).alias("low"), F.max(low if high is None else high).alias("high")).first()
+    limits = {"low": ends["low"], "high": None if high is None else ends["high"]}
+    for end, limit in limits.items():
+        if limit is None:
+            continue
+        posts = posts.filter(F.col(day) >= F.lit(limit) if end == "low" else F.col(day) < F.lit(limit))
+        if "month" in posts.columns:
+            label = limit.strftime("%Y-%m")
+            posts = posts.filter(F.col("month") >= label if end == "low" else F.col("month") <= label)
+    return posts
+
+
 def cohort_window_history(posts: DataFrame, authors: DataFrame, day: str = "day") -> DataFrame:
     """Posts written inside the 39-month window of any cohort their author belongs to.
 
@@ -31,6 +49,7 @@ def cohort_window_history(posts: DataFrame, authors: DataFrame, day: str = "day"
     """
     win = authors.select(F.col("author").alias("_a"), cohort_window(F.col("cohort")).alias("_w"))
     inside = (F.col(day) >= F.col("_w.start")) & (F.col(day) < F.col("_w.end"))
+    posts = between_days(posts, day, win, F.col("_w.start"), F.col("_w.end"))
     return posts.join(win, (F.col("author") == F.col("_a")) & inside, "left_semi")
 
 
@@ -40,6 +59,7 @@ def pre_activation_history(posts: DataFrame, first: DataFrame, months: int = 24,
     act = first.select("author", month_start(F.col(date)).alias("activation_month"))
     month = month_start(F.col(day))
     inside = (month >= F.add_months("activation_month", -months)) & (month < F.col("activation_month"))
+    posts = between_days(posts, day, act, F.add_months("activation_month", -months), F.col("activation_month"))
     return posts.join(act, "author").filter(inside)
 
 
@@ -47,6 +67,7 @@ def post_activation_history(posts: DataFrame, first: DataFrame, day: str = "day"
                             date: str = "date") -> DataFrame:
     """Posts from each author's activation month on."""
     act = first.select("author", month_start(F.col(date)).alias("activation_month"))
+    posts = between_days(posts, day, act, F.col("activation_month"))
     return posts.join(act, "author").filter(month_start(F.col(day)) >= F.col("activation_month"))
 
 
@@ -60,6 +81,10 @@ def weak_cohort_window(posts: DataFrame, activations: DataFrame, before: int = 8
     act = activations.select(F.col("author").alias("_a"), quarter_idx(F.col(date)).alias("_q"))
     if bounds is not None:
         act = act.filter((F.col("_q") >= bounds[0]) & (F.col("_q") < bounds[1]))
+    first = F.make_date(F.floor((F.col("_q") - 1) / 4).cast("int"), (F.pmod(F.col("_q") - 1, F.lit(4)) * 3 + 1).cast("int"), F.lit(1))
+    # quarters q - after + 1 .. q + before of the posts can be near
+    posts = between_days(
+        posts, day, act, F.add_months(first, 3 * (1 - after)), F.add_months(first, 3 * (before + 1)))
     q = quarter_idx(F.col(day))
     near = (F.col("_q") >= q - before) & (F.col("_q") < q + after)
     return posts.join(act, (F.col("author") == F.col("_a")) & near, "left_semi")

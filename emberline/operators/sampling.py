@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.operators.filters import exclude_bots
+from emberline.session import store
 
 HEX_DIGITS = 3
 
@@ -64,10 +65,12 @@ def control_sample(posts: DataFrame, bots: DataFrame, wanted: DataFrame, seed: i
     Drawing posts makes busy authors likelier, as wished.  ``wanted`` holds strata and ``n``.
     """
     by = list(by)
-    pool = exclude_bots(posts, bots).select(*by, "author", "id")
+    # each sample reads its rows twice: write them once, three columns of the pool and then authors
+    pool = store(exclude_bots(posts, bots).select(*by, "author", "id"), "pool")
+    wanted = store(wanted.select(*by, "n"), "wanted")
     more = wanted.withColumn("n", F.col("n") * oversample)
     drawn = exact_sample_n(pool, by, more, f"{seed}-posts", "id")
-    authors = drawn.select(*by, "author").distinct()
+    authors = store(drawn.select(*by, "author").distinct(), "drawn")
     return exact_sample_n(authors, by, wanted, f"{seed}-authors", "author")
 
 
@@ -87,6 +90,17 @@ def case_control_sample(person_weeks: DataFrame, seed: int | str, ratio: int = 2
     return cases.unionByName(drawn.drop("_key"))
 
 
+def pooled_negatives(tables: Sequence[DataFrame], label: str, date: str, since: Sequence) -> DataFrame:
+    """Positives of the first table, and negatives of all tables dated ``since`` their class began.
+
+    The tables are one per class with equal columns; ``since`` has a first date for each.
+    """
+    rows = tables[0].filter(F.col(label))
+    for table, first in zip(tables, since):
+        rows = rows.unionByName(table.filter(~F.col(label) & (F.col(date) >= F.lit(first).cast("date"))))
+    return rows
+
+
 def balance_classes(df: DataFrame, label: str, seed: int | str, key: str) -> DataFrame:
     """Every class cut to the size of the smallest."""
     sizes = df.groupBy(label).agg(F.count("*").alias("size"))

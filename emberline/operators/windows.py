@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberline.functions.time import week_shift
 from emberline.operators.ordering import exact_quantiles, quantiles_wide
 from emberline.schemas import QUARTILE_FLAGS
+from emberline.session import store
 
 _REGION = ["country", "admin1code"]
 
@@ -82,8 +83,9 @@ def zscore(df: DataFrame, columns: Sequence[str], ddof: int = 0,
 def quartile_membership(scores: DataFrame, attributes: Sequence[str] = tuple(QUARTILE_FLAGS)) -> DataFrame:
     """Eight booleans: author in the first or in the fourth quartile of each attribute.
 
-    The cut points, two numbers per attribute, are computed at once.
+    The cut points, two numbers per attribute, are computed at once from the stored scores.
     """
+    scores = store(scores.select("author", *attributes), "scores")
     cuts = {
         row["feature"]: row
         for row in exact_quantiles(scores, attributes, {"q1": 0.25, "q3": 0.75}).collect()

@@ -1,5 +1,6 @@
 """What must be visible in physical plans; the oracle tests look for forbidden nodes."""
 
+import pytest
 from oracle import DATA
 
 def physical(df) -> str:
@@ -38,6 +39,31 @@ def test_small_lookup_is_broadcast_without_hint(spark):
     assert "BroadcastHashJoin" in physical(history_broadcast_join(c, authors))
 
 
+@pytest.mark.parametrize("name", ["cohort_window_history", "pre_activation_history", "post_activation_history", "weak_cohort_window"])
+def test_history_queries_broadcast_authors_and_bound_days(spark, name):
+    from emberline.catalog import QUERIES
+
+    df = QUERIES[name](spark, f"{DATA}/sf0.001")
+    rows = df.count()
+    plan = physical(df)
+    assert rows and "BroadcastHashJoin" in plan
+    assert "cast(l_shipdate" in plan and ("DATE" in plan or "GreaterThanOrEqual" in plan or ">= " in plan)
+
+
+def test_history_bounds_prune_month_folders(spark, tmp_path):
+    import datetime as dt
+
+    from emberline.operators.joins import pre_activation_history
+
+    rows = [("a", dt.date(2020, m, 5), f"2020-{m:02}") for m in range(1, 10)]
+    path = str(tmp_path / "posts")
+    spark.createDataFrame(rows, "author string, day date, month string").write.partitionBy("month").parquet(path)
+    first = spark.createDataFrame([("a", dt.date(2020, 6, 20))], "author string, date date")
+    df = pre_activation_history(spark.read.parquet(path), first, months=2)
+    assert sorted(r.day.month for r in df.collect()) == [4, 5]
+    assert "(month" in physical(df).split("PartitionFilters")[1][:120]
+
+
 def test_periods_share_one_lag_join(spark):
     from emberline.operators.joins import lag_week_join
     from emberline.plans.features import WINDOWS
