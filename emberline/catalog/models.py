@@ -14,6 +14,7 @@ from emberline.sources import views as v
 
 _DIM = 64
 _ALL = [f"e{i}" for i in range(1, _DIM + 1)]
+_METRICS = ["accuracy", "precision", "recall", "random_baseline"]
 _GROUPS = {"first": (_ALL[:32], 6), "second": (_ALL[32:], 6)}
 
 
@@ -35,23 +36,30 @@ def _(spark, d):
 
 @query("repeated_bootstrap_fit")
 def _(spark, d):
-    coefs, _ = mdl.repeated_bootstrap_fit(flat_vectors(spark, d, 16), _ALL[:16], "activation", "vec_id", 8, 3, 100)
+    coefs, _ = mdl.repeated_bootstrap_fit(flat_vectors(spark, d, _DIM), _ALL, "activation", "vec_id", 20, 5, 100)
     return bootstrap_ci(coefs)
 
 
+@query("repeated_bootstrap_metrics")
+def _(spark, d):
+    _, runs = mdl.repeated_bootstrap_fit(flat_vectors(spark, d, _DIM), _ALL, "activation", "vec_id", 20, 5, 100)
+    return metric_summary(runs.withColumn("selected_features", F.lit("all")), ["selected_features"], _METRICS)
+
+
 @query("feature_group_ablation")
 def _(spark, d):
-    t = flat_vectors(spark, d, 12).drop("label")
+    t = flat_vectors(spark, d, _DIM).drop("label")
     named = t.withColumnsRenamed(
-        {f"e{i}": f"{'control' if i <= 6 else 'news'}{i}_{'short' if i % 2 else 'long'}" for i in range(1, 13)})
+        {f"e{i}": f"{'control' if i <= 32 else 'news'}{i}_{'short' if i % 2 else 'long'}" for i in range(1, _DIM + 1)})
     runs = mdl.feature_group_ablation(
-        named, {"control": "control", "news": "news"}, "activation", "vec_id", 4, 1, 11, periods=["short"])
-    return metric_summary(runs, ["selected_features"], ["accuracy", "precision", "recall", "random_baseline"])
+        named, {"control": "control", "news": "news"}, "activation", "vec_id", 8, 2, 11, periods=["short", "long"],
+        without=["news"])
+    return metric_summary(runs, ["selected_features"], _METRICS)
 
 
 @query("model_selection_aic_bic")
 def _(spark, d):
-    return mdl.model_selection(flat_vectors(spark, d, 16), _ALL[:16], "activation", "vec_id", [2, 8, 16], 5)
+    return mdl.model_selection(flat_vectors(spark, d, _DIM), _ALL, "activation", "vec_id", [2, 16, 64], 5)
 
 
 @query("logit_inference")

@@ -13,6 +13,7 @@ from emberline.operators import topk
 from emberline.operators import windows as win
 from emberline.plans.news_exposure import news_weeks
 from emberline.schemas import ATTRIBUTES, NORM_NEWS
+from emberline.session import store
 from emberline.sources import views as v
 
 _FLAGS = {"strike": v.NEWS_STRIKE, "substrings": v.NEWS_FLAGS, "separators": "[ ;,]"}
@@ -137,6 +138,23 @@ def _(spark, d):
     return smp.balance_classes(p, "label", 9, "id")
 
 
+_SINCE = {"c3": "2024-01-05", "c7": "2024-01-12"}
+
+
+@query("balance_classes_pooled", """
+    WITH pool AS (SELECT 'c3@' || id AS key, true AS label FROM posts WHERE subreddit = 'c3' """ + " ".join(
+    f"UNION ALL SELECT '{c}@' || id, false FROM posts WHERE subreddit <> '{c}' AND day >= DATE '{since}'"
+    for c, since in _SINCE.items()) + """)
+    SELECT key, label FROM (SELECT key, label, row_number() OVER (PARTITION BY label ORDER BY md5('9|' || key), key) AS rn,
+        (SELECT min(n) FROM (SELECT count(*) AS n FROM pool GROUP BY label)) AS m FROM pool) WHERE rn <= m""")
+def _(spark, d):
+    p = v.posts_short(spark, d)
+    tables = [p.select(F.concat(F.lit(f"{c}@"), "id").alias("key"), (F.col("subreddit") == c).alias("label"), "day")
+              for c in _SINCE]
+    pool = store(smp.pooled_negatives(tables, "label", "day", list(_SINCE.values())).drop("day"), "pool")
+    return smp.balance_classes(pool, "label", 9, "key")
+
+
 @query("train_test_split", f"SELECT id, {u01(chr(39) + '3|' + chr(39) + ' || id')} < 0.75 AS is_train FROM posts")
 def _(spark, d):
     return smp.train_test_split(v.posts_short(spark, d).select("id"), "id", 3)

@@ -70,11 +70,14 @@ def short_bots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def comments_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years of comments out of ``lineitem``; an id occurs more than once."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"
-    )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    return comments_of(*[table(spark, sf_dir, t) for t in ("lineitem", "orders", "part")])
+
+
+def comments_of(li: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
+    """Comments out of order lines, which may be a stream."""
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    orders = orders.select("o_orderkey", "o_custkey")
+    part = part.select("p_partkey", "p_brand", "p_type")
     return (
         li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
