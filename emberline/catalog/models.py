@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline.catalog.aggregates import flat_vectors
-from emberline.catalog.registry import query, r, rounded
+from emberline.catalog.registry import CTES, query, r, rounded
 from emberline.operators import models as mdl
 from emberline.operators import survival as srv
 from emberline.operators.evaluation import bootstrap_ci, metric_summary
@@ -68,6 +68,83 @@ def _(spark, d):
     return mdl.logit_inference(t, ["n_words", "digit_share", "log_chars"], "quality")
 
 
+def _newton(steps: int, first: str, step: str, last: str) -> str:
+    """A fixed number of Newton steps, one CTE each; ``{0}`` in a step is the one before."""
+    parts = [f"it0 AS ({first})", *[f"it{i + 1} AS ({step.format(f'it{i}')})" for i in range(steps)]]
+    return "WITH " + ",\n".join(parts) + last.format(f"it{steps}")
+
+
+_LOGIT_STEP = """
+    SELECT b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1,
+      h11 / (h00 * h11 - h01 * h01) AS v0, h00 / (h00 * h11 - h01 * h01) AS v1
+    FROM (SELECT b0, b1, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01,
+        sum(p * (1 - p) * x * x) AS h11
+      FROM (SELECT b0, b1, quality AS y, ln(1 + n_chars) AS x, 1 / (1 + exp(-(b0 + b1 * ln(1 + n_chars)))) AS p FROM textf, {0})
+      GROUP BY b0, b1)"""
+
+
+@query("logit_inference_one", _newton(
+    14, "SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1", _LOGIT_STEP, f"""
+    SELECT 'log_chars' AS feature, {r('b1', 4)} AS coef, {r('sqrt(v1)', 4)} AS std_err FROM {{0}}
+    UNION ALL SELECT 'intercept', {r('b0', 4)}, {r('sqrt(v0)', 4)} FROM {{0}}"""))
+def _(spark, d):
+    t = v.text_features(spark, d).select("quality", F.log1p("n_chars").alias("log_chars"))
+    return rounded(mdl.logit_inference(t, ["log_chars"], "quality").select("feature", "coef", "std_err"), 4)
+
+
+# All components of two features are a rotation, which leaves the penalty as it is: the fit is the
+# penalised regression on the z-scores themselves.
+_RIDGE_STEP = """
+    SELECT b0 + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS b0,
+      b1 + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS b1,
+      b2 + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS b2
+    FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det
+      FROM (SELECT b0, b1, b2, sum(y - p) AS g0, sum((y - p) * z1) - b1 AS g1, sum((y - p) * z2) - b2 AS g2,
+          sum(w) AS h00, sum(w * z1) AS h01, sum(w * z2) AS h02, sum(w * z1 * z1) + 1 AS h11, sum(w * z1 * z2) AS h12,
+          sum(w * z2 * z2) + 1 AS h22
+        FROM (SELECT *, p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2))) AS p FROM z2features, {0}))
+        GROUP BY b0, b1, b2))"""
+CTES["z2features"] = """
+    SELECT CAST(activation AS INTEGER) AS y, (embedding[1] - avg(embedding[1]) OVER ()) / stddev_pop(embedding[1]) OVER () AS z1,
+      (embedding[2] - avg(embedding[2]) OVER ()) / stddev_pop(embedding[2]) OVER () AS z2 FROM vectors"""
+_RIDGE = _newton(8, "SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2", _RIDGE_STEP, f"""
+    SELECT 'e1' AS feature, {r('b1', 4)} AS coef FROM {{0}} UNION ALL SELECT 'e2', {r('b2', 4)} FROM {{0}}""")
+
+
+@query("pca_logistic_two", _RIDGE)
+def _(spark, d):
+    return rounded(mdl.pca_logistic(flat_vectors(spark, d, 2), ["e1", "e2"], "activation", 2), 4)
+
+
+@query("group_pca_logistic_two", _RIDGE)
+def _(spark, d):
+    groups = {"first": (["e1"], 1), "second": (["e2"], 1)}
+    return rounded(mdl.group_pca_logistic(flat_vectors(spark, d, 2), groups, "activation"), 4)
+
+
+# Efron: of d deaths at one duration the l-th leaves l/d of the deaths' risk out
+_COX_STEP = """
+    SELECT b + sum(g) / sum(h) AS b, 1 / sum(h) AS v FROM (
+      SELECT b, CASE WHEN l = 0 THEN x1 ELSE 0 END - m1 AS g, m2 - m1 * m1 AS h FROM (
+        SELECT b, l, x1, (s1 - l * e1 / d) / (s0 - l * e0 / d) AS m1, (s2 - l * e2 / d) / (s0 - l * e0 / d) AS m2 FROM (
+          SELECT *, unnest(range(d)) AS l FROM (
+            SELECT b, duration, d, x1, e0, e1, e2, sum(a0) OVER w AS s0, sum(a1) OVER w AS s1, sum(a2) OVER w AS s2 FROM (
+              SELECT b, duration, count(*) FILTER (event) AS d, sum(x) FILTER (event) AS x1,
+                sum(r) AS a0, sum(r * x) AS a1, sum(r * x * x) AS a2,
+                sum(r) FILTER (event) AS e0, sum(r * x) FILTER (event) AS e1, sum(r * x * x) FILTER (event) AS e2
+              FROM (SELECT b, duration, event, CAST(l_quantity AS DOUBLE) AS x, exp(b * l_quantity) AS r FROM surv, {0})
+              GROUP BY b, duration)
+            WINDOW w AS (ORDER BY duration DESC ROWS UNBOUNDED PRECEDING)))))
+    GROUP BY b"""
+
+
+@query("cox_ph_one", _newton(6, "SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS v", _COX_STEP, f"""
+    SELECT 'l_quantity' AS feature, {r('b', 7)} AS coef, {r('sqrt(v)', 7)} AS std_err FROM {{0}}"""))
+def _(spark, d):
+    fit = srv.cox_ph(v.survival(spark, d), "duration", "event", ["l_quantity"])
+    return rounded(fit.select("feature", "coef", "std_err"), 7)
+
+
 _COX = ["l_quantity", "l_discount", "l_tax"]
 
 

@@ -102,7 +102,7 @@ def fit_group_pca_logistic(vectors: DataFrame, features: Sequence[str],
         projected = PipelineModel(stages[1:]).transform(scaled).select("label", "_pcs")
         model = LogisticRegression(
             featuresCol="_pcs", labelCol="label", regParam=1.0 / n / factor**2, elasticNetParam=0.0,
-            standardization=False, maxIter=200, tol=1e-6, rawPredictionCol="_raw", probabilityCol="_p",
+            standardization=False, maxIter=200, tol=1e-10, rawPredictionCol="_raw", probabilityCol="_p",
         ).fit(projected)
         coef = np.hstack(loadings) @ model.coefficients.toArray() / factor
         return PcaLogistic(features, [float(c) for c in coef], float(model.intercept),
