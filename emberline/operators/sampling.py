@@ -118,7 +118,10 @@ POISSON_TERMS = 16
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count for a uniform number."""
+    """Poisson(1) count for a uniform number.
+
+    Counts end at 15: a greater one has probability below 1e-13.
+    """
     cdf, total = [], 0.0
     for k in range(POISSON_TERMS):
         total += math.exp(-1) / math.factorial(k)
