@@ -26,7 +26,9 @@ from emberline.session import store
 SCALE = 64
 K = 20
 #: Rows a block is meant to have, and points below which a node is not split.
-BLOCK_ROWS, LEAF = 4096, 64
+BLOCK_ROWS, LEAF = 4096, 128
+#: Children a node may have: a level that needs more centres is too sparse to cover.
+CHILDREN = 32
 #: Pivots at most (they are vectors on the driver and in every task); large cells get salts.
 PIVOTS = 64
 _EXACT = 2.0**52
@@ -42,15 +44,6 @@ def quantised(vectors: DataFrame, scale: int) -> DataFrame:
         F.transform("embedding", lambda e: F.floor(e * scale).cast("long")).alias("v"))
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows: by doubles where no sum can be rounded."""
-    if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < _EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
-
-
 class Tree:
     """A cover tree: each level halves the radius its centres cover, centres keep that distance."""
 
@@ -68,6 +61,7 @@ class Tree:
             ids, points = ids[nth < copies], points[nth < copies]
         self.ids, self.points = ids, points
         self.float = points.astype(np.float64)
+        self.most = float(np.abs(self.float).max()) if points.size else 0.0
         self.nodes: list[tuple[np.ndarray, float, float, np.ndarray, list[int]]] = []
         if len(ids):
             self._node(np.arange(len(ids)), 0)
@@ -81,7 +75,7 @@ class Tree:
         if len(rows) > LEAF and radius > 0:
             left, children, cover = np.arange(len(rows)), [], radius / 2
             nearest, pick = away, center
-            while len(left):
+            while len(left) and len(children) <= CHILDREN:
                 d = nearest if not children else np.sqrt(((own[left] - own[pick]) ** 2).sum(1))
                 inside = d <= cover
                 group = left[inside]
@@ -89,8 +83,7 @@ class Tree:
                 left = left[~inside]
                 if len(left):
                     pick = int(left[0])
-            # a level at which most points stand alone would make a node of each: keep them together
-            if len(children) <= max(8, len(rows) // 8):
+            if not len(left):
                 self.nodes[number][4].extend(self._node(r, c) for r, c in children)
             else:
                 self._halve(number, rows, away)
@@ -113,10 +106,12 @@ def search(queries: Tree, data: Tree, best: np.ndarray, best_ids: np.ndarray, k:
     if not queries.nodes or not data.nodes:
         return
     nothing = np.iinfo(np.int64).min
+    # products of doubles are exact where no sum can be rounded
+    exact = queries.most * data.most * queries.points.shape[1] < _EXACT
 
     def bound(q: tuple, c: tuple) -> float:
-        exact = float(q[0] @ c[0]) + q[2] * c[1] + c[2] * q[1] + q[1] * c[1]
-        return exact * (1 + 1e-9) + 1e-6 if exact > 0 else exact * (1 - 1e-9) + 1e-6
+        most = float(q[0] @ c[0]) + q[2] * c[1] + c[2] * q[1] + q[1] * c[1]
+        return most * (1 + 1e-9) + 1e-6 if most > 0 else most * (1 - 1e-9) + 1e-6
 
     stack = [(bound(queries.nodes[0], data.nodes[0]), 0, 0)]
     while stack:
@@ -126,7 +121,10 @@ def search(queries: Tree, data: Tree, best: np.ndarray, best_ids: np.ndarray, k:
         if most < float(worst.min()):
             continue
         if not q[4] and not c[4]:
-            scores = product(queries.points[q[3]], data.points[c[3]])
+            if exact:
+                scores = (queries.float[q[3]] @ data.float[c[3]].T).astype(np.int64)
+            else:
+                scores = queries.points[q[3]] @ data.points[c[3]].T
             ids = np.broadcast_to(data.ids[c[3]], scores.shape)
             scores = np.where(ids == queries.ids[q[3]][:, None], nothing, scores)
             hit = np.flatnonzero((scores >= worst[:, None]).any(1))
@@ -221,11 +219,18 @@ def searched(pairs: DataFrame, k: int) -> DataFrame:
     """The k best of every query in every pair of blocks, above the query's ``floor``."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # pairs come sorted by the block of data, so a tree is built once for all its pairs
+        last, data, trees = None, None, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                queries = Tree(*unpacked(row, "q_", row["dim"]))
-                data = Tree(*unpacked(row, "", row["dim"]), copies=k + 1)
+                if last != (row["dim"], row["block"]):
+                    last, data = (row["dim"], row["block"]), Tree(*unpacked(row, "", row["dim"]), copies=k + 1)
+                if row["q_block"] not in trees:
+                    if len(trees) >= 16:
+                        trees.clear()
+                    trees[row["q_block"]] = Tree(*unpacked(row, "q_", row["dim"]))
+                queries = trees[row["q_block"]]
                 best = np.full((len(queries.ids), k), np.iinfo(np.int64).min)
                 best_ids = np.full(best.shape, np.iinfo(np.int64).max)
                 if row["floor"] is not None:
@@ -240,7 +245,7 @@ def searched(pairs: DataFrame, k: int) -> DataFrame:
                     pa.array(best[real])], names=["q_block", "query_id", "vec_id", "score"])
 
     return pairs.select(
-        "dim", "q_block", "q_ids", "q_points", "ids", "points", "floor_ids", "floor").mapInArrow(mapped, _FOUND)
+        "dim", "block", "q_block", "q_ids", "q_points", "ids", "points", "floor_ids", "floor").mapInArrow(mapped, _FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, block_rows: int = BLOCK_ROWS,
