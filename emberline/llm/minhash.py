@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     open_ = labelled(members.select("bucket", "rep"))
     several = open_.groupBy("bucket").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.min_by("rep", F.xxhash64("rep")).alias("pick")).filter("lo <> hi").select("bucket", "pick")
+        # another centre in each bucket, so that a class meets many in one round
+        F.min_by("rep", F.xxhash64("rep", "bucket")).alias("pick")).filter("lo <> hi").select("bucket", "pick")
     again = store(open_.join(several, "bucket"), "open")
     of_pick = found.select(F.col("node").alias("pick"), F.col("component").alias("of_pick"))
     second = again.join(of_pick, "pick", "left").filter(
@@ -229,16 +230,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     largest = sizes.groupBy("bucket").agg(
         F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).filter(
         "parts > 1").select("bucket", "largest")
-    rest = store(
-        last.join(largest, "bucket").join(classes.select("rep", "n", "s0", "s1"), "rep"), "rest")
+    about = ["rep", "n", "s0", "s1", "buckets"]
+    rest = store(last.join(largest, "bucket").join(classes.select(*about), "rep"), "rest")
     x = rest.filter("component <> largest").select(
-        "bucket", *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "s0", "s1")])
+        "bucket", *[F.col(c).alias(f"{c}_x") for c in ("component", *about)])
+    earlier = F.array_position("buckets", F.col("bucket")).cast("int") - 1
     near = (
         (F.col("component_x") != F.col("component"))
         & (F.col("n_x") * 100 >= percent * F.col("n")) & (F.col("n") * 100 >= percent * F.col("n_x"))
         & (F.bit_count(F.col("s0_x").bitwiseXOR(F.col("s0"))) + F.bit_count(F.col("s1_x").bitwiseXOR(F.col("s1")))
            <= BITS_APART)
         & ((F.col("component") == F.col("largest")) | (F.col("rep_x") < F.col("rep")))
+        # a pair is met in the first bucket that it shares
+        & ~F.arrays_overlap(F.slice("buckets_x", F.lit(1), earlier), F.slice("buckets", F.lit(1), earlier))
     )
     pairs = x.join(rest, "bucket").filter(near).select(F.col("rep_x").alias("x"), F.col("rep").alias("y")).distinct()
     links = links.unionByName(verified(pairs, sets, percent))
