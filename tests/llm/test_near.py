@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -70,6 +71,49 @@ def test_documents(spark, docs_of, n):
     assert got == linked_documents(rows, n, 80)
 
 
+def test_components_of_a_bucket_meet_in_chunks():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    base, texts = [rng.choice(words) for _ in range(30)], []
+    for _ in range(120):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(30)] = rng.choice(words)
+        texts.append(" ".join(own))
+    sets = minhash.shingle_sets(pa.array(texts), 2)
+    signs = minhash.sign_bits(minhash.superminhash(sets, 160))
+    buckets = np.tile(np.arange(32), (120, 1))  # all share every bucket
+    buckets[100:, 0] = 99  # but for these, which meet the others in the second
+    component = np.arange(120) % 40
+
+    def table(rows, bucket):
+        return pa.table({
+            "bucket": pa.array([bucket] * len(rows), pa.int64()), "largest": pa.array([0] * len(rows), pa.int64()),
+            "rep": pa.array(rows, pa.int64()), "component": pa.array(component[rows], pa.int64()),
+            "s0": pa.array(signs[rows, 0]), "s1": pa.array(signs[rows, 1]),
+            "buckets": pa.array(list(buckets[rows]), pa.list_(pa.int64())),
+            "shingles": pa.array([sets[i].view(np.int64) for i in rows], pa.list_(pa.int64()))})
+
+    got, want = Parts(120), Parts(120)
+    for i, c in enumerate(component):
+        got.join(i, c)
+        want.join(i, c)
+    for bucket, members in ((0, range(100)), (99, range(100, 120)), (1, range(120))):
+        members = list(members)
+        outside = [i for i in members if component[i] != 0]
+        for a in range(0, len(outside), 25):
+            for b in range(0, len(members), 25):
+                for x, y in minhash.chunk_links(table(outside[a:a + 25], bucket), table(members[b:b + 25], bucket), 80):
+                    assert 100 * len(set(sets[x]) & set(sets[y])) >= 80 * len(set(sets[x]) | set(sets[y]))
+                    got.join(x, y)
+    for i in range(120):
+        for j in range(i):
+            if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j])):
+                want.join(i, j)
+    assert got.least(list(range(120))) == want.least(list(range(120)))
+    assert len(set(want.least(list(range(120))))) > 1
+
+
 def test_keep_one_of_each_group(spark, docs_of):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (9, "A b  c d e f"), (8, ""), (7, None), (None, "a b c d e f")]
     kept = minhash.keep_distinct(docs_of(rows))
