@@ -12,7 +12,8 @@ a band are candidates.  A bucket of them is never expanded into its pairs:
 1. two rounds of stars: every class is compared with the bucket's centre only, the second round
    (another centre) only in buckets that the first did not join into one component;
 2. what is left: in a bucket with several components, the classes outside the largest one are
-   compared with those of other components, so no candidate link is lost.
+   compared with those of other components, so no candidate link is lost.  Both sides are cut into
+   chunks, and a pair of chunks is compared inside one task, which returns links only.
 
 Every link is confirmed on the full sets.  With 32 bands of 5 slots a pair at the threshold shares
 no band with probability 3e-6, and less above it.
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.components import components
+from emberline.llm.tokens import ragged
 from emberline.session import store
 
 WORDS = 5
@@ -37,6 +39,8 @@ PERCENT = 80
 BANDS, ROWS = 32, 5
 #: Shingles whose permutations are in memory at once.
 CHUNK = 150_000
+#: Classes per chunk where a bucket's components are compared.
+SIDE = 256
 #: Of 128 sign bits, those that may differ in a pair worth verifying (about 58 do at similarity 0.1,
 #: 13 at 0.8; more than 34 has probability below 1e-7 there).
 BITS_APART = 34
@@ -174,6 +178,68 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * common >= percent * (F.size("sx") + F.size("sy") - common)).select("x", "y")
 
 
+def across(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between components of a bucket, one per class outside the largest and component.
+
+    ``rest`` has bucket, rep, component, the bucket's largest component, and the number of chunks on
+    each side.  A row is sent to as many tasks as the other side has chunks.
+    """
+    full = rest.join(classes.select("rep", "buckets", "s0", "s1"), "rep").join(sets, "rep")
+    chunk = F.xxhash64("rep")
+    columns = full.withColumn("column", F.pmod(chunk, "columns").cast("int")).withColumn(
+        "row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    rows = full.filter("component <> largest").withColumn("row", F.pmod(chunk, "rows").cast("int")).withColumn(
+        "column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    keys, about = ["bucket", "row", "column"], ["rep", "component", "largest", "buckets", "s0", "s1", "shingles"]
+
+    def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(
+            [{"x": x, "y": y} for x, y in chunk_links(left, right, percent)],
+            schema=pa.schema([("x", pa.int64()), ("y", pa.int64())]))
+
+    # new names for one side, as both come from the same table
+    other = columns.select(*[F.col(c).alias(c) for c in (*keys, *about)])
+    return rows.select(*keys, *about).groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(
+        compared, "x long, y long")
+
+
+def chunk_links(left: pa.Table, right: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
+    """Compares the classes of ``left``, all outside the bucket's largest component, with ``right``."""
+    if not left.num_rows or not right.num_rows:
+        return
+
+    def arrays(table: pa.Table) -> tuple:
+        lists = table["shingles"].combine_chunks()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        buckets = table["buckets"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(size), -1)
+        return (*(table[c].to_numpy() for c in ("rep", "component")), buckets,
+                np.stack([table["s0"].to_numpy(), table["s1"].to_numpy()], 1).view(np.uint64), size, flat)
+
+    rep_x, comp_x, buckets_x, signs_x, size_x, flat_x = arrays(left)
+    rep, comp, buckets, signs, size, flat = arrays(right)
+    bucket, largest = left["bucket"][0].as_py(), left["largest"][0].as_py()
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(flat, kind="stable")
+    values, owner = flat[order], owner[order]
+    end = np.cumsum(size_x)
+    for i in range(len(rep_x)):
+        band = int(np.flatnonzero(buckets_x[i] == bucket)[0])
+        near = (comp != comp_x[i]) & ((comp == largest) | (rep_x[i] < rep))
+        near &= (size_x[i] * 100 >= percent * size) & (size * 100 >= percent * size_x[i])
+        near &= np.bitwise_count(signs ^ signs_x[i]).sum(1) <= BITS_APART
+        # a pair is met in the first bucket that it shares
+        near &= ~(buckets[:, :band] == buckets_x[i, :band]).any(1)
+        if not near.any():
+            continue
+        own = flat_x[end[i] - size_x[i]:end[i]]
+        first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        common = np.bincount(owner[ragged(first, last - first)], minlength=len(size))
+        hits = np.flatnonzero(near & (100 * common >= percent * (size_x[i] + size - common)))
+        for j in hits[np.unique(comp[hits], return_index=True)[1]]:
+            yield int(rep_x[i]), int(rep[j])
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, n_bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """Adds nothing to and drops nothing from ``docs`` (``doc_id``, ``text``): one row per row with
@@ -228,24 +294,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     last = labelled(again.select("bucket", "rep"))
     sizes = last.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("bucket").agg(
-        F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).filter(
-        "parts > 1").select("bucket", "largest")
-    about = ["rep", "n", "s0", "s1", "buckets"]
-    rest = store(last.join(largest, "bucket").join(classes.select(*about), "rep"), "rest")
-    x = rest.filter("component <> largest").select(
-        "bucket", *[F.col(c).alias(f"{c}_x") for c in ("component", *about)])
-    earlier = F.array_position("buckets", F.col("bucket")).cast("int") - 1
-    near = (
-        (F.col("component_x") != F.col("component"))
-        & (F.col("n_x") * 100 >= percent * F.col("n")) & (F.col("n") * 100 >= percent * F.col("n_x"))
-        & (F.bit_count(F.col("s0_x").bitwiseXOR(F.col("s0"))) + F.bit_count(F.col("s1_x").bitwiseXOR(F.col("s1")))
-           <= BITS_APART)
-        & ((F.col("component") == F.col("largest")) | (F.col("rep_x") < F.col("rep")))
-        # a pair is met in the first bucket that it shares
-        & ~F.arrays_overlap(F.slice("buckets_x", F.lit(1), earlier), F.slice("buckets", F.lit(1), earlier))
-    )
-    pairs = x.join(rest, "bucket").filter(near).select(F.col("rep_x").alias("x"), F.col("rep").alias("y")).distinct()
-    links = links.unionByName(verified(pairs, sets, percent))
+        F.max_by("component", F.struct("size", "component")).alias("largest"), F.max("size").alias("most"),
+        F.sum("size").alias("all"), F.count("*").alias("parts")).filter("parts > 1").select(
+        "bucket", "largest", F.ceil(F.col("all") / SIDE).cast("int").alias("columns"),
+        F.ceil((F.col("all") - F.col("most")) / SIDE).cast("int").alias("rows"))
+    rest = store(last.join(largest, "bucket"), "rest")
+    links = links.unionByName(across(rest, classes, sets, percent))
     found = components(links)
     label = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id"))
