@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.quality import held_out
+from emberline.llm.tokens import slices
 
 SAMPLE = 600
 WORDS, GRAMS = 8000, 12000
@@ -136,7 +137,7 @@ def sample_counts(docs: DataFrame, folds: int, fold: int, sample: int, words: in
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
         for lang, found in counts.items():
@@ -195,7 +196,7 @@ def predict_language(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = docs.select(*keep).schema.add("_lang", "string").add("_score", "double")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lang, score = shared.value.predict(batch.column("text").cast(pa.string()))
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(

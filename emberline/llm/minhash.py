@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.components import components
-from emberline.llm.tokens import ragged
+from emberline.llm.tokens import ragged, slices
 from emberline.session import store
 
 WORDS = 5
@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame, words: int, n_bands: int, rows: int) -> DataFr
     slots = n_bands * rows
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), words)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             signatures = superminhash(sets, slots)
@@ -159,7 +159,7 @@ def fingerprints(docs: DataFrame, words: int, n_bands: int, rows: int) -> DataFr
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays([
                 batch.column("rep"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.tokens import ragged
+from emberline.llm.tokens import ragged, slices
 
 N = 3
 UNIT = 1_000_000
@@ -294,7 +294,7 @@ def segment_digests(docs: DataFrame, model: str, n: int = N) -> DataFrame:
 def _mapped(docs: DataFrame, model: str, n: int, column: str, value, kind: pa.DataType) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(i, rank, score, len(ids) // 4, value(ids))
                     for i, rank, score, ids in segment_batch(pieces, batch.column("text"), n)]
             at, rank, score, length, last = zip(*rows) if rows else [()] * 5
@@ -314,7 +314,7 @@ def decode_documents(segmented: DataFrame, model: str) -> DataFrame:
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if ids is None else pieces.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 

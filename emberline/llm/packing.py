@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.tokens import encoder
+from emberline.llm.tokens import encoder, slices
 from emberline.session import store
 
 CAPACITY = 1024
@@ -58,7 +58,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capa
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encode = TaskContext.get().partitionId(), encoder(tokenizer)
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             ids, n = encode.batch(batch.column("text"), end_id)
             doc, start, length = cut(n, capacity)
             at = (np.cumsum(n) - n)[doc] + start

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm.tokens import slices
+
 #: Labelled documents per label that the model is fitted on, at most.
 SAMPLE = 2000
 TERMS, SHAPES, DIMENSIONS, NEIGHBOURS = 4096, 1024, 96, 15
@@ -145,7 +147,7 @@ def score_documents(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = docs.select(*keep).schema.add("_score", "double")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = shared.value.scores(batch.column("text").cast(pa.string()))
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=schema.names)

@@ -18,6 +18,7 @@ Null texts are empty.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept in each of the two generations of a worker's cache; bounds its memory only.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 250_000
+#: Documents whose words are in memory at once.
+SLICE = 2500
 #: Letters of one code point that normal form C keeps and whose lower case is one code point.
 _PLAIN = "^(?P<core> ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<mark>[.,;:!?]?)$"
 _LETTERS = [c for c in range(0x41, 0x100) if c not in (0xD7, 0xF7) and (c < 0x7B or c >= 0xC0) and chr(c).isalpha()]
@@ -43,6 +46,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller parts; what Arrow has freed goes back to the system after each batch.
+
+    Parts are copies: some string kernels go wrong on a slice that doesn't begin at its buffer's start.
+    """
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.take(pa.array(np.arange(first, min(first + rows, batch.num_rows))))
+        pa.default_memory_pool().release_unused()
+
+
 class Encoder:
     """Ids of many texts by one tokenizer file."""
 

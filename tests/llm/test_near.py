@@ -13,6 +13,7 @@ from texts import ODD
 
 from emberline.llm import covertree, egojoin, minhash
 from emberline.llm.components import components
+from emberline.llm.tokens import slices
 
 
 class Parts:
@@ -71,6 +72,15 @@ def test_documents(spark, docs_of, n):
     assert got == linked_documents(rows, n, 80)
 
 
+def test_parts_of_a_batch_keep_their_texts():
+    texts = ["é" * (i % 40) + " Größe X" for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(slices([batch], 70))
+    assert [t for part in parts for t in part.column(0).to_pylist()] == texts
+    got = [x for part in parts for x in minhash.shingle_sets(part.column(0), 2)]
+    assert all((a == b).all() for a, b in zip(got, minhash.shingle_sets(batch.column(0), 2)))
+
+
 def test_components_of_a_bucket_meet_in_chunks():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
