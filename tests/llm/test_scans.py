@@ -120,3 +120,17 @@ def test_trees_add_likely_spans(spark, docs_of):
     strict = {d: result(d, base_personal(t), personal.BASE)[-1] for d, t in rows}
     assert all(set(strict[d].split(",")) <= set(s.split(",")) or not strict[d] for d, s in out.items())
 
+
+
+def test_threshold_follows_the_mix_of_the_whole_table(spark, docs_of):
+    def likely(strict, broken, sample, precision):
+        rng = random.Random(1)
+        group = lambda: rng.randint(100, 199)
+        rows = [(i, f"host {group() + 800 * (i >= strict)}.{group()}.{group()}.{group()} up") for i in range(strict + broken)]
+        rows += [(1000 + i, f"host {group()}.{group()}.{group()} up") for i in range(5)]
+        out = personal.scan_personal(docs_of(rows), sample, precision).collect()
+        return sum("likely" in r.spans for r in out if r.doc_id >= 1000)
+
+    # strict and broken proposals look alike, so their mix alone decides, drawn evenly or not
+    assert likely(390, 10, 20_000, 0.95) == likely(390, 10, 16, 0.95) == 5
+    assert likely(10, 390, 20_000, 0.3) == likely(10, 390, 16, 0.3) == 0
