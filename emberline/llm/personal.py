@@ -1,7 +1,7 @@
 """Personal data in texts: strict patterns, and proposals judged by boosted trees.
 
 Strict kinds (email, ip, card, phone) are patterns with a check: octets, Luhn, digits.  High-recall
-generators also propose looser spans, which may overlap.  Boosted trees score the proposals from
+generators also propose looser spans, which may overlap, and the parts of long runs of digits.  Boosted trees score the proposals from
 their format (digits, separators, shape) and context (words before, neighbouring characters); they
 learn from the proposals that are strict spans or that break a strict kind's check, on a bounded
 sample weighted back to the table's mix, and never see the checks themselves.  On all such proposals
@@ -41,6 +41,15 @@ PROPOSALS = {
     "dotted": r"[0-9]+\.[0-9]+\.[0-9.]*[0-9]",
     "at": r"[A-Za-z0-9._%+-]+\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9.-]+",
 }
+# A run this long may hold several numbers side by side: its parts of whole digit groups with 7 to 19
+# digits, not more than 3 other characters apart, are proposed too.
+LONG, PART = 14, "part"
+START = r"[+(](?=[0-9])|(?<![0-9+(])[0-9]"
+PIECE = r"(?=([\s\S]{24}(?:[+(][0-9]|(?<![0-9+(])[0-9])[\s\S]{0,74}))"
+PARTS = [rf"^[+(]?[0-9](?:[\x20()./-]{{0,3}}[0-9]){{{n - 1}}}(?![0-9])" for n in range(7, 20)]
+# What has the format of a strict kind, so that its check decides.
+ADDRESS_LIKE = r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"
+CARD_LIKE = r"^[0-9](?:[\x20-]?[0-9]){11,18}$"
 CONTEXT = {
     "call": r"(?i)(tel|phone|call|fax|mobile|contact)", "pay": r"(?i)(card|visa|master|pay|iban|account)",
     "host": r"(?i)(ip|host|addr|server)", "mail": r"(?i)(mail|write|send)",
@@ -85,20 +94,62 @@ def proposals(text: Column) -> Column:
     return F.concat(*[located(text, pattern, kind) for kind, pattern in PROPOSALS.items()])
 
 
+def around(text: Column, s: Column) -> Column:
+    """A span with the 24 characters before it, filled up with blanks, and the one after it."""
+    before = F.lpad(F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))), 24, " ")
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["found"].alias("found"),
+                    before.alias("before"), F.substring(text, s["end"] + 1, F.lit(1)).alias("after"))
+
+
+def parts(run: Column) -> Column:
+    """Spans of the parts of a run: at every start of a digit group one for each number of digits."""
+    starts = F.filter(
+        F.transform(F.split(F.regexp_replace(run["found"], START, OTHER), ""), lambda c, i: F.when(c == OTHER, i)),
+        lambda i: i.isNotNull())
+    # each start with what stands around it, cut out in one pass
+    pieces = F.regexp_extract_all(F.concat(run["before"], run["found"], run["after"]), F.lit(PIECE), F.lit(1))
+
+    def at(i: Column, piece: Column) -> Column:
+        rest = F.substring(piece, F.lit(25), F.length(piece))
+        some = F.filter(F.array(*[F.regexp_extract(rest, p, 0) for p in PARTS]), lambda x: F.length(x) > 0)
+        return F.transform(some, lambda x: F.struct(
+            (run["start"] + i).alias("start"), (run["start"] + i + F.length(x)).alias("end"),
+            F.lit(PART).alias("kind"), x.alias("found"), F.substring(piece, 1, 24).alias("before"),
+            F.substring(piece, F.length(x) + 25, F.lit(1)).alias("after")))
+
+    return F.filter(F.flatten(F.zip_with(starts, pieces, at)), lambda s: s["end"] - s["start"] < run["end"] - run["start"])
+
+
+def long_runs(spans: Column) -> Column:
+    return F.filter(spans, lambda s: (s["kind"] == "number") & (F.length(digits(s["found"])) >= LONG))
+
+
+def first_of_overlapping(spans: Column) -> Column:
+    """By start, then longest: each span that overlaps none kept before it."""
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"), s["found"].alias("found"))))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+
+    def step(acc: Column, s: Column) -> Column:
+        span = F.struct(s["start"].alias("start"), (-s["last"]).alias("end"), s["kind"].alias("kind"), s["found"].alias("found"))
+        return F.when(s["start"] >= acc["at"], F.struct(span["end"].alias("at"), F.concat(acc["spans"], F.array(span)).alias(
+            "spans"))).otherwise(acc)
+
+    return F.aggregate(keyed, zero, step, lambda acc: acc["spans"])
+
+
 def described(rows: DataFrame) -> DataFrame:
-    """Format and context features of proposals: rows with text and span."""
+    """Format and context features of proposals: rows with span, before and after."""
     found = F.col("span.found")
 
     def count(pattern: str) -> Column:
         return F.length(F.regexp_replace(found, pattern, "")).cast("double")
 
-    start = F.col("span.start")
-    before = F.substring(F.col("text"), F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
-    after = F.substring(F.col("text"), F.col("span.end") + 1, F.lit(1))
+    before, after = F.col("before"), F.col("after")
     flags = {
         "f_plus": found.startswith("+"), "f_sign": F.contains(found, F.lit("@")),
         "f_left": before.rlike("[A-Za-z0-9]$"), "f_right": after.rlike("^[A-Za-z0-9]"),
-        **{f"f_{k}": F.col("span.kind") == k for k in PROPOSALS},
+        **{f"f_{k}": F.col("span.kind").isin(k, *[PART] * (k == "number")) for k in PROPOSALS},
         **{f"f_{k}": before.rlike(p) for k, p in CONTEXT.items()},
     }
     return rows.select(
@@ -109,21 +160,28 @@ def described(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row per proposal, with its key, the text it stands in, and whether it is known to be right.
+    """One row per proposal, with its key, the text around it, and whether it is known to be right.
 
-    ``label`` is 1 where the proposal is a strict span, 0 where it only looks like one (a long
-    number that fails its check, a dotted number that is no address), else null.
+    ``label`` is 1 where the proposal is a strict span, 0 where it has the format of a strict kind
+    and fails every check (12 to 19 digits like a card's by Luhn, four short groups by octets), else
+    null.  Parts of a run have none: that a part fails says nothing about the number it was cut from.
     """
-    rows = docs.withColumn("_proposed", F.filter(proposals(F.col("text")), lambda s: F.length(s["found"]) >= 6))
-    each = rows.select("key", "text", "base", F.explode("_proposed").alias("span"))
+    text = F.col("text")
+    whole = F.transform(F.filter(proposals(text), lambda s: F.length(s["found"]) >= 6), lambda s: around(text, s))
+    rows = docs.withColumn("_whole", whole).withColumn("_long", long_runs(F.col("_whole")))
+    more = F.when(F.size("_long") > 0, F.concat("_whole", F.flatten(F.transform("_long", parts)))).otherwise(F.col("_whole"))
+    # texts aren't repeated with their proposals
+    each = rows.select("key", "base", F.explode(more).alias("_each")).select(
+        "key", "base", F.struct("_each.start", "_each.end", "_each.kind", "_each.found").alias("span"),
+        "_each.before", "_each.after")
     strict = F.exists("base", lambda b: (b["start"] == F.col("span.start")) & (b["end"] == F.col("span.end")))
     free = ~F.exists("base", lambda b: distance(b, F.col("span")) < 0)
-    n = F.length(digits(F.col("span.found")))
-    broken = ((F.col("span.kind") == "dotted") & ~F.col("span.found").rlike(OCTETS)) | (
-        (F.col("span.kind") == "number") & (n >= 12))
+    found = F.col("span.found")
+    card = F.length(digits(found)).between(12, 19) & luhn(digits(found))
+    broken = (found.rlike(ADDRESS_LIKE) & ~found.rlike(OCTETS) | found.rlike(CARD_LIKE)) & ~card
     return each.select(
-        "key", "text", "span", free.alias("free"),
-        F.when(strict, 1.0).when(free & broken, 0.0).alias("label"))
+        "key", "span", "before", "after", free.alias("free"),
+        F.when(F.col("span.kind") == PART, None).when(strict, 1.0).when(free & broken, 0.0).alias("label"))
 
 
 def fitted(found: DataFrame, sample: int, precision: float):
@@ -169,20 +227,18 @@ def find_personal(docs: DataFrame, sample: int = SAMPLE, precision: float = PREC
     # only texts that may hold a proposal go on
     maybe = text.rlike(r"[0-9][\x20()./0-9-]{5,}[0-9]|[0-9]\.[0-9]+\.|@|\(at\)|\[at\]")
     some = whole.filter(maybe).select(F.col("__key").alias("key"), text.alias("text"), F.col("__base").alias("base"))
-    found = store(described(candidates(some)).drop("text"), "candidates")
+    found = store(described(candidates(some)).drop("before", "after"), "candidates")
     model = fitted(found, sample, precision)
     if model is None:
         return whole.withColumn(name, ordered(F.col("__base"), (*BASE, LIKELY))).drop("__key", "__base")
     vectors, trees, threshold = model
-    scored = trees.transform(vectors.transform(found.filter(F.col("free") & F.col("label").isNull())))
+    scored = trees.transform(vectors.transform(found.filter("free")))
     likely = scored.filter(F.round(vector_to_array("probability")[1], 2) >= threshold).groupBy("key").agg(
         F.collect_set(F.struct("span.start", "span.end", F.lit(LIKELY).alias("kind"), "span.found")).alias("__likely"))
     both = whole.join(likely.withColumnRenamed("key", "__key"), "__key", "left")
     # of overlapping proposals the first, then the longest, stays
     more = F.coalesce("__likely", F.array().cast(SPAN))
-    more = F.filter(more, lambda s: ~F.exists(more, lambda o: (distance(s, o) < 0) & (
-        (o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["end"] > s["end"])))))
-    spans = F.concat("__base", clear_of(more, F.col("__base")))
+    spans = F.concat("__base", first_of_overlapping(more))
     return both.withColumn(name, ordered(spans, (*BASE, LIKELY))).drop("__key", "__base", "__likely")
 
 

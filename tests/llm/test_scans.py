@@ -134,3 +134,37 @@ def test_threshold_follows_the_mix_of_the_whole_table(spark, docs_of):
     # strict and broken proposals look alike, so their mix alone decides, drawn evenly or not
     assert likely(390, 10, 20_000, 0.95) == likely(390, 10, 16, 0.95) == 5
     assert likely(10, 390, 20_000, 0.3) == likely(10, 390, 16, 0.3) == 0
+
+
+def test_long_numbers_are_proposed_and_judged(spark, docs_of):
+    texts = ["0049 30 1234 5678", "4111.1111.1111.1111", "4111 1111 1111 1112", "999.1.1.1", "1.2.3", "4111 1111 1111 1111",
+             "555 123 4567 555 987 6543", "(555) 123-4567 (555) 987-6543", "1 2 3 4 5 6 7 8 9 " * 40]
+    docs = docs_of(list(enumerate(texts))).selectExpr("doc_id AS key", "text").withColumn(
+        "base", personal.base_spans(personal.F.col("text")))
+    rows = personal.candidates(docs).selectExpr("key", "span.*", "label").collect()
+    labels = {k: {r.label for r in rows if r.key == k and r.kind != "part"} for k in range(len(texts))}
+    assert labels == {0: {0.0}, 1: {None}, 2: {0.0}, 3: {0.0}, 4: set(), 5: {1.0}, 6: {None}, 7: {None}, 8: {None}}
+    parts = {(r.key, r.start, r.end) for r in rows if r.kind == "part"}
+    assert {(6, 0, 12), (6, 13, 25), (7, 0, 14), (7, 15, 29)} <= parts
+    assert all(texts[r.key][r.start:r.end] == r.found for r in rows)
+    assert len([k for k, _, _ in parts if k == 8]) == sum(min(13, max(0, 360 - i - 6)) for i in range(360))
+
+    # the word before is all that tells right from broken numbers
+    def written(i, right, word):
+        head = f"{1234 + i} {5678 - i} {1000 + 7 * i} 12"
+        last = next(d for d in range(10) if luhn(head.replace(" ", "") + str(d)) == right)
+        return f"{word} {head}{last} end"
+
+    rows = [(i, written(i, i % 2 == 0, "serial" if i % 2 else "card")) for i in range(300)]
+    rows += [(1000 + i, f"card {texts[i]} end") for i in (1, 6, 7)] + [(2000, f"serial {texts[1]} end")]
+    rows += [(2001, written(300, False, "card"))]
+    out = {r.doc_id: r.spans for r in personal.scan_personal(docs_of(rows)).collect() if r.doc_id >= 1000}
+    assert out == {1001: "likely:5:24", 1006: "likely:5:30", 1007: "likely:5:34", 2000: "", 2001: "likely:5:23"}
+
+
+def test_overlapping_spans_are_chosen_in_order(spark):
+    # the second span loses to the first and does not take the third with it
+    row = spark.sql("SELECT array((0, 9, 'x', 'a'), (5, 14, 'x', 'b'), (12, 20, 'x', 'c'), (12, 15, 'x', 'd')) AS s")
+    spans = personal.F.col("s").cast(personal.SPAN)
+    kept = row.select(personal.first_of_overlapping(spans).alias("s")).first().s
+    assert [(x.start, x.end) for x in kept] == [(0, 9), (12, 20)]
