@@ -6,6 +6,9 @@ address of a service.  They are linked by an interval join within a scope, ``rea
 around each part: an identifier needs a secret there, a secret an identifier or an endpoint, an
 endpoint both.  Strong spans take part as identifiers (access) and secrets (assign, hex).
 
+Parts that overlap are no complements in ``scan_secrets``, as in its SQL.  ``redact_secrets`` also takes
+an endpoint as the complement of a secret in its own user-info or query values, but not in its path.
+
 A scope never leaves its document, so the join runs inside the row, on arrays: no shuffle, no row
 key, and no Python.
 """
@@ -44,8 +47,17 @@ def weak_spans(text: Column) -> Column:
     return F.concat(located(text, IDENTIFIER, "identifier"), secret, located(text, ENDPOINT, "endpoint"))
 
 
-def linked(weak: Column, base: Column, reach: int) -> Column:
-    """Weak spans with their complements in reach."""
+def carried(s: Column, e: Column) -> Column:
+    """Whether a secret stands in the user-info or in a query value of an endpoint."""
+    before = F.substring(e["found"], F.lit(1), s["start"] - e["start"])
+    after = F.substring(e["found"], s["end"] - e["start"] + 1, F.length(e["found"]))
+    user = before.rlike(r"^[a-z]+:(//[^/?#]*)?$") & after.rlike("^[^/?#]*@")
+    value = before.rlike(r"^[^?#]*\?([^#]*[&;])?[^#&;=]*=[^#&;]*$")
+    return (s["start"] >= e["start"]) & (s["end"] <= e["end"]) & (user | value)
+
+
+def linked(weak: Column, base: Column, reach: int, inside: bool = False) -> Column:
+    """Weak spans with their complements in reach; with ``inside`` also secrets that an endpoint carries."""
     parts = F.concat(weak, base)
 
     def near(s: Column, kinds: tuple[str, ...]) -> Column:
@@ -56,10 +68,13 @@ def linked(weak: Column, base: Column, reach: int) -> Column:
         return F.when(s["kind"] == "identifier", secret).when(
             s["kind"] == "secret", identifier | near(s, ("endpoint",))).otherwise(identifier & secret)
 
-    return F.filter(weak, complete)
+    def own(s: Column) -> Column:
+        return (s["kind"] == "secret") & F.exists(weak, lambda e: (e["kind"] == "endpoint") & carried(s, e))
+
+    return F.filter(weak, lambda s: complete(s) | own(s) if inside else complete(s))
 
 
-def find_secrets(docs: DataFrame, reach: int = REACH, name: str = "_spans") -> DataFrame:
+def find_secrets(docs: DataFrame, reach: int = REACH, name: str = "_spans", inside: bool = False) -> DataFrame:
     """The rows of ``docs`` with a column ``name``: ordered spans (start, end, kind, found).
 
     Null and empty texts have none; every row is searched by itself, so repeated rows and null ids
@@ -69,7 +84,7 @@ def find_secrets(docs: DataFrame, reach: int = REACH, name: str = "_spans") -> D
     rows = docs.drop(name).withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = rows.withColumn(base, base_spans(F.col(text))).withColumn(
         weak, clear_of(weak_spans(F.col(text)), F.col(base)))
-    spans = F.concat(F.col(base), linked(F.col(weak), F.col(base), reach))
+    spans = F.concat(F.col(base), linked(F.col(weak), F.col(base), reach, inside))
     return rows.withColumn(name, ordered(spans, KINDS)).drop(text, base, weak)
 
 
@@ -89,7 +104,7 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
 def redact_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``docs`` with every span replaced by its kind, and ``n_chars`` (if there) counted anew."""
     text = redacted(F.col("text"), F.col("__spans"))
-    out = find_secrets(docs, reach, "__spans").withColumn("text", F.when(F.col("text").isNotNull(), text))
+    out = find_secrets(docs, reach, "__spans", inside=True).withColumn("text", F.when(F.col("text").isNotNull(), text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
