@@ -107,6 +107,43 @@ FROM d LEFT JOIN listed USING (doc_id) GROUP BY doc_id"""
 OP4 = _op4()
 
 
+#: Unsigned crc32 of a list of bytes: the table of the polynomial (``crc``), then a fold over the bytes.
+_CRC_TABLE = """
+  crc_steps(i, c, k) AS (
+    SELECT i, i::UBIGINT, 0 FROM range(256) r(i) UNION ALL
+    SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, k + 1 FROM crc_steps WHERE k < 8),
+  crc AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
+
+
+def _crc32(byte_list: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {byte_list}), lambda c, b: "
+            "xor(t[CAST(xor(c, b) % 256 AS BIGINT) + 1], c // 256)), 4294967295::UBIGINT)")
+
+
+OP11 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+  o AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role) AS s
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  h AS (SELECT conv_id, s, {_crc32("[unicode(x)::UBIGINT FOR x IN string_split(conv_id::VARCHAR, '')]")} % 4 AS h FROM o, crc),
+  r AS (SELECT h.conv_id, list_concat(coalesce(b.s, [])[1:h.h], h.s[h.h + 1:]) AS s
+    FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+  m AS (SELECT conv_id, d, s[1:d] AS p, len(s) AS n FROM r, unnest(range(len(s) + 1)) AS u(d)),
+  v AS (SELECT d, p, min(conv_id) AS low, count(*) AS n_convs,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+      CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^ 	-]+')) END AS words
+    FROM m GROUP BY d, p),
+  node AS (SELECT v.*, low AS id FROM v),
+  up AS (SELECT m.conv_id, m.d, node.low FROM m JOIN node ON m.d = node.d AND m.p = node.p),
+  child AS (SELECT u.d, u.low, count(*) AS n FROM node c JOIN up u ON u.conv_id = c.low AND u.d = c.d - 1 GROUP BY 1, 2),
+  below AS (SELECT u.d, u.low, sum((c.n_convs - 1) * c.words) AS saved, count(*) FILTER (child.n IS NULL) AS leaves
+    FROM node c LEFT JOIN child ON child.d = c.d AND child.low = c.low JOIN up u ON u.conv_id = c.low AND u.d <= c.d
+    GROUP BY 1, 2)
+SELECT node.low AS conv_id, node.d AS depth, u.low AS parent_conv_id, n_convs, coalesce(child.n, 0) AS n_children,
+  leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM node JOIN below ON below.d = node.d AND below.low = node.low
+LEFT JOIN child ON child.d = node.d AND child.low = node.low
+LEFT JOIN up u ON u.conv_id = node.low AND u.d = node.d - 1"""
+
 OP13 = r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat, covertree, egojoin, language, minhash, nbest, oracles, packing, personal, quality, repair, secrets
+from emberline.llm import chat, covertree, egojoin, language, minhash, nbest, oracles, packing, personal, quality, repair, secrets, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +83,11 @@ def op10_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op11_prefix_trie", oracles.OP11)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_reply_trees", oracles.OP13)
 def op13_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(table(spark, sf_dir, "conversations"))
