@@ -67,7 +67,7 @@ def rebuilt(seqs: DataFrame, every: int = 20, heads: int = 4) -> DataFrame:
     """Each conversation with its first turns replaced by those of the first of its block of ids.
 
     Of conversation c the first h = crc32(decimal c) % ``heads`` turns come from conversation
-    c - c % ``every`` (all if it has fewer, none if there is none).
+    c - c % ``every`` (all if it has fewer, none if there is none); % has the sign of c.
     """
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads).cast("int")
     base = F.col("conv_id") - F.col("conv_id") % every
@@ -118,7 +118,8 @@ def in_order(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
         own = np.clip(sizes[live] - at, 0, width)
         matrix = np.full((len(live), width), -1, np.int64)
         matrix[np.arange(width) < own[:, None]] = codes[ragged(starts[live] + at, own)]
-        order = np.lexsort((*matrix.T[::-1], node))
+        # of rows that agree to the end of the band, those that end there come first
+        order = np.lexsort((sizes[live] > at + width, *matrix.T[::-1], node))
         live, own, matrix = live[order], own[order], matrix[order]
         changed = np.logical_or.accumulate(matrix[1:] != matrix[:-1], axis=1)
         same = node[1:] == node[:-1]  # nodes are numbered in order, so sorting has not moved them
