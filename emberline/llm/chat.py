@@ -19,6 +19,8 @@ them, have no root and give no path.  Other columns are ignored.  Only DataFrame
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,20 +60,24 @@ def climbed(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     state = store(own.select(
         "id", F.when(F.col("_known"), F.col("parent")).alias("up"), F.col("id").alias("root"),
         F.lit(0).cast("long").alias("hops"), F.col("score").alias("total")), "replies")
-    links, left = [], state.filter("up is not null").count()
+    settled, live, links = [state.filter("up is null")], state.filter("up is not null"), []
+    left = live.count()
     while left:
-        links.append(state.filter("up is not null").select("id", "up"))
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"),
+        links.append(live.select("id", "up"))
+        every = reduce(DataFrame.unionByName, settled, live)
+        above = every.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"),
                              F.col("hops").alias("_hops"), F.col("total").alias("_total"))
-        state = store(state.join(above, "up", "left").select(
-            "id", F.col("_up").alias("up"), F.coalesce("_root", "root").alias("root"),
-            F.when(F.col("_root").isNotNull(), F.col("_hops") + F.lit(1 << (len(links) - 1)).cast("long")).otherwise(
-                F.col("hops")).alias("hops"),
-            (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "replies")
-        before, left = left, state.filter("up is not null").count()
+        # only messages that have not met their root are joined again
+        state = store(live.join(above, "up").select(
+            "id", F.col("_up").alias("up"), F.col("_root").alias("root"),
+            (F.col("_hops") + F.lit(1 << (len(links) - 1)).cast("long")).alias("hops"),
+            (F.col("total") + F.col("_total")).alias("total")), "replies")
+        settled.append(state.filter("up is null"))
+        live = state.filter("up is not null")
+        before, left = left, live.count()
         if left == before:  # every round settles a level of each tree, so these only meet circles
             break
-    return state.filter("up is null").drop("up"), links
+    return reduce(DataFrame.unionByName, settled).drop("up"), links
 
 
 def chosen_leaves(messages: DataFrame, state: DataFrame, branches: int | None) -> DataFrame:
