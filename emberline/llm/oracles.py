@@ -130,7 +130,8 @@ WITH RECURSIVE {_CRC_TABLE},
   m AS (SELECT conv_id, d, s[1:d] AS p, len(s) AS n FROM r, unnest(range(len(s) + 1)) AS u(d)),
   v AS (SELECT d, p, min(conv_id) AS low, count(*) AS n_convs,
       sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
-      CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^ 	-]+')) END AS words
+      CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^ 	-
+]+')) END AS words
     FROM m GROUP BY d, p),
   node AS (SELECT v.*, low AS id FROM v),
   up AS (SELECT m.conv_id, m.d, node.low FROM m JOIN node ON m.d = node.d AND m.p = node.p),
@@ -144,6 +145,28 @@ FROM node JOIN below ON below.d = node.d AND below.low = node.low
 LEFT JOIN child ON child.d = node.d AND child.low = node.low
 LEFT JOIN up u ON u.conv_id = node.low AND u.d = node.d - 1"""
 
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+  x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+  y AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM x
+    WHERE length(run) >= 7 GROUP BY ALL),
+  z AS (SELECT run, n, {_crc32("""list_concat([unicode(c)::UBIGINT FOR c IN string_split(coalesce(doc_id::VARCHAR, '') || ':', '')], flatten([
+      CASE WHEN unicode(c) < 128 THEN [unicode(c)::UBIGINT] ELSE [195::UBIGINT, (unicode(c) - 64)::UBIGINT] END
+      FOR c IN string_split(run, '')]))""")} AS h FROM y, crc),
+  w AS (SELECT CASE WHEN h % 31 = 0 THEN run[:CAST(h % length(run) AS BIGINT)] || run[CAST(h % length(run) AS BIGINT) + 2:]
+      ELSE run END AS word, n FROM z),
+  v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+  e AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS cut FROM v, unnest(range(1, length(word) + 1)) AS u(i)),
+  p AS (SELECT word, cut AS near FROM e SEMI JOIN v ON v.word = e.cut
+    UNION SELECT cut, word FROM e SEMI JOIN v ON v.word = e.cut
+    UNION SELECT a.word, b.word FROM e a JOIN e b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word),
+  q AS (SELECT p.word, count(*) AS n_near, max(v.n) AS m, arg_min(near, (-v.n, near)) AS near FROM p JOIN v ON v.word = near GROUP BY 1),
+  f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN near END AS form,
+    CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN q ON q.word = v.word),
+  r(word, root) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word
+  JOIN f g ON g.word = r.root WHERE g.form IS NULL"""
+
 OP13 = r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

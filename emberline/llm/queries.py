@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat, covertree, egojoin, language, minhash, nbest, oracles, packing, personal, quality, repair, secrets, trie
+from emberline.llm import chat, covertree, egojoin, language, minhash, nbest, oracles, packing, personal, quality, repair, secrets, spelling, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +88,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_spelling_variants", oracles.OP12)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query("op13_reply_trees", oracles.OP13)
 def op13_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(table(spark, sf_dir, "conversations"))
