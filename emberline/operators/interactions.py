@@ -2,7 +2,7 @@
 
 The post keys of the four pairings become rows (pairing, item), so one join serves all.
 Neither the join nor the counts emit the pairs of a popular item: both sides are counted
-per item first, and a pair count is a product.
+per item first, a pair count is a product, and distinct authors are unions of bitmaps.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ KIND_PREFIX = {"RC": "t1_", "RS": "t3_"}
 
 _ITEM = ["pairing", "item"]
 _KEY = ["pairing", "author", "week_idx"]
+# Words of 64 authors in a row of a bitmap, and the authors up to which a union is a list.
+_WORDS = [f"_w{i}" for i in range(16)]
+BLOCK = 64 * len(_WORDS)
+SPARSE = 64
 
 
 def _full_id() -> Column:
@@ -87,38 +91,63 @@ def interaction_semi_prefilter(window: DataFrame, active: DataFrame, pairing: st
     return rows.join(keys, "item", "left_semi").drop("item")
 
 
+def _numbered(items: DataFrame) -> DataFrame:
+    """(pairing, item, num) with a number for each active author, the most active ones first.
+
+    Numbers of a partition are consecutive, so authors of similar activity share blocks.
+    """
+    busy = items.groupBy("author_active").agg(F.count("*").alias("_m"))
+    numbers = busy.repartitionByRange(F.desc("_m"), "author_active").sortWithinPartitions(F.desc("_m"), "author_active")
+    numbers = store(numbers.select("author_active", F.monotonically_increasing_id().alias("num")), "author-numbers")
+    return items.select(*_ITEM, "author_active").join(numbers, "author_active").select(*_ITEM, "num")
+
+
+def _blocks(numbered: DataFrame) -> DataFrame:
+    """The author set of each item as bitmaps: one row of words per block that it touches."""
+    rows = numbered.select(
+        *_ITEM, F.expr(f"num div {BLOCK}").alias("block"), F.expr(f"num % {BLOCK} div 64").alias("_word"),
+        F.expr("shiftleft(1L, cast(num % 64 AS int))").alias("_bit"))
+    return rows.groupBy(*_ITEM, "block").agg(*[
+        F.coalesce(F.bit_or(F.when(F.col("_word") == lane, F.col("_bit"))), F.lit(0).cast("long")).alias(word)
+        for lane, word in enumerate(_WORDS)])
+
+
 def interaction_counts(met: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs and distinct active authors per (pairing, author, week).
 
     ``n_pairs`` counts joined pairs of posts, not distinct posts; it is a sum of products.
-    ``n_active_authors`` counts the distinct other active authors over all items of a key.  It
-    is the sum over items where no active author comes twice, so only repeats are looked at:
-
-    * a key with one item has its answer in the join;
-    * of the others, an active author can come twice only if they have several items of the
-      pairing, so the join is repeated with these authors alone and counts how often each
-      meets the key beyond the first time.
-
-    The pairs that this second join makes are grouped by (key, active author) with a map-side
-    combine, and AQE splits a popular item; no row holds more than a few columns.
+    ``n_active_authors`` is the size of the union of the author sets of a key's items, less the
+    author if they are in it.  No pair of a key and an active author of a popular item is listed:
+
+    * a key with one item has its answer in the join, and keys that met the same items (equal
+      digests of 128 bits) share one union;
+    * a union whose items have at most SPARSE authors together lists their numbers;
+    * any other one joins bitmaps of BLOCK authors, which are combined by ``bit_or`` before and
+      after the shuffle, and counts the bits.
     """
-    per_key = met.groupBy(*_KEY).agg(
-        F.count("*").alias("_k"), F.sum("active_authors").alias("_sum"),
-        F.sum(F.col("n") * F.col("active_posts")).alias("n_pairs"))
-    keys = store(per_key, "interaction-keys")
-    several = keys.filter("_k > 1").select(*_KEY)
-    busy = items.groupBy("pairing", "author_active").agg(F.count("*").alias("_m")).filter("_m > 1")
-    repeated = items.join(busy.select("pairing", "author_active"), ["pairing", "author_active"], "left_semi")
-    pairs = (
-        met.select(*_KEY, "item")
-        .join(several, _KEY, "left_semi")
-        .join(repeated.select(*_ITEM, "author_active"), _ITEM)
-        .filter(F.col("author") != F.col("author_active"))
-    )
-    again = pairs.groupBy(*_KEY, "author_active").agg((F.count("*") - 1).alias("_again")).filter("_again > 0")
-    surplus = again.groupBy(*_KEY).agg(F.sum("_again").alias("_again"))
-    return keys.join(surplus, _KEY, "left").select(
-        *_KEY, "n_pairs", (F.col("_sum") - F.coalesce("_again", F.lit(0))).alias("n_active_authors"))
+    digest = [F.bit_xor(F.xxhash64(F.lit(salt), "item")).alias(f"_d{salt}") for salt in (0, 1)]
+    total = F.col("active_authors") + F.col("is_active").cast("long")
+    keys = store(met.groupBy(*_KEY).agg(
+        F.count("*").alias("_k"), F.max("active_authors").alias("_one"), F.sum(total).alias("_total"),
+        F.max("is_active").alias("_self"), F.sum(F.col("n") * F.col("active_posts")).alias("n_pairs"), *digest),
+        "interaction-keys")
+    same = ["pairing", "_k", "_d0", "_d1"]
+    sets = store(keys.filter("_k > 1").groupBy(*same).agg(
+        F.min(F.struct("author", "week_idx")).alias("_key"), F.min("_total").alias("_total")).withColumn(
+        "set", F.monotonically_increasing_id()), "interaction-sets")
+    members = store(met.select(*_KEY, "item").join(
+        sets.select("set", "_total", "pairing", "_key.author", "_key.week_idx"), _KEY).select("set", "_total", *_ITEM),
+        "interaction-items")
+    numbered = store(_numbered(items), "interaction-authors")
+    few = members.filter(F.col("_total") <= SPARSE).join(numbered, _ITEM).groupBy("set").agg(
+        F.size(F.collect_set("num")).cast("long").alias("_n"))
+    many = members.filter(F.col("_total") > SPARSE).join(_blocks(numbered), _ITEM).groupBy("set", "block").agg(
+        *[F.bit_or(w).alias(w) for w in _WORDS])
+    bits = sum((F.bit_count(w) for w in _WORDS[1:]), F.bit_count(_WORDS[0]))
+    sizes = few.unionByName(many.groupBy("set").agg(F.sum(bits).cast("long").alias("_n")))
+    unions = sets.select("set", *same).join(sizes, "set").select(*same, "_n")
+    return keys.join(unions, same, "left").select(*_KEY, "n_pairs", F.coalesce(
+        F.col("_n") - F.col("_self").cast("long"), F.col("_one")).alias("n_active_authors"))
 
 
 def interaction_features(counts: DataFrame, pairings: Sequence[str] = tuple(PAIRINGS)) -> DataFrame:

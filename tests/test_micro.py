@@ -277,6 +277,61 @@ def test_thread_of_many_active_authors(spark):
     assert got[("sibling", "u")] == (10_000, 10_000) and got[("sibling", "a5")] == (5_000, 5_000)
 
 
+def test_popular_item_on_both_sides_lists_no_pairs(spark):
+    """10,000 active authors and 10,000 keys of one item (1e8 pairs); each key has an item of its own besides."""
+    n = 10_000
+    items = spark.range(n).select(F.lit("thread").alias("pairing"), F.lit("hot").alias("item"),
+                                  F.concat(F.lit("a"), "id").alias("author_active"), F.lit(1).cast("long").alias("c"))
+    items = items.unionByName(spark.range(n).select(
+        F.lit("thread").alias("pairing"), F.concat(F.lit("i"), "id").alias("item"),
+        F.concat(F.lit("b"), F.col("id") % 7).alias("author_active"), F.lit(1).cast("long").alias("c")))
+    met = spark.range(n).select(
+        F.concat(F.lit("a"), "id").alias("author"), F.explode(F.array(F.lit("hot"), F.concat(F.lit("i"), "id"))).alias("item"))
+    own = F.col("item") == "hot"
+    met = met.select(
+        F.lit("thread").alias("pairing"), "author", F.lit(1).alias("week_idx"), "item", F.lit(1).cast("long").alias("n"),
+        F.when(own, n - 1).otherwise(1).cast("long").alias("active_posts"),
+        F.when(own, n - 1).otherwise(1).cast("long").alias("active_authors"), own.alias("is_active"))
+    counts = inter.interaction_counts(met, items)
+    assert counts.groupBy("n_pairs", "n_active_authors").count().collect() == [(n, n, n)]
+    assert n < largest_output(counts) < 1_000_000
+
+
+def largest_output(df):
+    """Most rows that a node of the executed plan has put out."""
+    df.collect()
+    rows = [0]
+
+    def walk(node):
+        node = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+        node = node.plan() if node.nodeName().endswith("QueryStage") else node
+        metric = node.metrics().get("numOutputRows")
+        rows.append(metric.get().value() if metric.isDefined() else 0)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(rows)
+
+
+@pytest.mark.parametrize("sparse", [0, 3, 64])
+def test_unions_by_lists_and_by_bitmaps(spark, monkeypatch, sparse):
+    monkeypatch.setattr(inter, "SPARSE", sparse)
+    rng = random.Random(sparse)
+    of = {f"i{k}": rng.sample(range(3000), rng.choice([1, 2, 5, 900])) for k in range(30)}
+    items = spark.createDataFrame([("thread", i, f"a{x:04}", 1) for i, xs in of.items() for x in xs],
+                                  "pairing string, item string, author_active string, c long")
+    keys = {(f"a{x:04}", w): rng.sample(sorted(of), rng.choice([1, 2, 4])) for x in range(60) for w in (1, 2)}
+    keys |= {(f"z{x}", 1): ["i1", "i2", "i3"] for x in range(20)}  # equal sets of items
+    rows = [("thread", a, w, i, 2, len(of[i]) - (int(a[1:]) in of[i]), len(of[i]) - (int(a[1:]) in of[i]), int(a[1:]) in of[i])
+            if a[0] == "a" else ("thread", a, w, i, 2, len(of[i]), len(of[i]), False) for (a, w), its in keys.items() for i in its]
+    met = spark.createDataFrame([r for r in rows if r[6] > 0], "pairing string, author string, week_idx int, item string, "
+                                "n long, active_posts long, active_authors long, is_active boolean")
+    got = {(r.author, r.week_idx): r.n_active_authors for r in inter.interaction_counts(met, items).collect()}
+    want = {k: len({x for i in its for x in of[i]} - ({int(k[0][1:])} if k[0][0] == "a" else set())) for k, its in keys.items()}
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_interaction_is_of_the_class_and_outside_its_communities(spark):
     h = spark.createDataFrame(
         [("a", "own", "x"), ("a", "else", "x"), ("a", "else", "y")], "author string, subreddit string, subreddit_class string")
