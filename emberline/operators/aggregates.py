@@ -11,6 +11,7 @@ from emberline.functions.frames import unpivot_features
 from emberline.functions.numeric import pearson
 from emberline.functions.text import extract_regions, theme_flags
 from emberline.functions.time import month_label, sunday_on_or_after
+from emberline.operators.matrices import correlations
 from emberline.operators.ordering import exact_quantiles, quantiles_wide
 from emberline.operators.windows import zscore
 from emberline.schemas import NEWS_CLASSES
@@ -333,19 +334,10 @@ def corr_with_label(df: DataFrame, label: str, columns: Sequence[str]) -> DataFr
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, long form, in one pass.
-
-    Pairs become rows that are combined before the shuffle, so the plan has the same size for any
-    number of columns and the shuffle has one row per pair and task.
-    """
-    values = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    pairs = values.select("v", F.posexplode("v").alias("i", "x")).select(
-        "i", "x", F.posexplode("v").alias("j", "y")).filter("i <= j")
-    half = pairs.groupBy("i", "j").agg(pearson(F.col("x"), F.col("y")).alias("corr"))
+    """Pearson correlation of every pair of columns, long form: products of tiles of columns."""
     names = F.array(*[F.lit(c) for c in columns])
-    named = half.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "corr")
-    mirrored = named.filter(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    return named.unionByName(mirrored)
+    return correlations(df, columns).select(
+        F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "corr")
 
 
 def quality_ratios(df: DataFrame, flags: Sequence[str], entities: Sequence[str]) -> DataFrame:
