@@ -81,11 +81,11 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     either column is constant over these rows.
     """
     values = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    head = values.first()
-    if head is None:
+    head = matrix(values.limit(100).toArrow().column("v").combine_chunks())
+    if not len(head):
         return df.sparkSession.range(0).selectExpr("0 AS i", "0 AS j", "cast(null AS double) AS corr")
-    # sums of differences to some row are not blurred by what all rows share
-    origin = np.array([0.0 if x is None or not np.isfinite(x) else x for x in head[0]])
+    # sums of differences to some value of a column are not blurred by what all rows share
+    origin = np.nan_to_num(head[np.isfinite(head).argmax(0), np.arange(head.shape[1])], posinf=0, neginf=0)
     width, tiles = len(columns), -(-len(columns) // TILE)
     pairs = [(a, b) for a in range(tiles) for b in range(a, tiles)]
     per_pass = max(1, TASK_BYTES // (6 * 8 * TILE * TILE))

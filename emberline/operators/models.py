@@ -21,9 +21,9 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.operators.evaluation import classification_metrics, information_criteria
-from emberline.operators.sampling import bootstrap_sample, train_test_split
-from emberline.session import store
+from emberline.operators.batchfit import Fit, fit_all, resampled, split_once
+from emberline.operators.evaluation import aic, bic
+from emberline.operators.sampling import train_test_split
 
 
 @dataclass
@@ -124,39 +124,36 @@ def group_pca_logistic(df: DataFrame, groups: Mapping[str, tuple[Sequence[str],
     return fit_group_pca_logistic(vectors, features, groups).table(df.sparkSession)
 
 
+def _fits(features: Sequence[str], groups: Mapping[str, tuple[Sequence[str], int]], name: str,
+          replicates: int) -> list[Fit]:
+    place = {f: i for i, f in enumerate(features)}
+    parts = tuple((tuple(place[c] for c in columns), k) for columns, k in groups.values())
+    return [Fit(name, b, parts) for b in range(replicates)]
+
+
+def _rates() -> list[Column]:
+    """Accuracy, precision, recall and the share of the larger class out of weighted counts."""
+    n, tp, tn, pp, ap = (F.col(c) for c in ("n", "tp", "tn", "pp", "ap"))
+    return [F.try_divide(tp + tn, n).alias("accuracy"), F.try_divide(tp, pp).alias("precision"),
+            F.try_divide(tp, ap).alias("recall"), F.try_divide(F.greatest(ap, n - ap), n).alias("random_baseline")]
+
+
 def repeated_bootstrap_fit(df: DataFrame, features: Sequence[str], label: str, key: str, k: int,
                            replicates: int, seed: int | str,
                            groups: Mapping[str, tuple[Sequence[str], int]] | None = None,
                            test: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Coefficients and test metrics of each resample.
+    """Coefficients and test metrics of each resample, fitted together in weighted passes over the rows.
 
-    The vectors are written once; a replicate draws weights, repeats rows by weight (the
-    components take no weights) and fits.  Returns (replicate, feature, coef) and (replicate, accuracy, precision, ...).
+    Returns (replicate, feature, coef) and (replicate, accuracy, precision, recall,
+    random_baseline); with ``test`` a quarter of the copies is held out.
     """
-    spark = df.sparkSession
-    groups = groups or {"all": (list(features), k)}
-    vectors = store(assemble(df, features, label, keep=[key]), "bootstrap-vectors")
-    coefs, metrics = [], []
-    for b in range(replicates):
-        drawn = bootstrap_sample(vectors, 1, f"{seed}-{b}", key).drop("replicate")
-        rows = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("weight"))))
-        rows = rows.withColumn("_row", F.concat_ws("#", F.col(key).cast("string"), F.col("_copy").cast("string")))
-        if test:
-            rows = train_test_split(rows, "_row", f"{seed}-split-{b}")
-            train, held = rows.filter("is_train"), rows.filter("not is_train")
-        else:
-            train, held = rows, None
-        model = fit_group_pca_logistic(train.select("label", "features"), features, groups)
-        coefs += [(b, f, c) for f, c in zip(model.features, model.coef)]
-        if held is not None:
-            m = classification_metrics(model.scored(held), "prediction", "label").first()
-            metrics.append((b, *[None if v is None else float(v) for v in m]))
-    return (
-        spark.createDataFrame(coefs, "replicate int, feature string, coef double"),
-        spark.createDataFrame(
-            metrics, "replicate int, accuracy double, precision double, recall double, random_baseline double"
-        ),
-    )
+    fits = _fits(features, groups or {"all": (list(features), k)}, "all", replicates)
+    rows = resampled(df, features, label, key, replicates, seed, 0.75 if test else None)
+    fitted = fit_all(rows, features, fits)
+    replicate = F.col("id").cast("int").alias("replicate")
+    metrics = fitted.scores().select(replicate, *_rates())
+    return (fitted.coefficients().select(replicate, "feature", "coef"),
+            metrics if test else metrics.limit(0))
 
 
 def select_group_columns(columns: Sequence[str], groups: Mapping[str, str], chosen: Sequence[str],
@@ -172,7 +169,8 @@ def feature_group_ablation(df: DataFrame, groups: Mapping[str, str], label: str,
                            without: Sequence[str] = ()) -> DataFrame:
     """Test metrics with only one group, without one group, per period, and with everything.
 
-    ``without`` names groups that a second series of period runs leaves out.
+    ``without`` names groups that a second series of period runs leaves out.  All trials see the
+    same resamples, and all fits of all trials share the passes over the rows.
     """
     columns = [c for c in df.columns if c not in (label, key)]
     names = list(groups)
@@ -184,15 +182,16 @@ def feature_group_ablation(df: DataFrame, groups: Mapping[str, str], label: str,
     if without:
         trials["reduced"] = (rest, None)
         trials.update({f"reduced_{p}": (rest, p) for p in periods})
-    out = None
+    fits: list[Fit] = []
     for name, (chosen, period) in trials.items():
         features = select_group_columns(columns, groups, chosen, period)
-        if not features:
-            continue
-        _, metrics = repeated_bootstrap_fit(df, features, label, key, k, replicates, f"{seed}-{name}")
-        tagged = metrics.withColumn("selected_features", F.lit(name))
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
+        if features:
+            fits += _fits(columns, {"all": (features, k)}, name, replicates)
+    rows = resampled(df, columns, label, key, replicates, seed, 0.75)
+    scores = fit_all(rows, columns, fits).scores()
+    trial = F.element_at(F.array(*[F.lit(f.name) for f in fits]), F.col("id").cast("int") + 1)
+    replicate = F.element_at(F.array(*[F.lit(f.replicate) for f in fits]), F.col("id").cast("int") + 1)
+    return scores.select(trial.alias("selected_features"), replicate.alias("replicate"), *_rates())
 
 
 def model_selection(df: DataFrame, features: Sequence[str], label: str, key: str, ks: Sequence[int],
@@ -201,19 +200,16 @@ def model_selection(df: DataFrame, features: Sequence[str], label: str, key: str
 
     ``with_intercept=False`` leaves the intercept out of the log-likelihood.
     """
-    vectors = store(assemble(df, features, label, keep=[key]), "selection-vectors")
-    split = train_test_split(vectors, key, seed)
-    train, held = split.filter("is_train"), split.filter("not is_train")
-    rows = []
-    for k in ks:
-        model = fit_pca_logistic(train.select("label", "features"), features, k)
-        eta: Column = F.col("eta") if with_intercept else F.col("eta") - model.intercept
-        fit = information_criteria(model.scored(train), F.col("label"), eta, k).first()
-        acc = classification_metrics(model.scored(held), "prediction", "label").first()["accuracy"]
-        rows.append((int(k), float(acc), fit["log_likelihood"], fit["aic"], fit["bic"]))
-    return df.sparkSession.createDataFrame(
-        rows, "k int, accuracy double, log_likelihood double, aic double, bic double"
-    )
+    split = train_test_split(df, key, seed)
+    rows = split_once(split, features, label, F.col("is_train"))
+    place = tuple(range(len(features)))
+    fitted = fit_all(rows, features, [Fit(str(k), 0, ((place, k),)) for k in ks])
+    k = F.element_at(F.array(*[F.lit(int(k)) for k in ks]), F.col("id").cast("int") + 1)
+    n, ll = F.col("n_train"), F.col("ll" if with_intercept else "ll_without")
+    scores = fitted.scores()
+    return scores.select(
+        k.alias("k"), *_rates()[:1], ll.alias("log_likelihood"), aic(n, ll, k.cast("double")).alias("aic"),
+        bic(n, ll, k.cast("double")).alias("bic"))
 
 
 def logit_inference(df: DataFrame, features: Sequence[str], label: str, alpha: float = 0.05) -> DataFrame:

@@ -117,14 +117,14 @@ def train_test_split(df: DataFrame, key: str, seed: int | str, train: float = 0.
 POISSON_TERMS = 16
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count for a uniform number.
+def poisson_weight(u: Column, mean: float = 1.0) -> Column:
+    """Poisson count (``mean`` at most 1) for a uniform number.
 
     Counts end at 15: a greater one has probability below 1e-13.
     """
     cdf, total = [], 0.0
     for k in range(POISSON_TERMS):
-        total += math.exp(-1) / math.factorial(k)
+        total += math.exp(-mean) * mean**k / math.factorial(k)
         cdf.append(total)
     steps = [F.when(u >= c, 1).otherwise(0) for c in cdf]
     return sum(steps[1:], steps[0]).cast("long")

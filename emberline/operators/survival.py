@@ -1,7 +1,10 @@
 """Cox proportional hazards with Efron's ties.
 
-Each Newton step is one grouping by duration; durations are whole days, so the grouped sums
-are a small table whose running totals from the longest duration on are the risk sets.
+Each Newton step groups the rows by duration and sums up risk sets from the longest duration on.
+Durations are cut into buckets along approximate quantiles, so the running totals are a window per
+bucket on top of one offset a bucket, and any number of distinct durations will do.  Efron's sums
+over the deaths of a duration are differences of the digamma, trigamma and log-gamma functions, so
+a duration costs the same with one death or a million.  One row of sums per step reaches the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from emberline.operators.models import assemble, population_factor, standardiser
 from emberline.operators.ordering import running_totals
 from emberline.session import store
 
-_CHUNK = 1_000_000
+#: Buckets of durations, and terms of Efron's sums that are added one by one before the series is exact.
+BUCKETS, DIRECT = 128, 8
 
 
 @dataclass
@@ -45,60 +49,93 @@ def _eta(xs: Sequence[str], beta: np.ndarray, shift: float) -> Column:
     return sum(terms[1:], terms[0]) - F.lit(shift)
 
 
-def _grouped_sums(df: DataFrame, duration: str, event: str, xs: Sequence[str],
-                  beta: np.ndarray, shift: float) -> list:
-    """Per duration: sums of risk, risk*x and risk*x*x', over all rows and over events."""
-    d = len(xs)
+def _series(x0: Column, r: Column) -> tuple[Column, Column, Column]:
+    """Sums of log x, 1 / x and 1 / x^2 over x = x0, x0 + 1, ... (``r`` terms, x0 above DIRECT).
+
+    Differences of Stirling's series and its derivatives, written so that nothing large cancels.
+    """
+    x1, grow = x0 + r, F.log1p(r / x0)
+
+    def fall(power: int) -> Column:
+        return F.pow(x1, F.lit(-power)) - F.pow(x0, F.lit(-power))
+
+    logs = r * F.log(x0) + (x1 - 0.5) * grow - r + fall(1) / 12 - fall(3) / 360 + fall(5) / 1260 - fall(7) / 1680
+    inverse = grow - fall(1) / 2 - fall(2) / 12 + fall(4) / 120 - fall(6) / 252 + fall(8) / 240 - fall(10) / 132
+    squares = r / (x0 * x1) - fall(2) / 2 - fall(3) / 6 + fall(5) / 30 - fall(7) / 42 + fall(9) / 30 - fall(11) * 5 / 66
+    return logs, inverse, squares
+
+
+def efron_sums(s0: Column, e0: Column, deaths: Column) -> tuple[Column, Column, Column]:
+    """Sums over l < deaths of log, inverse and inverse square of s0 - l / deaths * e0.
+
+    The terms are e0 / deaths times b + 1, ..., b + deaths with b = deaths * s0 / e0 - deaths.
+    """
+    unit = e0 / deaths
+    b = F.greatest(deaths * (s0 - e0) / e0, F.lit(0.0))
+    zero = F.lit(0.0)
+    direct = [[F.when(deaths >= i, f(b + i)).otherwise(zero) for i in range(1, DIRECT + 1)]
+              for f in (F.log, lambda x: 1 / x, lambda x: 1 / (x * x))]
+    first = [sum(terms[1:], terms[0]) for terms in direct]
+    rest = _series(b + DIRECT + 1, (deaths - DIRECT).cast("double"))
+    logs, inverse, squares = (a + F.when(deaths > DIRECT, c).otherwise(zero) for a, c in zip(first, rest))
+    return deaths * F.log(unit) + logs, inverse / unit, squares / (unit * unit)
+
+
+def _upper(d: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(d) for j in range(i, d)]
+
+
+def _risk_sets(rows: DataFrame, duration: str, event: str, xs: Sequence[str], beta: np.ndarray, shift: float) -> DataFrame:
+    """Per duration with deaths: d, sums over the deaths (e*) and over the risk set (s*) of risk, risk*x and risk*x*x'."""
     w, e = F.col("_w"), F.col(event)
-    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    upper = _upper(len(xs))
     moments = [w, *[w * F.col(x) for x in xs], *[w * F.col(xs[i]) * F.col(xs[j]) for i, j in upper]]
-    rows = df.withColumn("_w", F.exp(_eta(xs, beta, shift)))
-    every = [F.sum(m).alias(f"a{i}") for i, m in enumerate(moments)]
-    died = [F.coalesce(F.sum(F.when(e, m)), F.lit(0.0)).alias(f"e{i}") for i, m in enumerate(moments)]
-    seen = [F.coalesce(F.sum(F.when(e, F.col(x))), F.lit(0.0)).alias(f"x{i}") for i, x in enumerate(xs)]
-    grouped = rows.groupBy(duration).agg(F.count_if(e).alias("d"), *every, *died, *seen)
-    return grouped.collect()
-
-
-def _unpack(values: Sequence[float], d: int) -> tuple[float, np.ndarray, np.ndarray]:
-    s2 = np.zeros((d, d))
-    s2[np.triu_indices(d)] = values[1 + d:]
-    return values[0], np.array(values[1:1 + d]), s2 + np.triu(s2, 1).T
-
-
-def _efron_sums(s0: float, e0: float, deaths: int) -> tuple[float, float, float]:
-    """Sums over l < deaths of log, inverse and inverse square of s0 - l/deaths * e0."""
-    logs = inv = inv2 = 0.0
-    for lo in range(0, deaths, _CHUNK):
-        left = s0 - np.arange(lo, min(lo + _CHUNK, deaths)) / deaths * e0
-        logs += np.log(left).sum()
-        inv += (1 / left).sum()
-        inv2 += (1 / left**2).sum()
-    return logs, inv, inv2
-
-
-def _likelihood(rows: list, duration: str, beta: np.ndarray, shift: float):
-    """Log partial likelihood, gradient and information at ``beta``."""
-    d, m = len(beta), 1 + len(beta) + len(beta) * (len(beta) + 1) // 2
-    s0, s1, s2 = 0.0, np.zeros(d), np.zeros((d, d))
-    ll, grad, info = 0.0, np.zeros(d), np.zeros((d, d))
-    for r in sorted(rows, key=lambda r: -r[duration]):
-        a0, a1, a2 = _unpack([r[f"a{i}"] for i in range(m)], d)
-        s0, s1, s2 = s0 + a0, s1 + a1, s2 + a2
-        deaths = r["d"]
-        if not deaths:
-            continue
-        e0, e1, e2 = _unpack([r[f"e{i}"] for i in range(m)], d)
-        x = np.array([r[f"x{i}"] for i in range(d)])
-        logs, inv, inv2 = _efron_sums(s0, e0, deaths)
-        # (s - f e) / (s0 - f e0) is linear in 1 / (s0 - f e0) for each moment
-        c1, c2 = e1 / e0, e2 / e0
-        r1, r2 = s1 - c1 * s0, s2 - c2 * s0
-        ll += float(x @ beta) - deaths * shift - logs
-        grad += x - (deaths * c1 + r1 * inv)
-        info += deaths * c2 + r2 * inv
-        info -= deaths * np.outer(c1, c1) + inv * (np.outer(c1, r1) + np.outer(r1, c1)) + inv2 * np.outer(r1, r1)
-    return ll, grad, info
+    rows = rows.withColumn("_w", F.exp(_eta(xs, beta, shift)))
+    m = range(len(moments))
+    grouped = rows.groupBy("_bucket", duration).agg(
+        F.count_if(e).alias("d"), *[F.sum(x).alias(f"a{i}") for i, x in enumerate(moments)],
+        *[F.coalesce(F.sum(F.when(e, x)), F.lit(0.0)).alias(f"e{i}") for i, x in enumerate(moments)],
+        *[F.coalesce(F.sum(F.when(e, F.col(x))), F.lit(0.0)).alias(f"x{i}") for i, x in enumerate(xs)])
+    # at most BUCKETS rows
+    later = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = grouped.groupBy("_bucket").agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in m]).select(
+        "_bucket", *[F.coalesce(F.sum(f"a{i}").over(later), F.lit(0.0)).alias(f"o{i}") for i in m])
+    inside = Window.partitionBy("_bucket").orderBy(F.desc(duration)).rowsBetween(Window.unboundedPreceding, 0)
+    totals = grouped.select("*", *[F.sum(f"a{i}").over(inside).alias(f"t{i}") for i in m]).filter("d > 0")
+    return totals.join(offsets, "_bucket").select(
+        "d", *[f"e{i}" for i in m], *[f"x{i}" for i in range(len(xs))],
+        *[(F.col(f"o{i}") + F.col(f"t{i}")).alias(f"s{i}") for i in m])
+
+
+def _likelihood(sets: DataFrame, beta: np.ndarray, shift: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log partial likelihood, gradient and information at ``beta``, in one row."""
+    k, upper = len(beta), _upper(len(beta))
+    logs, inv, inv2 = efron_sums(F.col("s0"), F.col("e0"), F.col("d"))
+    # (s - f e) / (s0 - f e0) is linear in 1 / (s0 - f e0) for each moment
+    split = {}
+    for i in range(1, 1 + k + len(upper)):
+        split[f"c{i}"] = F.col(f"e{i}") / F.col("e0")
+        split[f"r{i}"] = F.col(f"s{i}") - F.col(f"e{i}") / F.col("e0") * F.col("s0")
+    sets = sets.withColumns({"_logs": logs, "_inv": inv, "_inv2": inv2, **split})
+    d, inv, inv2 = F.col("d"), F.col("_inv"), F.col("_inv2")
+    c = [F.col(f"c{i}") for i in range(1, 1 + k + len(upper))]
+    r = [F.col(f"r{i}") for i in range(1, 1 + k + len(upper))]
+    dot = sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
+    sums = [dot - d * shift - F.col("_logs"), *[F.col(f"x{i}") - (d * c[i] + r[i] * inv) for i in range(k)]]
+    for n, (i, j) in enumerate(upper, k):
+        sums.append(d * (c[n] - c[i] * c[j]) + inv * (r[n] - c[i] * r[j] - r[i] * c[j]) - inv2 * r[i] * r[j])
+    row = sets.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"_{i}") for i, x in enumerate(sums)]).first()
+    info = np.zeros((k, k))
+    for n, (i, j) in enumerate(upper, 1 + k):
+        info[i, j] = info[j, i] = row[n]
+    return row[0], np.array(row[1:1 + k]), info
+
+
+def _bucketed(df: DataFrame, duration: str, buckets: int) -> DataFrame:
+    """The rows with ``_bucket``; the cuts only balance the work."""
+    cuts = df.agg(F.percentile_approx(duration, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
+    points = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    return df.withColumn("_bucket", F.size(F.filter(points, lambda c: c < F.col(duration))) if cuts else F.lit(0))
 
 
 def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], max_iter: int = 25,
@@ -106,7 +143,8 @@ def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], max_ite
     """Newton steps, halved while the likelihood falls."""
     xs = list(xs)
     # each step reads the rows again: write them once, without what the fit doesn't need
-    df = store(df.select(duration, event, *xs), "cox")
+    df = store(df.select(duration, event, *xs), "cox-rows")
+    df = store(_bucketed(df, duration, BUCKETS), "cox")
     means = df.agg(*[F.avg(x) for x in xs]).first()
     centre = np.array([float(v) for v in means])
     beta, step = np.zeros(len(xs)), np.zeros(len(xs))
@@ -115,8 +153,7 @@ def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], max_ite
     for it in range(max_iter):
         trial = beta + step
         shift = float(trial @ centre)
-        rows = _grouped_sums(df, duration, event, xs, trial, shift)
-        ll, grad, now = _likelihood(rows, duration, trial, shift)
+        ll, grad, now = _likelihood(_risk_sets(df, duration, event, xs, trial, shift), trial, shift)
         if not math.isfinite(ll) or ll < best - 1e-9 * abs(best):
             step = step / 2
             continue

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import numeric, text, time
 from emberline.operators import aggregates as agg
+from emberline.operators import batchfit, matrices, models
 from emberline.operators import evaluation as ev
 from emberline.operators import interactions as inter
 from emberline.operators import joins as jn
@@ -381,6 +383,101 @@ def test_weekly_activity_against_python(spark):
         assert r.avg_comments_per_thread == (len(parents) / len(set(parents)) if parents else None)
 
 
+def _ridge_brute(x, y, w, k):
+    """Coefficients of the z-scores: penalised Newton steps on the first components of weighted moments."""
+    n = w.sum()
+    mean = w @ x / n
+    z = (x - mean) / np.sqrt(w @ (x - mean) ** 2 / n)
+    values, found = np.linalg.eigh((z * w[:, None]).T @ z / n)
+    load = found[:, np.argsort(-values)[:k]]
+    a, theta = np.hstack([np.ones((len(x), 1)), z @ load]), np.zeros(k + 1)
+    keep = np.diag([0.0] + [1.0] * k)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-a @ theta))
+        theta = theta + np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + keep, a.T @ (w * (y - p)) - keep @ theta)
+    return load @ theta[1:], theta[0], (a @ theta)
+
+
+@pytest.fixture(scope="module")
+def fit_rows(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 6)) * [1, 5, 0.1, 1, 2, 1] + [0, 100, -3, 0, 1, 1000]
+    x[:, 3] = x[:, 0] + 0.3 * x[:, 3]
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] - x[:, 4])))).astype(int)
+    return spark.createDataFrame([(i, bool(b), *map(float, r)) for i, (b, r) in enumerate(zip(y, x))],
+                                 "id long, hit boolean, " + ", ".join(f"f{i} double" for i in range(6))), x, y
+
+
+def test_resampled_fits_equal_weighted_newton_steps(spark, fit_rows):
+    df, x, y = fit_rows
+    features = [f"f{i}" for i in range(6)]
+    coefs, metrics = models.repeated_bootstrap_fit(df, features, "hit", "id", 3, 7, "s")
+    got = {(r.replicate, r.feature): r.coef for r in coefs.collect()}
+    rows = batchfit.resampled(df, features, "hit", "id", 7, "s", 0.75).collect()
+    runs = {r.replicate: r for r in metrics.collect()}
+    xs, ys = np.array([r.x for r in rows]), np.array([r.label for r in rows])
+    assert abs(np.mean([r.train for r in rows]) - 0.75) < 0.1 and abs(np.mean([r.test for r in rows]) - 0.25) < 0.1
+    for b in range(7):
+        w, v = np.array([r.train[b] for r in rows], float), np.array([r.test[b] for r in rows], float)
+        want, _, eta = _ridge_brute(xs, ys, w, 3)
+        assert np.allclose([got[b, f] for f in features], want, atol=1e-6)
+        assert abs(runs[b].accuracy - v @ ((eta > 0) == ys) / v.sum()) < 1e-12
+
+
+def test_jobs_do_not_grow_with_replicates(spark, fit_rows):
+    df, counts = fit_rows[0], []
+    for b in (2, 60):
+        spark.sparkContext.setJobGroup(f"fits-{b}", "")
+        models.repeated_bootstrap_fit(df, ["f0", "f1"], "hit", "id", 2, b, "s", test=False)[0].collect()
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fits-{b}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert counts[1] <= counts[0] + 12, counts  # a few more Newton steps for the slowest of the fits
+
+
+def test_fits_of_odd_tables(spark):
+    schema = "id long, hit boolean, a double, b double"
+    still = spark.createDataFrame([(i, i % 2 == 0, 5.0, float(i)) for i in range(20)], schema)
+    got = {r.feature: r.coef for r in models.repeated_bootstrap_fit(still, ["a", "b"], "hit", "id", 2, 1, 1, test=False)[0].collect()}
+    assert got["a"] == 0 and abs(got["b"]) < 5
+    one = spark.createDataFrame([(i, True, 1.0 * i, float(i % 3)) for i in range(20)], schema)
+    assert models.repeated_bootstrap_fit(one, ["a", "b"], "hit", "id", 2, 2, 1, test=False)[0].count() == 4
+
+
+def test_correlations_in_tiles_with_gaps(spark, monkeypatch):
+    monkeypatch.setattr(matrices, "TILE", 3)
+    monkeypatch.setattr(matrices, "TASK_BYTES", 1000)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8)) + 1e6
+    x[:, 5] = 7.25
+    gaps = rng.random(x.shape) < 0.2
+    rows = [tuple(None if g else float(v) for v, g in zip(r, gs)) for r, gs in zip(x, gaps)]
+    names = [f"c{i}" for i in range(8)]
+    got = {(r.a, r.b): r["corr"] for r in agg.corr_matrix(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)), names).collect()}
+    assert len(got) == 64
+    for i, j in itertools.product(range(8), range(8)):
+        both = ~gaps[:, i] & ~gaps[:, j]
+        if 5 in (i, j):
+            assert got[names[i], names[j]] is None
+        else:
+            assert abs(got[names[i], names[j]] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-6
+
+
+def test_correlation_rows_do_not_grow_with_columns_squared(spark):
+    """A task gives one row per pair of tiles, whatever the rows and columns."""
+    df = spark.range(500).select(*[F.sin(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(100)])
+    plan = agg.corr_matrix(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_efron_sums_without_a_loop_over_deaths(spark):
+    cases = [(s0, share, d) for s0 in (1.0, 1e-3, 1e5) for share in (1.0, 0.999, 0.3, 1e-6) for d in (1, 2, 8, 9, 10, 500)]
+    df = spark.createDataFrame([(s0, s0 * share, d) for s0, share, d in cases], "s0 double, e0 double, d long")
+    for r in df.select("*", *srv.efron_sums(F.col("s0"), F.col("e0"), F.col("d"))).collect():
+        left = [r.s0 - l / r.d * r.e0 for l in range(r.d)]
+        want = [sum(math.log(v) for v in left), sum(1 / v for v in left), sum(1 / v**2 for v in left)]
+        assert np.allclose(r[3:], want, rtol=1e-9, atol=1e-9), (r, want)
+
+
 def _cox_brute(rows, beta):
     """Efron log partial likelihood."""
     ll = 0.0
