@@ -7,11 +7,14 @@ import math
 from pyspark.sql import functions as F
 
 from emberline.catalog.aggregates import flat_vectors
+from emberline.catalog.plans import long_posts
 from emberline.catalog.registry import CTES, query, r, rounded, u01
 from emberline.operators import models as mdl
+from emberline.operators import sparse
 from emberline.operators import survival as srv
 from emberline.operators.evaluation import bootstrap_ci, metric_summary
 from emberline.operators.topk import topk_per_group
+from emberline.plans.features import vocabulary
 from emberline.sources import views as v
 
 _DIM = 64
@@ -30,6 +33,19 @@ def _(spark, d):
     return mdl.group_pca_logistic(flat_vectors(spark, d, _DIM), _GROUPS, "activation")
 
 
+@query("pca_logistic_sparse")
+def _(spark, d):
+    """Activation of weak authors on the communities they wrote in, of all in the vocabulary of the first 1000."""
+    posts = long_posts(spark, d)
+    vocab = vocabulary(posts)
+    lists = posts.join(vocab, "subreddit").groupBy("author").agg(F.sort_array(F.collect_set("community")).alias("communities"))
+    rows = v.authors_long(spark, d).join(lists, "author", "left").withColumn(
+        "communities", F.coalesce("communities", F.array().cast("array<int>")))
+    names = vocab.select(F.col("community").alias("place"), F.col("subreddit").alias("feature"))
+    fit = sparse.pca_logistic_sparse(sparse.listed_flags(rows, "communities"), vocab.count(), "active", 20)
+    return fit.join(names, "place").select("feature", "coef")
+
+
 @query("pca_loadings_topk")
 def _(spark, d):
     loadings = mdl.pca_loadings(flat_vectors(spark, d, _DIM), _ALL, 5)

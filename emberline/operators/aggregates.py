@@ -85,31 +85,47 @@ def dedup_author_merge(authors: DataFrame) -> DataFrame:
 
 # ---- weekly activity -----------------------------------------------------------------------
 
-def _weekly_measures() -> dict[str, Column]:
-    comment = F.col("kind") == "RC"
-    replies = F.count(F.when(comment, F.col("parent_id")))
-    threads = F.count_distinct(F.when(comment, F.col("parent_id")))
+def _weekly_measures(comment: Column) -> dict[str, tuple[Column, Column]]:
+    """Per measure: its part of a thread of the week, and the measure out of the parts."""
     # a week has seven days, so distinct days are bits of one integer, not a distinct count
     days = F.bit_or(F.when(comment, F.expr("shiftleft(1, weekday(day))")))
+    replies = F.sum("_replies")
     return {
-        "n_comments_author_week": F.count_if(comment),
-        "n_submissions_author_week": F.count_if(F.col("kind") == "RS"),
-        "n_active_days_author_week": F.coalesce(F.bit_count(days), F.lit(0)).cast("long"),
-        "avg_comments_per_thread": F.when(threads > 0, replies / threads),
-        "n_different_subreddits": F.count_distinct("subreddit"),
+        "n_comments_author_week": (F.count_if(comment).alias("_comments"), F.sum("_comments")),
+        "n_submissions_author_week": (F.count_if(F.col("kind") == "RS").alias("_submissions"), F.sum("_submissions")),
+        "n_active_days_author_week": (
+            days.alias("_days"), F.coalesce(F.bit_count(F.bit_or("_days")), F.lit(0)).cast("long")),
+        "avg_comments_per_thread": (
+            F.count(F.when(comment, F.col("parent_id"))).alias("_replies"),
+            F.when(F.count("_thread") > 0, replies / F.count("_thread"))),
     }
 
 
 def weekly_activity(posts: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
-    """Activity of an author in a week, all measures in one grouping.
+    """Activity of an author in a week, all measures in one row.
 
-    The mean over threads of comments per thread is comments with a parent over distinct
-    parents, so it needs no second grouping.  A distinct count shuffles on the counted
-    value as well, which spreads a prolific author.
+    Nothing is counted distinct: the posts are grouped by thread first and the threads by week, so a
+    week's threads are its groups that have one, and the mean over threads of comments per thread is
+    comments with a parent over threads.  Communities are grouped and counted the same way beside it.
+    Every step is combined before its shuffle, and the first one spreads a prolific author.
     """
-    table = _weekly_measures()
-    names = list(measures or table)
-    return posts.groupBy(*_KEY).agg(*[table[m].alias(m) for m in names])
+    comment = F.col("kind") == "RC"
+    table = _weekly_measures(comment)
+    names = list(measures or [*table, "n_different_subreddits"])
+    own = [m for m in names if m in table]
+    parts = []
+    if own:
+        by = [F.when(comment, F.col("parent_id")).alias("_thread")] if "avg_comments_per_thread" in own else []
+        threads = posts.groupBy(*_KEY, *by).agg(*[table[m][0] for m in own])
+        parts.append(threads.groupBy(*_KEY).agg(*[table[m][1].alias(m) for m in own]))
+    if "n_different_subreddits" in names:
+        communities = posts.groupBy(*_KEY, "subreddit").agg(F.lit(1).alias("_one"))
+        parts.append(communities.groupBy(*_KEY).agg(F.count("subreddit").alias("n_different_subreddits")))
+    if len(parts) == 1:
+        return parts[0]
+    a, b = parts[0], parts[1].select(*[F.col(c).alias(f"_{c}") for c in _KEY], "n_different_subreddits")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _KEY]
+    return a.join(b, same[0] & same[1]).select(*_KEY, *names)
 
 
 def weekly_counts(posts: DataFrame) -> DataFrame:

@@ -49,12 +49,65 @@ def stream_first_activation(posts: DataFrame) -> DataFrame:
     )
 
 
+#: Batches between two snapshots of an updated table.
+SNAPSHOT_EVERY = 16
+
+
+def _versions(spark: SparkSession, out: str, schema: T.StructType, upto: int | None = None) -> DataFrame:
+    """Rows of the last snapshot (not after ``upto``) and of the batches since, with their ``batch``.
+
+    A snapshot counts once its mark is written, so a half-written one is never read.
+    """
+    marks = spark.read.schema("one long, upto long").parquet(f"{out}/marks")
+    if upto is not None:
+        marks = marks.filter(F.col("upto") < upto)
+    last = marks.agg(F.max("upto")).first()[0]
+    batches = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(
+        f"{out}/batches").filter(F.col("batch") > last)
+    if upto is not None:
+        batches = batches.filter(F.col("batch") <= upto)
+    if last < 0:
+        return batches
+    snapshot = spark.read.schema(schema).parquet(f"{out}/snapshots/upto={last}")
+    return snapshot.withColumn("batch", F.lit(last).cast("long")).unionByName(batches)
+
+
+def updated_table(spark: SparkSession, out: str, schema: T.StructType, key: str, upto: int | None = None) -> DataFrame:
+    """The table as it stands: of each key the row of the last batch that touched it."""
+    rest = [f.name for f in schema.fields if f.name != key]
+    last = _versions(spark, out, schema, upto).groupBy(key).agg(F.max(F.struct("batch", *rest)).alias("_l"))
+    return last.select(*[F.col(c) if c == key else F.col(f"_l.{c}").alias(c) for c in schema.fieldNames()])
+
+
+def _mark(spark: SparkSession, out: str, upto: int) -> None:
+    spark.range(1).select(F.col("id").alias("one")).write.mode("overwrite").parquet(f"{out}/marks/upto={upto}")
+
+
+def open_table(spark: SparkSession, out: str, schema: T.StructType) -> None:
+    """Lays down the folders of an updated table; does no harm to one that is there."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batches/batch=-1")
+    _mark(spark, out, -1)
+
+
+def save_batch(batch: DataFrame, batch_id: int, out: str, key: str, every: int = SNAPSHOT_EVERY) -> None:
+    """Writes a batch under its number, and a snapshot after each ``every`` batches.
+
+    Batch, snapshot and mark are named by the number: a batch that comes again replaces itself and
+    its snapshot by equal ones.
+    """
+    batch.write.mode("overwrite").parquet(f"{out}/batches/batch={batch_id}")
+    if (batch_id + 1) % every == 0:
+        spark, schema = batch.sparkSession, batch.schema
+        updated_table(spark, out, schema, key, batch_id).write.mode("overwrite").parquet(f"{out}/snapshots/upto={batch_id}")
+        _mark(spark, out, batch_id)
+
+
 def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append",
-                 key: str = "author") -> DataFrame:
+                 key: str = "author", every: int = SNAPSHOT_EVERY) -> DataFrame:
     """Process what is there and return the table as it stands.
 
-    Append results go to Parquet files.  Update results are written per batch and the last
-    batch that touched a key wins.
+    Append results go to Parquet files.  Update results are written per batch and merged into a
+    snapshot every few batches; a read costs the last snapshot and the batches since.
     """
     spark = df.sparkSession
     schema = df.schema
@@ -62,14 +115,7 @@ def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append",
     if mode == "append":
         writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(schema).parquet(out)
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        # the folder is named by the batch, so a repeated batch replaces itself
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    writer.outputMode("update").foreachBatch(save).start().awaitTermination()
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(full).parquet(out)
-    rest = [c for c in df.columns if c != key]
-    last = rows.groupBy(key).agg(F.max(F.struct("batch", *rest)).alias("_l"))
-    return last.select(*[F.col(c) if c == key else F.col(f"_l.{c}").alias(c) for c in df.columns])
+    open_table(spark, out, schema)
+    writer.outputMode("update").foreachBatch(
+        lambda batch, batch_id: save_batch(batch, batch_id, out, key, every)).start().awaitTermination()
+    return updated_table(spark, out, schema, key)

@@ -15,7 +15,7 @@ from emberline.operators import batchfit, matrices, models
 from emberline.operators import evaluation as ev
 from emberline.operators import interactions as inter
 from emberline.operators import joins as jn
-from emberline.operators import ordering, sampling, windows
+from emberline.operators import ordering, sampling, sparse, windows
 from emberline.operators import survival as srv
 from emberline.schemas import PAIRINGS
 
@@ -469,6 +469,31 @@ def test_correlation_rows_do_not_grow_with_columns_squared(spark):
     assert "Generate" not in plan and "Expand" not in plan
 
 
+def test_sparse_components_equal_exact_ones(spark):
+    """800 sparse features: the components agree with the dense matrix's to 1e-6, and so does the fit."""
+    rng, d, k = np.random.default_rng(4), 800, 6
+    topics = [rng.choice(d, 60, replace=False) for _ in range(8)]
+    rows = []
+    for i in range(600):
+        own = np.unique(np.concatenate([rng.choice(topics[i % 8], 25 - 2 * (i % 8)), rng.choice(d, 10)]))
+        rows.append((i % 8 < 3, [int(x) for x in own if x != 7], [float(x) for x in rng.choice([1.0, 2.0], len(own) - (7 in own))]))
+    rows += [(True, [], []), (False, [0], [1.0])]
+    df = spark.createDataFrame(rows, "hit boolean, idx array<int>, val array<double>").repartition(5)
+    x = np.zeros((len(rows), d))
+    for i, (_, idx, val) in enumerate(rows):
+        x[i, idx] = val
+    deviation = x.std(0)
+    z = (x - x.mean(0)) / np.where(deviation > 0, deviation, 1)
+    values, exact = np.linalg.eigh(z.T @ z / len(x))
+    found = sparse.components(df, d, k)
+    assert np.allclose(found.values, values[::-1][:k], rtol=1e-8)
+    assert np.allclose(np.abs((found.load * exact[:, ::-1][:, :k]).sum(0)), 1, atol=1e-9)
+    assert np.allclose(found.load @ found.load.T, exact[:, ::-1][:, :k] @ exact[:, ::-1][:, :k].T, atol=1e-6)
+    got = {r.place: r.coef for r in sparse.pca_logistic_sparse(df, d, "hit", k).collect()}
+    want, _, _ = _ridge_brute(np.delete(x, np.flatnonzero(deviation == 0), 1), np.array([float(r[0]) for r in rows]), np.ones(len(rows)), k)
+    assert np.allclose([got[i] for i in np.flatnonzero(deviation > 0)], want, atol=1e-5) and got[7] == 0
+
+
 def test_efron_sums_without_a_loop_over_deaths(spark):
     cases = [(s0, share, d) for s0 in (1.0, 1e-3, 1e5) for share in (1.0, 0.999, 0.3, 1e-6) for d in (1, 2, 8, 9, 10, 500)]
     df = spark.createDataFrame([(s0, s0 * share, d) for s0, share, d in cases], "s0 double, e0 double, d long")

@@ -37,6 +37,32 @@ def test_first_activation_over_batches(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
 
 
+def test_snapshots_bound_what_a_read_costs(spark, tmp_path):
+    batches = [_posts(30, dt.datetime(2024, 3, 20 - 2 * i), i) for i in range(7)]
+    for stream in _feed(spark, tmp_path, batches):
+        got = jobs.run_to_table(jobs.stream_first_activation(stream), str(tmp_path / "out"), str(tmp_path / "ck"), "update", every=3)
+    want = first_activation(spark.createDataFrame([p for b in batches for p in b], SCHEMA))
+    want = sorted(map(tuple, want.select(*got.columns).collect()))
+    assert sorted(map(tuple, got.collect())) == want
+    assert {f.split("/out/")[1].rsplit("/", 1)[0] for f in got.inputFiles() if "/snapshots/" in f} == {"snapshots/upto=5"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "(batch" in plan.split("PartitionFilters")[2] and "> 5)" in plan.split("PartitionFilters")[2][:120]
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    out, schema = str(tmp_path / "out"), "author string, day int"
+    batches = [spark.createDataFrame(rows, schema) for rows in ([("a", 9), ("b", 9)], [("a", 7)], [("c", 5)], [("b", 3)])]
+    jobs.open_table(spark, out, batches[0].schema)
+    for i in (0, 1, 1, 2, 3, 3):  # every second one ends in a snapshot
+        jobs.save_batch(batches[i], i, out, "author", every=2)
+    jobs.open_table(spark, out, batches[0].schema)
+    got = jobs.updated_table(spark, out, batches[0].schema, "author")
+    assert sorted(map(tuple, got.collect())) == [("a", 7), ("b", 3), ("c", 5)]
+    # a snapshot without its mark is not read
+    spark.createDataFrame([("x", 1)], schema).write.parquet(f"{out}/snapshots/upto=9")
+    assert jobs.updated_table(spark, out, batches[0].schema, "author").count() == 3
+
+
 def test_ingest_drops_copies_across_batches(spark, tmp_path):
     a = _posts(50, dt.datetime(2024, 3, 1), 3)
     for stream in _feed(spark, tmp_path, [a, a[:20] + _posts(10, dt.datetime(2024, 3, 5), 4)]):
