@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.tokens import encoder, slices
+from emberline.llm.tokens import CACHE_WORDS, SLICE, encoder, slices
 from emberline.session import store
 
 CAPACITY = 1024
@@ -52,13 +52,16 @@ def cut(n_tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY,
-                     keep_ids: bool = False) -> DataFrame:
-    """One row per piece, numbered within its length and task; ``keep_ids`` adds the ids."""
+                     keep_ids: bool = False, cache: int = CACHE_WORDS, rows: int = SLICE) -> DataFrame:
+    """One row per piece, numbered within its length and task; ``keep_ids`` adds the ids.
+
+    ``cache`` (words) and ``rows`` (documents at once) bound a worker's memory and change nothing else.
+    """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encode = TaskContext.get().partitionId(), encoder(tokenizer)
+        shard, encode = TaskContext.get().partitionId(), encoder(tokenizer, cache)
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, rows, keep=encoder):
             ids, n = encode.batch(batch.column("text"), end_id)
             doc, start, length = cut(n, capacity)
             at = (np.cumsum(n) - n)[doc] + start
@@ -164,16 +167,17 @@ def slots(planned: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY,
-                   keep_ids: bool = False) -> DataFrame:
+                   keep_ids: bool = False, cache: int = CACHE_WORDS, rows: int = SLICE) -> DataFrame:
     """Packs all documents (``doc_id``, ``text``) into sequences of at most ``capacity`` tokens.
 
     One row per piece: doc_id, piece, start (ids of its document before it), length, ids_crc32,
     sequence_id and offset; with ``keep_ids`` also the piece's ids as little-endian 32-bit numbers.
     A null or empty text is one piece that holds the end id alone; a null doc_id is kept; repeated
-    rows are packed each; an empty table gives no row; other columns are ignored.
+    rows are packed each; an empty table gives no row; other columns are ignored.  ``cache`` and
+    ``rows`` bound a worker's memory.
     """
     spark = docs.sparkSession
-    made = store(tokenized_pieces(docs, tokenizer, end_id, capacity, keep_ids), "pieces")
+    made = store(tokenized_pieces(docs, tokenizer, end_id, capacity, keep_ids, cache, rows), "pieces")
     per_task = made.groupBy("length", "shard").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # a row per pattern and length: some thousands at most, whatever the input

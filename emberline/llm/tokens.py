@@ -17,8 +17,9 @@ Null texts are empty.
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +28,10 @@ import pyarrow.compute as pc
 
 #: Words kept in each of the two generations of a worker's cache; bounds its memory only.
 CACHE_WORDS = 250_000
-#: Documents whose words are in memory at once.
-SLICE = 2500
+#: Documents, and bytes of their columns, that are worked on at once.
+SLICE, SLICE_BYTES = 2500, 8 << 20
+#: The caches that keep a worker's models.
+MODELS: list[Callable] = []
 #: Letters of one code point that normal form C keeps and whose lower case is one code point.
 _PLAIN = "^(?P<core> ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<mark>[.,;:!?]?)$"
 _LETTERS = [c for c in range(0x41, 0x100) if c not in (0xD7, 0xF7) and (c < 0x7B or c >= 0xC0) and chr(c).isalpha()]
@@ -46,23 +49,41 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in smaller parts; what Arrow has freed goes back to the system after each batch.
+def trimmed() -> None:
+    """Gives freed memory back to the system, Arrow's and the C library's (where it can)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
-    Parts are copies: some string kernels go wrong on a slice that doesn't begin at its buffer's start.
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, keep: object = None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller parts of at most ``rows`` rows and about SLICE_BYTES; freed memory goes back after each batch.
+
+    Parts are copies: some string kernels go wrong on a slice that doesn't begin at its buffer's
+    start.  A worker serves one stage after the other: models of other files than ``keep`` are dropped.
     """
+    for cache in MODELS:
+        if cache.cache_info().currsize and cache is not keep:
+            cache.cache_clear()
     for batch in batches:
-        for first in range(0, batch.num_rows, rows):
-            yield batch.take(pa.array(np.arange(first, min(first + rows, batch.num_rows))))
-        pa.default_memory_pool().release_unused()
+        first = 0
+        while first < batch.num_rows:
+            step = min(rows, batch.num_rows - first)
+            while step > 1 and batch.slice(first, step).nbytes > SLICE_BYTES:
+                step //= 2
+            yield batch.take(pa.array(np.arange(first, first + step)))
+            first += step
+        trimmed()
 
 
 class Encoder:
     """Ids of many texts by one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.cache = cache
+
         self.tokenizer = Tokenizer.from_file(path)
         self.normalizer, self.splitter, self.model = (
             self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model)
@@ -93,7 +114,7 @@ class Encoder:
                 ids = older.get(key)
                 if ids is None:
                     ids = make(key)
-                if len(recent) >= CACHE_WORDS:
+                if len(recent) >= self.cache:
                     self.older, self.recent = older, recent = recent, {}
                 recent[key] = ids
             out.append(ids)
@@ -184,7 +205,10 @@ def joined(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray, counts: np.nda
     return symbols.astype(np.uint32, copy=False), per_text
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, cache: int = CACHE_WORDS) -> Encoder:
     """The worker's encoder of a file; later tasks of the worker find its words cached."""
-    return Encoder(path)
+    return Encoder(path, cache)
+
+
+MODELS.append(encoder)
