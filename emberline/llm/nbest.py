@@ -29,13 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.tokens import ragged, slices
+from emberline.llm.tokens import MODELS, ragged, slices
 
 N = 3
 UNIT = 1_000_000
 BLANK = "▁"
-#: Solved segments a worker keeps; bounds its memory only.
-CACHE = 300_000
+#: Solved segments in each of a worker's two generations, and searched ones; they bound its memory only.
+CACHE, SEARCHED = 250_000, 50_000
 _LEAST, _NEVER = -(1 << 62), 1 << 60
 
 
@@ -58,62 +58,97 @@ class Pieces:
         self.unknown_id = model.unk_id()
         self.pairs = np.unique(np.array(
             [(ord(a) << 32) | ord(b) for p in self.table for a, b in zip(p, p[1:])], np.uint64))
-        #: lengths of the pieces that end with two characters
+        #: lengths of the pieces that end with two characters (themselves), or with three
         self.lengths: dict[str, list[int]] = {}
-        for size, tail in sorted({(len(p), p[-2:]) for p in self.table if len(p) > 1}):
+        for size, tail in sorted({(len(p), p[-3:]) for p in self.table if len(p) > 1}):
             self.lengths.setdefault(tail, []).append(size)
-        self.cache: dict[str, tuple] = {}
+        # two generations: what is in use survives when the older one goes
+        self.recent: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        self.searched: dict[tuple[str, int], list[tuple[int, bytes]]] = {}
 
     def into(self, text: str, end: int) -> list[tuple[int, int, tuple[int, ...]]]:
         """(start, score, ids) of the pieces that end at a place."""
         out, get = [], self.table.get
-        for length in self.lengths.get(text[end - 2:end], ()) if end > 1 else ():
-            if length <= end:
-                found = get(text[end - length:end])
-                if found is not None:
-                    out.append((end - length, found[0], (found[1],)))
+        for tail in (text[end - 2:end], text[end - 3:end]) if end > 2 else (text[:2],) if end == 2 else ():
+            for length in self.lengths.get(tail, ()):
+                if length <= end:
+                    found = get(text[end - length:end])
+                    if found is not None:
+                        out.append((end - length, found[0], (found[1],)))
         found = get(text[end - 1])
         if found is not None:
             out.append((end - 1, found[0], (found[1],)))
         else:
-            ids = tuple(self.byte_ids.get(b, self.unknown_id) for b in text[end - 1].encode())
-            out.append((end - 1, self.unknown, ids))
+            out.append((end - 1, self.unknown, self.spelled(text[end - 1])))
         return out
 
     def forward(self, text: str) -> tuple[list[int], list[tuple], list[int]]:
-        """Viterbi: best score up to each place, the last piece of it, and the loss of the next best last piece."""
+        """Viterbi: best score up to each place, (start, ids) of its last piece, and the loss of the next best last piece."""
         best, last, loss = [0], [()], [0]
+        get, lengths = self.table.get, self.lengths.get
         for end in range(1, len(text) + 1):
-            top, second, edge = _LEAST, _LEAST, ()
-            for e in self.into(text, end):
-                score = best[e[0]] + e[1]
-                if score > top:
-                    top, second, edge = score, top, e
-                elif score > second:
-                    second = score
+            top, second, edge = _LEAST, _LEAST, None
+            if end > 1:
+                found = get(text[end - 2:end])
+                if found is not None:
+                    top, edge = best[end - 2] + found[0], (end - 2, (found[1],))
+                if end > 2:
+                    for length in lengths(text[end - 3:end], ()):
+                        if length <= end:
+                            found = get(text[end - length:end])
+                            if found is not None:
+                                score = best[end - length] + found[0]
+                                if score > top:
+                                    top, second, edge = score, top, (end - length, (found[1],))
+                                elif score > second:
+                                    second = score
+            found = get(text[end - 1])
+            score = best[end - 1] + (self.unknown if found is None else found[0])
+            if score > top:
+                top, second = score, top
+                edge = end - 1, self.spelled(text[end - 1]) if found is None else (found[1],)
+            elif score > second:
+                second = score
             best.append(top)
             last.append(edge)
             loss.append(top - second)
         return best, last, loss
 
+    def spelled(self, char: str) -> tuple[int, ...]:
+        """The ids of a character that is no piece: its bytes."""
+        return tuple(self.byte_ids.get(b, self.unknown_id) for b in char.encode())
+
     def first(self, text: str) -> tuple[int, bytes, int]:
         """Score and ids of the best segmentation, and how much the second best loses.
 
         The second best leaves the best path for good at some place, seen from the end, so its loss
         is the smallest one on the path.
         """
-        found = self.cache.get(text)
+        found = self.recent.get(text)
+        if found is not None:
+            return found
+        found = self.older.get(text)
         if found is None:
             best, last, loss = self.forward(text)
             place, ids, gap = len(text), [], _NEVER
             while place:
                 gap = min(gap, loss[place])
-                place, _, piece = last[place]
+                place, piece = last[place]
                 ids[:0] = piece
             found = best[-1], np.array(ids, "<u4").tobytes(), gap if gap < _NEVER // 2 else _NEVER
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[text] = found
+        if len(self.recent) >= CACHE:
+            self.older, self.recent = self.recent, {}
+        self.recent[text] = found
+        return found
+
+    def ranked(self, text: str, n: int) -> list[tuple[int, bytes]]:
+        """As :meth:`search`, kept for the next batches."""
+        found = self.searched.get((text, n))
+        if found is None:
+            if len(self.searched) >= SEARCHED:
+                self.searched.clear()
+            found = self.searched[text, n] = self.search(text, n)
         return found
 
     def search(self, text: str, n: int) -> list[tuple[int, bytes]]:
@@ -137,7 +172,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
-        return self.model.decode([int(i) for i in ids])
+        return self.model.decode(ids)
 
 
 def normalized(text: str | None) -> str:
@@ -189,29 +224,21 @@ def text_segments(pieces: Pieces, texts: pa.Array) -> tuple[list[str], np.ndarra
 def runs(pieces: Pieces, segments: list[str], places: np.ndarray, counts: np.ndarray) -> tuple:
     """Runs of marks can be pieces: segments that are one mark before another are solved together."""
     mark = np.fromiter((s == BLANK for s in segments), bool, len(segments))
-    doc = np.repeat(np.arange(len(counts)), counts)
     lone = mark[places]
-    after = np.append(lone[:-1] & (doc[1:] == doc[:-1]), False) if len(places) else lone
-    if not after.any():
+    ends = np.cumsum(counts)
+    lone[ends[counts > 0] - 1] = False  # the last mark of a text stays
+    if not lone.any():
         return segments, places, counts
-    out, sizes, known = [], [], {s: i for i, s in enumerate(segments)}
-    begin = 0
-    for n in counts.tolist():
-        own, text = [], ""
-        for p in places[begin:begin + n].tolist():
-            text += segments[p]
-            if segments[p] == BLANK and len(own) + 1 < n and text.strip(BLANK) == "":
-                own.append(None)
-                continue
-            own.append(known.setdefault(text, len(known)))
-            text = ""
-        if text:
-            own.append(known.setdefault(text, len(known)))
-        own = [x for x in own if x is not None]
-        out += own
-        sizes.append(len(own))
-        begin += n
-    return list(known), np.array(out, np.int64), np.array(sizes, np.int64)
+    stops = np.flatnonzero(~lone)
+    marks = np.diff(stops, prepend=-1) - 1
+    out, known = places[stops], {s: i for i, s in enumerate(segments)}
+    several = np.flatnonzero(marks)
+    # few runs differ, however many there are
+    kinds, at = np.unique(np.stack([marks[several], out[several]]), axis=1, return_inverse=True)
+    new = [known.setdefault(BLANK * n + segments[p], len(known)) for n, p in kinds.T.tolist()]
+    out[several] = np.array(new, np.int64)[at]
+    sizes = counts - np.bincount(np.repeat(np.arange(len(counts)), counts)[lone], minlength=len(counts))
+    return list(known), out, sizes
 
 
 def combined(losses: list[tuple[int, list[int]]], n: int) -> list[tuple[int, dict[int, int]]]:
@@ -258,7 +285,7 @@ def segment_batch(pieces: Pieces, texts: pa.Array, n: int) -> Iterator[tuple[int
             if loss[k] < _NEVER:
                 found = solved.get(own[k])
                 if found is None:
-                    found = solved[own[k]] = pieces.search(segments[own[k]], n)
+                    found = solved[own[k]] = pieces.ranked(segments[own[k]], n)
                 options.append((k, [found[0][0] - s for s, _ in found]))
         for rank, (lost, choice) in enumerate(combined(options, n), 1):
             ids = parts
@@ -269,12 +296,15 @@ def segment_batch(pieces: Pieces, texts: pa.Array, n: int) -> Iterator[tuple[int
             yield i, rank, total - lost, b"".join(ids)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def pieces_of(path: str) -> Pieces:
     """The worker's model."""
     return Pieces(path)
 
 
+MODELS.append(pieces_of)
+
+
 def segment_documents(docs: DataFrame, model: str, n: int = N) -> DataFrame:
     """doc_id, rank (from 1), score, n_tokens and ids (array) of the n best segmentations.
 
@@ -287,24 +317,39 @@ def segment_documents(docs: DataFrame, model: str, n: int = N) -> DataFrame:
 
 
 def segment_digests(docs: DataFrame, model: str, n: int = N) -> DataFrame:
-    """As :func:`segment_documents`, with the ids' checksum (over u4) instead of the ids."""
-    return _mapped(docs, model, n, "ids_crc32 long", zlib.crc32, pa.int64())
+    """As :func:`segment_documents`, with the ids' checksum (over u4) instead of the ids.
+
+    The best segmentation is decoded again: ``decoded_crc32`` (of UTF-8) and ``round_trip``, whether
+    that is the text; both are null for the others.
+    """
+    return _mapped(docs, model, n, "ids_crc32 long", zlib.crc32, pa.int64(), decoded=True)
 
 
-def _mapped(docs: DataFrame, model: str, n: int, column: str, value, kind: pa.DataType) -> DataFrame:
+def _mapped(docs: DataFrame, model: str, n: int, column: str, value, kind: pa.DataType, decoded: bool = False) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in slices(batches):
-            rows = [(i, rank, score, len(ids) // 4, value(ids))
-                    for i, rank, score, ids in segment_batch(pieces, batch.column("text"), n)]
+        for batch in slices(batches, keep=pieces_of):
+            texts, rows, back = batch.column("text"), [], []
+            for i, rank, score, ids in segment_batch(pieces, texts, n):
+                rows.append((i, rank, score, len(ids) // 4, value(ids)))
+                if decoded:
+                    text = pieces.decode(np.frombuffer(ids, "<u4").tolist()) if rank == 1 else None
+                    back.append((None, None) if text is None else (
+                        zlib.crc32(text.encode("utf-8", "replace")), text == (texts[i].as_py() or "")))
             at, rank, score, length, last = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([
+            crc, same = zip(*back) if back else [()] * 2
+            columns = [
                 batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()),
-                pa.array(score, pa.int64()), pa.array(length, pa.int64()), pa.array(last, kind),
-            ], names=["doc_id", "rank", "score", "n_tokens", column.split()[0]])
+                pa.array(score, pa.int64()), pa.array(length, pa.int64()), pa.array(last, kind)]
+            names = ["doc_id", "rank", "score", "n_tokens", column.split()[0]]
+            if decoded:
+                columns += [pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+                names += ["decoded_crc32", "round_trip"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        mapped, f"doc_id long, rank int, score long, n_tokens long, {column}")
+        mapped, f"doc_id long, rank int, score long, n_tokens long, {column}"
+        + (", decoded_crc32 long, round_trip boolean" if decoded else ""))
 
 
 def decode_documents(segmented: DataFrame, model: str) -> DataFrame:
@@ -314,7 +359,7 @@ def decode_documents(segmented: DataFrame, model: str) -> DataFrame:
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in slices(batches):
+        for batch in slices(batches, keep=pieces_of):
             texts = [None if ids is None else pieces.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
