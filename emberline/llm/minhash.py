@@ -241,7 +241,7 @@ def chunk_links(left: pa.Table, right: pa.Table, percent: int) -> Iterator[tuple
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, n_bands: int = BANDS,
-                    rows: int = ROWS) -> DataFrame:
+                    rows: int = ROWS, keep_digest: bool = False) -> DataFrame:
     """Adds nothing to and drops nothing from ``docs`` (``doc_id``, ``text``): one row per row with
     doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept.
 
@@ -305,11 +305,45 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         "digest", F.coalesce("component", "rep").alias("component_id"))
     out = made.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     return out.join(label, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+        *["digest"] * keep_digest, "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"))
 
 
+def with_digests(docs: DataFrame, words: int) -> DataFrame:
+    """The columns of ``docs`` and ``_shingles``, the digest of each text's shingle set (null without words)."""
+    schema = docs.select("*").schema.add("_shingles", "binary")
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column("text").cast(pa.string()), words)
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(mapped, schema)
+
+
 def keep_distinct(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest doc_id."""
-    gone = near_duplicates(docs, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group, of the smallest doc_id.
+
+    Rows that repeat a doc_id are judged each by its own text: one goes if its group has a smaller
+    doc_id, and of those with one doc_id and shingle set the smallest row (by text, then the other
+    columns) stays.  Null doc_ids and texts without words all stay.  No rows give none.
+    """
+    found = store(near_duplicates(docs, words, percent, keep_digest=True), "groups")
+    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("_n"), F.max(~F.col("kept")).alias("_copy"))
+    touched = store(ids.filter("_copy or _n > 1").select(F.col("doc_id").alias("_copy_id"), (F.col("_n") > 1).alias("_several")),
+                    "copies")
+    same_id = F.col("doc_id").cast("long") == F.col("_copy_id")
+    rest = docs.join(touched.select("_copy_id"), same_id, "left_anti")
+    # ids that stand for several rows; none in a sound table, so its size decides how the join is done
+    several = store(touched.filter("_several").select("_copy_id"), "repeated")
+    own = with_digests(docs.join(several, same_id, "left_semi"), words)
+    gone = found.filter(~F.col("kept")).join(several, same_id).select(
+        "_copy_id", F.col("digest").alias("_copy_digest")).distinct()
+    judged = own.join(gone, same_id & (F.col("_shingles") == F.col("_copy_digest")), "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    single = judged.filter("_shingles is not null").groupBy("doc_id", "_shingles").agg(
+        F.min(F.struct("text", *others)).alias("_row")).select("doc_id", "_row.*")
+    return rest.unionByName(judged.filter("_shingles is null").drop("_shingles")).unionByName(
+        single.select(docs.columns))

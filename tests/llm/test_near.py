@@ -130,6 +130,17 @@ def test_keep_one_of_each_group(spark, docs_of):
     assert kept.columns == docs_of(rows).columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([3, 8, 7, None])
     assert minhash.near_duplicates(docs_of([])).collect() == []
+    assert minhash.keep_distinct(docs_of([])).collect() == []
+
+
+def test_keep_rows_that_repeat_an_id(spark, docs_of):
+    """A repeated doc_id with a copied and a unique text keeps the unique one; equal rows stay once."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "q r s t u v"), (3, "m n o p q r"), (3, "m n o p q r"),
+            (3, "M n o p q r"), (4, ""), (4, ""), (None, "m n o p q r"), (None, "m n o p q r"), (5, "z y x w v u")]
+    kept = minhash.keep_distinct(docs_of(rows))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([
+        (1, "a b c d e f"), (2, "q r s t u v"), (3, "M n o p q r"), (4, ""), (4, ""), (None, "m n o p q r"),
+        (None, "m n o p q r"), (5, "z y x w v u")])
 
 
 def test_superminhash_estimates_similarity():
