@@ -6,7 +6,8 @@ a labelled sample, give a unit vector per document.  Every document is compared
 labelled vector, one matrix product per block, and the nearest ones vote with their similarity.
 
 The labelled sample is bounded (``sample`` documents per label, drawn by hash), so the broadcast
-model has a fixed size; counts, vectors and votes cover all documents and whole texts.
+model has a fixed size; so are the document frequencies, which come from the sample.  Counts, vectors
+and votes are made for all documents from whole texts.
 """
 
 from __future__ import annotations
@@ -155,11 +156,16 @@ def score_documents(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return rows.mapInArrow(mapped, schema)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is ``threshold`` or more: only those the vote is against go."""
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more.
+
+    Null and empty texts are scored too; without labels every score is 0.5 and nothing is rejected.
+    """
     kept = docs.drop("_score")
-    return score_documents(kept, fitted(kept, labels), *kept.columns).filter(
-        F.col("_score") >= threshold).select(*kept.columns)
+    model = fitted(kept, labels)
+    if not len(model.vectors):
+        return kept
+    return score_documents(kept, model, *kept.columns).filter(F.col("_score") >= threshold).select(*kept.columns)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 4,
