@@ -148,3 +148,17 @@ def test_pipeline_stages(spark, corpus, tmp_path):
                 assert after[d][1] == len(after[d][0]) and "password" not in after[d][0]
     assert seen == [name for name, _ in corpus_pipeline.STAGES] and texts
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] > 0
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_pipeline_on_odd_tables(spark, corpus, tmp_path, kind):
+    """No documents give no pieces; null ids, odd texts and no labels at all break nothing."""
+    rows = [] if kind == "empty" else [(d, t, x) for d, t, x in corpus[0]] + [
+        (None if i % 3 == 0 else 5000 + i, t, None) for i, t in enumerate(ODD)]
+    spark.createDataFrame([(d, t, x, None, None) for d, t, x in rows], "doc_id long, text string, lang string, source string, "
+                          "n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in got}
+    # without labels nothing is rejected for its quality, so clean documents stay
+    assert kept <= {d for d, *_ in rows} and len(kept) >= 0.7 * len({t for _, t, x in rows if x})
