@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.spans import clear_of, distance, listed, located, ordered, redacted
+from emberline.llm.spans import SPAN, clear_of, listed, located, ordered, redacted, scanned
 
 ASSIGN = (r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
           r"([A-Za-z0-9+/_.=-]+)")
@@ -56,22 +56,65 @@ def carried(s: Column, e: Column) -> Column:
     return (s["start"] >= e["start"]) & (s["end"] <= e["end"]) & (user | value)
 
 
-def linked(weak: Column, base: Column, reach: int, inside: bool = False) -> Column:
-    """Weak spans with their complements in reach; with ``inside`` also secrets that an endpoint carries."""
-    parts = F.concat(weak, base)
+# Complements by role: identifiers, secrets, endpoints.
+ROLES = {"identifier": 0, "access": 0, "secret": 1, "assign": 1, "hex": 1, "endpoint": 2}
+NEAR = "struct<n:int,before:array<int>>"
 
-    def near(s: Column, kinds: tuple[str, ...]) -> Column:
-        return F.exists(parts, lambda p: p["kind"].isin(*kinds) & (distance(s, p) >= 0) & (distance(s, p) <= reach))
 
-    def complete(s: Column) -> Column:
-        identifier, secret = near(s, ("identifier", "access")), near(s, ("secret", "assign", "hex"))
-        return F.when(s["kind"] == "identifier", secret).when(
-            s["kind"] == "secret", identifier | near(s, ("endpoint",))).otherwise(identifier & secret)
+def nearest(spans: Column, parts: Column, back: bool) -> Column:
+    """Per span, in their order, the end of the last part of each role that ends before it starts.
+
+    With ``back`` all places are mirrored: minus the start of the next part behind it.  Both are one sort of
+    ends and starts and one running fold, so a text may hold many spans.
+    """
+    def place(x: Column, close: bool) -> Column:
+        return -x["start"] if back and close else -x["end"] if back else x["end"] if close else x["start"]
+
+    role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    # at one place parts come first: a part that touches a span counts
+    events = F.array_sort(F.concat(
+        F.transform(parts, lambda p: F.struct(
+            place(p, True).alias("at"), F.lit(-1).alias("n"), role[p["kind"]].alias("role"))),
+        F.transform(spans, lambda s, n: F.struct(place(s, False).alias("at"), n.alias("n"), F.lit(-1).alias("role")))))
 
-    def own(s: Column) -> Column:
-        return (s["kind"] == "secret") & F.exists(weak, lambda e: (e["kind"] == "endpoint") & carried(s, e))
+    def step(last: Column, e: Column) -> tuple[Column, Column]:
+        new = F.array(*[F.when(e["role"] == k, e["at"]).otherwise(last[k]) for k in range(3)])
+        return new, F.when(e["n"] >= 0, F.struct(e["n"].alias("n"), last.alias("before")))
 
-    return F.filter(weak, lambda s: complete(s) | own(s) if inside else complete(s))
+    found = scanned(events, F.array(*[F.lit(None).cast("int")] * 3), step, NEAR)
+    return F.transform(F.array_sort(F.filter(found, lambda x: x.isNotNull())), lambda x: x["before"])
+
+
+def linked(weak: Column, base: Column, reach: int, inside: bool = False) -> Column:
+    """Weak spans with their complements in reach; with ``inside`` also secrets that an endpoint carries."""
+    parts = F.concat(weak, base)
+    around = F.zip_with(nearest(weak, parts, False), nearest(weak, parts, True), lambda b, a: F.struct(
+        b.alias("before"), a.alias("behind")))
+
+    def complete(s: Column, n: Column) -> Column:
+        def near(role: int) -> Column:
+            return F.coalesce(n["before"][role] >= s["start"] - reach, F.lit(False)) | F.coalesce(
+                n["behind"][role] >= -s["end"] - reach, F.lit(False))
+
+        return F.when(s["kind"] == "identifier", near(1)).when(
+            s["kind"] == "secret", near(0) | near(2)).otherwise(near(0) & near(1))
+
+    judged = F.zip_with(weak, around, lambda s, n: F.struct(s.alias("span"), complete(s, n).alias("kept")))
+    if inside:
+        # endpoints don't overlap, so a secret stands in the last one that starts no later, if in any
+        events = F.array_sort(F.transform(judged, lambda j: F.struct(
+            j["span"]["start"].alias("at"), F.when(j["span"]["kind"] == "endpoint", 0).otherwise(1).alias("rank"),
+            j.alias("judged"))))
+
+        def step(last: Column, e: Column) -> tuple[Column, Column]:
+            s = e["judged"]["span"]
+            own = F.coalesce((s["kind"] == "secret") & carried(s, last), F.lit(False))
+            return F.when(e["rank"] == 0, s).otherwise(last), F.struct(
+                s.alias("span"), (e["judged"]["kept"] | own).alias("kept"))
+
+        judged = scanned(events, F.lit(None).cast(SPAN[6:-1]), step, f"struct<span:{SPAN[6:-1]},kept:boolean>")
+    kept = F.transform(F.filter(judged, lambda j: j["kept"]), lambda j: j["span"])
+    return F.when(F.size(weak) > 0, kept).otherwise(F.array().cast(SPAN))
 
 
 def find_secrets(docs: DataFrame, reach: int = REACH, name: str = "_spans", inside: bool = False) -> DataFrame:

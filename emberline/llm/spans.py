@@ -6,7 +6,7 @@ of a pattern and the text between them; their lengths give the places.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,22 +14,45 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,kind:string,found:string>>"
 
 
+# A fold that appends copies what it has at every step, so arrays are folded in blocks of this size.
+BLOCK = 64
+
+
+def scanned(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """What a running fold gives at every item; ``step(state, item)`` is the new state and the item's result.
+
+    n items copy n x 64 + (n / 64)^2 references, not n^2.  ``out`` is the type of a result.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int")),
+                         lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+    none = F.array().cast(f"array<{out}>")
+
+    def within(last: Column, block: Column) -> Column:
+        def one(acc: Column, item: Column) -> Column:
+            new, result = step(acc["state"], item)
+            return F.struct(new.alias("state"), F.concat(acc["out"], F.array(result)).alias("out"))
+
+        return F.aggregate(block, F.struct(last["state"].alias("state"), none.alias("out")), one)
+
+    done = F.aggregate(
+        blocks, F.array(F.struct(state.alias("state"), none.alias("out"))),
+        lambda acc, block: F.concat(acc, F.array(within(F.element_at(acc, -1), block))))
+    return F.flatten(F.transform(done, lambda b: b["out"]))
+
+
 def located(text: Column, pattern: str, kind: str) -> Column:
     """All matches of a pattern, leftmost and non-overlapping, with their places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     # one length of text more than matches: the last pair has no match
     pairs = F.zip_with(found, between, lambda f, n: F.struct(f.alias("f"), n.alias("n")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["n"]
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + pair["n"]
         end = start + F.coalesce(F.length(pair["f"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), pair["f"].alias("found"))
-        return F.struct(end.alias("at"), F.when(pair["f"].isNull(), acc["spans"]).otherwise(
-            F.concat(acc["spans"], F.array(span))).alias("spans"))
+        return end, F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), pair["f"].alias("found"))
 
-    spans = F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+    spans = F.filter(scanned(pairs, F.lit(0), step, SPAN[6:-1]), lambda s: s["found"].isNotNull())
     # most texts have none: they are searched once and not split
     return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast(SPAN))
 
@@ -40,8 +63,21 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def clear_of(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: distance(s, o) < 0))
+    """The spans that overlap none of the others, by start of the others and end of the spans.
+
+    A span is overlapped if, of the others that start before its end, one ends behind its start.
+    """
+    events = F.array_sort(F.concat(
+        F.transform(spans, lambda s: F.struct(
+            s["end"].alias("at"), F.lit(0).alias("far"), s.alias("span"))),
+        F.transform(others, lambda o: F.struct(
+            o["start"].alias("at"), o["end"].alias("far"), F.lit(None).cast(SPAN[6:-1]).alias("span")))))
+
+    def step(far: Column, e: Column) -> tuple[Column, Column]:
+        return F.greatest(far, e["far"]), F.when(e["span"].isNotNull() & (far <= e["span"]["start"]), e["span"])
+
+    kept = F.filter(scanned(events, F.lit(0), step, SPAN[6:-1]), lambda s: s.isNotNull())
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(kept)
 
 
 def ordered(spans: Column, kinds: Sequence[str]) -> Column:
