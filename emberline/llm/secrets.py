@@ -125,8 +125,8 @@ def find_secrets(docs: DataFrame, reach: int = REACH, name: str = "_spans", insi
     """
     text, base, weak = "__text", "__base", "__weak"
     rows = docs.drop(name).withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = rows.withColumn(base, base_spans(F.col(text))).withColumn(
-        weak, clear_of(weak_spans(F.col(text)), F.col(base)))
+    rows = rows.withColumn(base, base_spans(F.col(text))).withColumn(weak, weak_spans(F.col(text)))
+    rows = rows.withColumn(weak, clear_of(F.col(weak), F.col(base)))
     spans = F.concat(F.col(base), linked(F.col(weak), F.col(base), reach, inside))
     return rows.withColumn(name, ordered(spans, KINDS)).drop(text, base, weak)
 

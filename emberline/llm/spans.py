@@ -23,8 +23,10 @@ def scanned(items: Column, state: Column, step: Callable[[Column, Column], tuple
 
     n items copy n x 64 + (n / 64)^2 references, not n^2.  ``out`` is the type of a result.
     """
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int")),
-                         lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+    def blocks(xs: Column) -> Column:
+        last = F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)))
+
     none = F.array().cast(f"array<{out}>")
 
     def within(last: Column, block: Column) -> Column:
@@ -34,9 +36,13 @@ def scanned(items: Column, state: Column, step: Callable[[Column, Column], tuple
 
         return F.aggregate(block, F.struct(last["state"].alias("state"), none.alias("out")), one)
 
-    done = F.aggregate(
-        blocks, F.array(F.struct(state.alias("state"), none.alias("out"))),
-        lambda acc, block: F.concat(acc, F.array(within(F.element_at(acc, -1), block))))
+    def folded(xs: Column) -> Column:
+        return F.aggregate(
+            blocks(xs), F.array(F.struct(state.alias("state"), none.alias("out"))),
+            lambda acc, block: F.concat(acc, F.array(within(F.element_at(acc, -1), block))))
+
+    # inside a function of its own the items are a variable: computed once, not once per block
+    done = F.flatten(F.transform(F.array(items), folded))
     return F.flatten(F.transform(done, lambda b: b["out"]))
 
 
