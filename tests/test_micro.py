@@ -334,6 +334,26 @@ def test_unions_by_lists_and_by_bitmaps(spark, monkeypatch, sparse):
     assert got == {k: n for k, n in want.items() if n}
 
 
+def test_unions_of_scattered_authors_move_no_row_per_set_and_block(spark, monkeypatch):
+    """400 keys of two items, each with 100 of 30,000 authors; all parts and groups of the union step are used."""
+    monkeypatch.setattr(inter, "LISTED", 1500, raising=False)
+    monkeypatch.setattr(inter, "LEAST", 150, raising=False)
+    of = {f"i{k}": [(k * 131 + j * 300) % 30_000 for j in range(100)] for k in range(50)}
+    of |= {"hot": list(range(0, 30_000, 20))}
+    items = spark.createDataFrame([("thread", i, f"a{x:05}", 1) for i, xs in of.items() for x in xs],
+                                  "pairing string, item string, author_active string, c long")
+    names = sorted(of)
+    keys = {f"z{n}": (names[n % 51], names[(n * 7 + n // 51 + 1) % 51]) for n in range(400)}
+    keys = {k: its for k, its in keys.items() if its[0] != its[1]}
+    met = spark.createDataFrame([("thread", a, 1, i, 1, len(of[i]), len(of[i]), False) for a, its in keys.items() for i in its],
+                                "pairing string, author string, week_idx int, item string, "
+                                "n long, active_posts long, active_authors long, is_active boolean")
+    counts = inter.interaction_counts(met, items)
+    got = {r.author: r.n_active_authors for r in counts.collect()}
+    assert got == {a: len({x for i in its for x in of[i]}) for a, its in keys.items()}
+    assert largest_output(counts) < 10_000
+
+
 def test_interaction_is_of_the_class_and_outside_its_communities(spark):
     h = spark.createDataFrame(
         [("a", "own", "x"), ("a", "else", "x"), ("a", "else", "y")], "author string, subreddit string, subreddit_class string")
