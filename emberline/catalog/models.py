@@ -15,6 +15,7 @@ from emberline.operators import survival as srv
 from emberline.operators.evaluation import bootstrap_ci, metric_summary
 from emberline.operators.topk import topk_per_group
 from emberline.plans.features import vocabulary
+from emberline.session import store
 from emberline.sources import views as v
 
 _DIM = 64
@@ -36,8 +37,9 @@ def _(spark, d):
 @query("pca_logistic_sparse")
 def _(spark, d):
     """Activation of weak authors on the communities they wrote in, of all in the vocabulary of the first 1000."""
-    posts = long_posts(spark, d)
-    vocab = vocabulary(posts)
+    # the vocabulary and the lists read the posts, the lists and the names the vocabulary
+    posts = store(long_posts(spark, d).select("author", "subreddit"), "posts")
+    vocab = store(vocabulary(posts), "vocabulary")
     lists = posts.join(vocab, "subreddit").groupBy("author").agg(F.sort_array(F.collect_set("community")).alias("communities"))
     rows = v.authors_long(spark, d).join(lists, "author", "left").withColumn(
         "communities", F.coalesce("communities", F.array().cast("array<int>")))
