@@ -167,7 +167,7 @@ def _(spark, d):
     from emberline.plans.person_period import author_weeks, observed_weeks
 
     posts = long_posts(spark, d)
-    weeks = observed_weeks(author_weeks(v.authors_long(spark, d)), posts)
+    weeks = author_weeks(v.authors_long(spark, d), observed_weeks(posts))
     act = agg.weekly_activity(posts, ["avg_comments_per_thread", "n_comments_author_week"])
     rate = F.coalesce("avg_comments_per_thread", F.lit(0.0))
     return rounded(weeks.join(act, ["author", "week_idx"]).select(

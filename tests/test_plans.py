@@ -1,5 +1,7 @@
 """What must be visible in physical plans; the oracle tests look for forbidden nodes."""
 
+import datetime as dt
+
 import pytest
 from oracle import DATA
 
@@ -87,3 +89,63 @@ def test_weekly_activity_copies_no_post(spark):
     df = spark.range(10).selectExpr(
         "'a' author", "id week_idx", "'RC' kind", "date'2020-01-01' day", "'p' parent_id", "'s' subreddit")
     assert "Expand" not in physical(weekly_activity(df))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_comments_of_an_order_are_deduplicated_where_they_were_joined(spark, no_broadcast):
+    from emberline.catalog.plans import long_comments
+
+    plan = physical(long_comments(spark, f"{DATA}/sf0.001"))
+    assert plan.count("Exchange hashpartitioning") == 4  # two joins
+
+
+def test_weekly_activity_shuffles_once(spark):
+    from emberline.operators.aggregates import weekly_activity
+
+    df = spark.createDataFrame([("a", 1, "RC", "p", "s", dt.date(2024, 1, 1))],
+                               "author string, week_idx long, kind string, parent_id string, subreddit string, day date")
+    assert physical(weekly_activity(df)).count("Exchange hashpartitioning") == 1
+
+
+def test_weeks_are_filtered_before_they_are_shuffled(spark, no_broadcast):
+    from emberline.plans.person_period import pipe_person_period
+
+    day = dt.date(2024, 1, 1)
+    posts = spark.createDataFrame([("a", 2818, "RC", "p", "s", day)],
+                                  "author string, week_idx long, kind string, parent_id string, subreddit string, day date")
+    authors = spark.createDataFrame([("a", day, dt.date(2100, 1, 1), False)],
+                                    "author string, date_weak date, date_strong date, active boolean")
+    table = pipe_person_period(posts, authors)
+    lines = physical(table).splitlines()
+    made = next(i for i, x in enumerate(lines) if "Generate explode" in x and "sequence" in x)
+    above = [x for x in lines[:made] if "Exchange" in x or "array_contains" in x]
+    assert "array_contains" in above[-1] and table.count() == 1
+
+
+def test_sinks_write_one_stored_table(spark, monkeypatch):
+    from emberline.catalog import QUERIES
+    from emberline.sources import sinks
+
+    seen, write = [], sinks.sink_table
+    monkeypatch.setattr(sinks, "sink_table", lambda df, *a, **k: (seen.append(df.inputFiles()), write(df, *a, **k)))
+    QUERIES["sink_table"](spark, f"{DATA}/sf0.001")
+    assert len(seen) == 5 and not any("lineitem" in f for files in seen for f in files)
+
+
+def test_sparse_components_read_the_comments_once_for_the_posts(spark, monkeypatch):
+    from emberline.catalog import QUERIES
+    from emberline.operators import sparse
+
+    seen = []
+    none = spark.createDataFrame([], "place int, coef double")
+    monkeypatch.setattr(sparse, "pca_logistic_sparse", lambda df, *_: seen.append(df) or none)
+    QUERIES["pca_logistic_sparse"](spark, f"{DATA}/sf0.001")
+    # once for the first days, and not for the stored posts
+    assert physical(seen[0]).count("/lineitem.parquet") == 1
