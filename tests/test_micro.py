@@ -354,6 +354,31 @@ def test_unions_of_scattered_authors_move_no_row_per_set_and_block(spark, monkey
     assert largest_output(counts) < 10_000
 
 
+def test_interaction_join_shuffles_both_sides_once(spark):
+    """One exchange by item: no grouping before it, and none for the totals or the own share behind it."""
+    mine = spark.createDataFrame([("u", 1, "RC", "m1", "t3_x", "t1_0"), ("a", 1, "RC", "m2", "t3_x", "t1_0"), ("u", None, "RC", "m3", "t3_x", "t1_0")],
+                                 "author string, week_idx int, kind string, id string, link_id string, parent_id string")
+    items = spark.createDataFrame([("thread", "t3_x", "a", 2), ("thread", "t3_x", "b", 1), ("sibling", "t1_0", "a", 5), ("i_replied", "t1_0", "b", 7)],
+                                  "pairing string, item string, author_active string, c long")
+    met = inter.interaction_join(mine, items)
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = {(r.pairing, r.author, r.week_idx): (r.n, r.active_posts, r.active_authors, r.is_active) for r in met.collect()}
+    assert got == {
+        ("thread", "u", 1): (1, 3, 2, False), ("thread", "u", None): (1, 3, 2, False), ("thread", "a", 1): (1, 1, 1, True),
+        ("sibling", "u", 1): (1, 5, 1, False), ("sibling", "u", None): (1, 5, 1, False),
+        ("i_replied", "u", 1): (1, 7, 1, False), ("i_replied", "u", None): (1, 7, 1, False), ("i_replied", "a", 1): (1, 7, 1, False)}
+
+
+def test_unions_send_what_is_smaller_more_often():
+    """20 million authors of items are not sent 32 times to spread a million sets; with small lists the sets stay."""
+    parts, groups = inter._dealt(20_000_000, 2_400_000, 1_200_000)
+    assert parts * groups >= inter.TASKS and 20_000_000 * groups + 2_400_000 * parts < 32 * 20_000_000 / 4
+    assert inter._dealt(1_000, 2_400_000, 1_200_000) == (1, 32)
+    assert inter._dealt(0, 0, 0) == (1, 1)
+    parts, groups = inter._dealt(10 * inter.LISTED, 100, 50)
+    assert (parts, groups) == (10, 1)
+
+
 def test_interaction_is_of_the_class_and_outside_its_communities(spark):
     h = spark.createDataFrame(
         [("a", "own", "x"), ("a", "else", "x"), ("a", "else", "y")], "author string, subreddit string, subreddit_class string")
