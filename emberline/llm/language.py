@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.quality import held_out
-from emberline.llm.tokens import slices
+from emberline.llm.tokens import slices, trimmed
 
 SAMPLE = 600
 WORDS, GRAMS = 8000, 12000
@@ -213,7 +213,9 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
 
 
 def fitted(docs: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> Model:
-    return build(sample_counts(docs, folds, fold, sample, WORDS, GRAMS))
+    model = build(sample_counts(docs, folds, fold, sample, WORDS, GRAMS))
+    trimmed()
+    return model
 
 
 def identify_language(docs: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE) -> DataFrame:

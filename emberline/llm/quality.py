@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.tokens import slices
+from emberline.llm.tokens import slices, trimmed
 
 #: Labelled documents per label that the model is fitted on, at most.
 SAMPLE = 2000
@@ -138,7 +138,11 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
            folds: int = 4, fold: int = 2) -> Model:
     rows = labelled_sample(docs, labels, label, sample, held_out(F.col("doc_id"), folds, fold)).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], [r["label"] for r in rows], [r["share"] for r in rows])
+    model = fit([r["text"] or "" for r in rows], [r["label"] for r in rows], [r["share"] for r in rows])
+    # the driver keeps the model only, also for the stages that follow
+    del rows
+    trimmed()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

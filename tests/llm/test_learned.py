@@ -162,3 +162,15 @@ def test_pipeline_on_odd_tables(spark, corpus, tmp_path, kind):
     kept = {r.doc_id for r in got}
     # without labels nothing is rejected for its quality, so clean documents stay
     assert kept <= {d for d, *_ in rows} and len(kept) >= 0.7 * len({t for _, t, x in rows if x})
+
+
+def test_driver_gives_memory_back_after_fits(spark, monkeypatch):
+    from emberline.llm import language, quality
+
+    docs = spark.createDataFrame([(i, f"word{i} and more words", "en") for i in range(20)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    done = []
+    for module in (quality, language):
+        monkeypatch.setattr(module, "trimmed", lambda name=module.__name__: done.append(name))
+    assert len(quality.fitted(docs, labels).vectors) and language.fitted(docs).languages == ["en"]
+    assert done == ["emberline.llm.quality", "emberline.llm.language"]
