@@ -31,7 +31,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the kept documents into sequences (operator 9), beside what earlier stages have left in memory."""
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), cache=60_000, rows=1000)
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), cache=60_000, rows=500)
 
 
 STAGES = [

@@ -32,6 +32,8 @@ ORDERS = (4, 3, 2, 1)
 UNSEEN = 0.6
 #: Words that count fully; the evidence of longer texts is scaled to it, so scores don't saturate.
 ENOUGH = 12
+#: Documents that a worker works on at once; bounds its memory only.
+AT_ONCE = 512
 _WORD = regex.compile(r"\p{L}+")
 
 
@@ -137,7 +139,7 @@ def sample_counts(docs: DataFrame, folds: int, fold: int, sample: int, words: in
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
         for lang, found in counts.items():
@@ -196,7 +198,7 @@ def predict_language(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = docs.select(*keep).schema.add("_lang", "string").add("_score", "double")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             lang, score = shared.value.predict(batch.column("text").cast(pa.string()))
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(

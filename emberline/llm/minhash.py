@@ -38,7 +38,9 @@ WORDS = 5
 PERCENT = 80
 BANDS, ROWS = 32, 5
 #: Shingles whose permutations are in memory at once.
-CHUNK = 150_000
+CHUNK = 60_000
+#: Documents that a worker works on at once; bounds its memory only.
+AT_ONCE = 1000
 #: Classes per chunk where a bucket's components are compared.
 SIDE = 256
 #: Of 128 sign bits, those that may differ in a pair worth verifying (about 58 do at similarity 0.1,
@@ -142,7 +144,7 @@ def fingerprints(docs: DataFrame, words: int, n_bands: int, rows: int) -> DataFr
     slots = n_bands * rows
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             sets = shingle_sets(batch.column("text"), words)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             signatures = superminhash(sets, slots)
@@ -159,7 +161,7 @@ def fingerprints(docs: DataFrame, words: int, n_bands: int, rows: int) -> DataFr
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             sets = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays([
                 batch.column("rep"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
@@ -314,7 +316,7 @@ def with_digests(docs: DataFrame, words: int) -> DataFrame:
     schema = docs.select("*").schema.add("_shingles", "binary")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             sets = shingle_sets(batch.column("text").cast(pa.string()), words)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=schema.names)

@@ -181,7 +181,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capaci
     per_task = made.groupBy("length", "shard").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # a row per pattern and length: some thousands at most, whatever the input
-    where = spark.createDataFrame(slots(plan(histogram, capacity)), _SLOTS)
+    names = [f.split()[0] for f in _SLOTS.split(", ")]
+    # from Arrow: out of a list it would be an RDD, whose Python workers stay beside those of the documents
+    places = np.array(slots(plan(histogram, capacity)), np.int64).reshape(-1, len(names))
+    where = spark.createDataFrame(pa.table(dict(zip(names, map(pa.array, places.T)))))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.select(
         "length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

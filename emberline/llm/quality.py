@@ -29,6 +29,8 @@ SAMPLE = 2000
 TERMS, SHAPES, DIMENSIONS, NEIGHBOURS = 4096, 1024, 96, 15
 #: Documents per matrix product.
 BLOCK = 256
+#: Documents that a worker works on at once, whole blocks; bounds its memory only.
+AT_ONCE = 2 * BLOCK
 THRESHOLD = 0.7
 
 
@@ -152,7 +154,7 @@ def score_documents(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = docs.select(*keep).schema.add("_score", "double")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             scores = shared.value.scores(batch.column("text").cast(pa.string()))
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=schema.names)

@@ -65,6 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, keep: object =
     for cache in MODELS:
         if cache.cache_info().currsize and cache is not keep:
             cache.cache_clear()
+            trimmed()
     for batch in batches:
         first = 0
         while first < batch.num_rows:

@@ -3,6 +3,8 @@
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import corpus_pipeline
 import numpy as np
@@ -10,6 +12,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from test_near import linked_documents
 from test_scans import linked_secrets
 from test_tokens import crc, plain
@@ -174,3 +177,24 @@ def test_driver_gives_memory_back_after_fits(spark, monkeypatch):
         monkeypatch.setattr(module, "trimmed", lambda name=module.__name__: done.append(name))
     assert len(quality.fitted(docs, labels).vectors) and language.fitted(docs).languages == ["en"]
     assert done == ["emberline.llm.quality", "emberline.llm.language"]
+
+
+@pytest.mark.parametrize("module, made", [(quality, quality.score_documents), (language, language.predict_language)])
+def test_workers_take_documents_in_small_parts(module, made):
+    """A worker's memory is bounded by the documents it works on at once; none is left out."""
+
+    class Sizes:
+        def scores(self, texts):
+            return np.full(len(texts), float(len(texts)))
+
+        def predict(self, texts):
+            return ["en"] * len(texts), self.scores(texts)
+
+    docs = MagicMock()
+    docs.sparkSession.sparkContext.broadcast = lambda model: SimpleNamespace(value=model)
+    docs.select.return_value.schema = StructType().add("doc_id", "long")
+    docs.select.return_value.mapInArrow = lambda mapped, schema: mapped
+    batch = pa.record_batch({"doc_id": pa.array(range(3000)), "text": pa.array(["word"] * 3000)})
+    parts = list(made(docs, Sizes(), "doc_id")(iter([batch])))
+    assert [d for part in parts for d in part["doc_id"].to_pylist()] == list(range(3000))
+    assert max(s for part in parts for s in part["_score"].to_pylist()) == module.AT_ONCE <= 512

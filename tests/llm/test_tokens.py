@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -145,3 +146,21 @@ def test_segmented_documents_decode(spark, docs_of):
     want = Counter((d, (t or "").replace("▁", " ")) for d, t in rows)
     assert Counter((r.doc_id, r.text) for r in out if r["rank"] == 1) == want
     assert all(r.n_tokens == len(r.ids) for r in out)
+
+
+def test_memory_of_a_dropped_model_goes_back_before_the_next_stage(monkeypatch):
+    model, done = lru_cache(maxsize=1)(lambda path: [path]), []
+    model("a")
+    monkeypatch.setattr(tokens, "MODELS", [model])
+    monkeypatch.setattr(tokens, "trimmed", lambda: done.append(model.cache_info().currsize))
+    next(tokens.slices(iter([pa.record_batch({"text": ["x"]})])))
+    assert done == [0]
+
+
+def test_slots_of_sequences_need_no_python_workers(docs_of):
+    """An RDD of the driver's rows would hold workers beside those that tokenise."""
+    for rows in ([(i, "some words " * i) for i in range(30)], []):
+        packed = packing.pack_documents(docs_of(rows), str(public_tokenizers.path("byte_bpe_50k.json")))
+        plan = packed._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" not in plan and "ExistingRDD" not in plan
+        assert packed.count() == len(rows)
