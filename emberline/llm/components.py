@@ -2,7 +2,9 @@
 
 Every round is two groupings with a map-side minimum and two joins, so a node that a third of all
 links meet is combined before the shuffle and split by AQE in the join.  Rounds are written to the
-shared folder, and only two numbers per round reach the driver.
+shared folder, and only two numbers per round reach the driver.  No round has more links than the
+one before, so that count bounds the files of the next: on a local file system Hadoop starts a
+``chmod`` for every file, and such a child is counted with its executor's whole memory until it runs.
 """
 
 from __future__ import annotations
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from emberline.session import store
 
+#: Links per file of a round.
+LINKS = 100_000
+
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
@@ -35,7 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(lowest, "u")
         small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.select("u", F.col("m").alias("v"))).distinct()
-        edges = store(small, "links")
+        edges = store(small.coalesce(-(-mark[0] // LINKS)), "links")
         before, mark = mark, _mark(edges)
         if before == mark:
             break

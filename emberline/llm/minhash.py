@@ -274,8 +274,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         return rows_.filter(F.col(center) != F.col("rep")).select(
             F.col(center).alias("x"), F.col("rep").alias("y")).distinct()
 
-    links = store(verified(star("center", members), sets, percent), "star")
-    found = components(links)
+    def grown(found: DataFrame, links: DataFrame) -> DataFrame:
+        """Components by the links behind ``found`` and by more; each node's link to its component stands for the former."""
+        return components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(links))
+
+    # links go to components() as they are: it writes them once, distinct, in few files
+    found = components(verified(star("center", members), sets, percent))
 
     def labelled(rows_: DataFrame) -> DataFrame:
         return rows_.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
@@ -290,8 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     of_pick = found.select(F.col("node").alias("pick"), F.col("component").alias("of_pick"))
     second = again.join(of_pick, "pick", "left").filter(
         F.coalesce("of_pick", "pick") != F.col("component"))
-    links = store(links.unionByName(verified(star("pick", second), sets, percent)), "star")
-    found = components(links)
+    found = grown(found, verified(star("pick", second), sets, percent))
     # the rest: outside a bucket's largest component, against other components
     last = labelled(again.select("bucket", "rep"))
     sizes = last.groupBy("bucket", "component").agg(F.count("*").alias("size"))
@@ -301,8 +304,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         "bucket", "largest", F.ceil(F.col("all") / SIDE).cast("int").alias("columns"),
         F.ceil((F.col("all") - F.col("most")) / SIDE).cast("int").alias("rows"))
     rest = store(last.join(largest, "bucket"), "rest")
-    links = links.unionByName(across(rest, classes, sets, percent))
-    found = components(links)
+    found = grown(found, across(rest, classes, sets, percent))
     label = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id"))
     out = made.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -169,6 +170,52 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def files_of_stores(monkeypatch, module):
+    """Label and number of data files of each table that the module stores from now on."""
+    made, real = [], module.store
+
+    def counted(df, label, *more):
+        out = real(df, label, *more)
+        made.append((label, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(module, "store", counted)
+    return made
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Shuffles keep 16 partitions, however little is in them."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_rounds_write_files_by_their_links(spark, monkeypatch, uncoalesced):
+    """Each file costs an executor a child process, so a round of few links writes one."""
+    made = files_of_stores(monkeypatch, sys.modules[components.__module__])
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert sorted(map(tuple, components(links).collect())) == [(i, 0) for i in range(301)]
+    assert len(made) > 3 and all(n == 1 for _, n in made[1:])
+    monkeypatch.setattr(sys.modules[components.__module__], "LINKS", 100)
+    del made[:]
+    assert sorted(map(tuple, components(links).collect())) == [(i, 0) for i in range(301)]
+    assert all(1 < n <= 3 for _, n in made[1:])
+
+
+def test_links_are_written_once(docs_of, monkeypatch, uncoalesced):
+    """The stages that compare full sets write no files of their own; only components() stores links."""
+    made = files_of_stores(monkeypatch, minhash)
+    rows = [(i, " ".join(f"w{j}" for j in range(40) if j != i % 45)) for i in range(90)]
+    got = Counter(tuple(r) for r in minhash.near_duplicates(docs_of(rows), words=2).collect())
+    assert got == linked_documents(rows, 2, 80)
+    assert [label for label, _ in made] == ["fingerprints", "classes", "buckets", "sets", "open", "rest"]
+
+
 def vectors():
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=12).tolist(), int(rng.integers(3))) for i in range(300)]
