@@ -75,6 +75,43 @@ def test_periods_share_one_lag_join(spark):
     assert plan.count("Join") == 1
 
 
+def test_lagged_rows_are_not_broadcast(spark):
+    """The file of a sample is small, its lagged rows are 52 times as many."""
+    from emberline.operators.joins import lag_week_join
+    from emberline.plans.features import WINDOWS
+    from emberline.session import store
+
+    sample = store(spark.range(60, 90).selectExpr("concat('a', id % 3) author", "id week_idx"), "sample")
+    facts = store(spark.range(100).selectExpr("concat('a', id % 3) author", "id week_idx", "id x"), "facts")
+    lagged = lag_week_join(sample, facts, WINDOWS)
+    rows = lagged.collect()
+    want = {(f"a{w % 3}", w, p, w - n) for w in range(60, 90) for p, (start, end) in WINDOWS.items()
+            for n in range(end, start) if n % 3 == 0}
+    assert len(rows) == len(want) and {(r.author, r.week_idx, r.period, r.x) for r in rows} == want
+    assert "Broadcast" not in physical(lagged)
+
+
+def test_feature_table_does_not_broadcast_its_sample(spark):
+    from emberline.plans.features import WINDOWS, pipe_feature_table
+    from emberline.session import store
+
+    sample = store(spark.createDataFrame(
+        [("a", 60, True, 7), ("b", 61, False, 7)], "author string, week_idx long, activation boolean, duration long"), "sample")
+    news = sample.select("author", "week_idx", *[(sample.week_idx + 0.5).alias(f"n_{p}") for p in WINDOWS])
+    facts = store(spark.createDataFrame(
+        [("a", 59, 3), ("a", 40, 6), ("a", 39, 4), ("b", 58, 2)], "author string, week_idx long, x long"), "facts")
+    took = store(spark.createDataFrame(
+        [("a", 59, "s"), ("a", 40, "t"), ("b", 58, "t")], "author string, week_idx long, subreddit string"), "participation")
+    vocab = store(spark.createDataFrame([("s", 0), ("t", 1)], "subreddit string, community int"), "vocabulary")
+    quart = store(spark.createDataFrame([("a", True)], "author string, old boolean"), "quartiles")
+    table = pipe_feature_table(sample, news, facts, ["x"], took, vocab, quart, ["n"])
+    assert physical(table).count("SortMergeJoin") >= 3  # news, and the lagged activity and participation
+    got = {r.author: r for r in table.collect()}
+    assert (got["a"].x_short, got["a"].x_medium, got["a"].x_long, got["a"].old) == (3.0, 0.0, 5.0, True)
+    assert (got["b"].x_short, got["b"].x_medium, got["b"].x_long, got["b"].old) == (0.0, 2.0, 0.0, False)
+    assert (got["a"].communities_short, got["a"].communities_long, got["b"].communities_medium) == ([0], [1], [1])
+
+
 def test_rank_per_group_is_cut_before_the_exchange(spark):
     from emberline.operators.topk import topk_per_group
 
