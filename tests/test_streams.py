@@ -71,6 +71,31 @@ def test_ingest_drops_copies_across_batches(spark, tmp_path):
     assert len(ids) == len(set(ids)) == 60
 
 
+def test_ingest_derives_columns_and_packs_what_it_keeps(spark, tmp_path):
+    a, b = _posts(50, dt.datetime(2024, 3, 1), 5), _posts(10, dt.datetime(2024, 3, 5), 6)
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    was = spark.conf.get(jobs.STATE_CODEC)
+    for stream in _feed(spark, tmp_path, [a, a[:20] + b]):
+        jobs.stream_month_ingest(stream, out, ck, partition="month", derived={"month": F.date_format("day", "yyyy-MM")})
+    rows = spark.read.schema(SCHEMA + ", month string").parquet(out)
+    want = [(*p, p[3].strftime("%Y-%m")) for p in a + b]
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+    assert all(f.endswith(".zstd.parquet") for f in rows.inputFiles())
+    assert f'"{jobs.STATE_CODEC}":"zstd"' in (tmp_path / "ck" / "offsets" / "0").read_text()
+    assert spark.conf.get(jobs.STATE_CODEC) == was
+
+
+def test_ingest_goes_on_from_a_checkpoint_of_another_codec(spark, tmp_path):
+    a, b = _posts(50, dt.datetime(2024, 3, 1), 7), _posts(10, dt.datetime(2024, 3, 5), 8)
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    streams = _feed(spark, tmp_path, [a, a[:20] + b])
+    old = next(streams).withWatermark("ts", "31 days").dropDuplicatesWithinWatermark(["id"])
+    old.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(
+        availableNow=True).start().awaitTermination()
+    jobs.stream_month_ingest(next(streams), out, ck)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == sorted(p[5] for p in a + b)
+
+
 def test_late_posts_are_dropped_from_closed_weeks(spark, tmp_path):
     early, late = dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 30)
     post = lambda a, t, i: (a, "s", t, t.date(), 0, i, "RC")
